@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, minhash, rans, token_files, winnow
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+WORD_VOCABULARY = 49_408
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +27,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = rans.written(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 1, WORD_VOCABULARY)
+    return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.counted(table(spark, sf_dir, "documents"), WORD_TOKENIZER, WORD_VOCABULARY - 1)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_rans": op4_rans,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
