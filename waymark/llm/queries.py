@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, rans, token_files, winnow
+from . import bpe, minhash, pii, ppm, rans, token_files, winnow
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,20 @@ def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id").join(pii.spans_by_document(docs), "doc_id", "left")
+    base, every = F.filter("spans", lambda x: x.base), F.col("spans")
+    digest = lambda xs: F.coalesce(F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x.kind, x.s, x.e)), ","), F.lit(""))
+    counts = [F.coalesce(F.expr(f"size(filter(spans, x -> x.base and x.kind = '{k}'))"), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(every).alias("spans"))
+
+
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return ppm.scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.counted(table(spark, sf_dir, "documents"), WORD_TOKENIZER, WORD_VOCABULARY - 1)
 
@@ -57,6 +71,8 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_rans": op4_rans,
+    "op5_pii": op5_pii,
+    "op6_ppm": op6_ppm,
     "op8_token_counts": op8_token_counts,
 }
 

@@ -136,3 +136,11 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * _ODD + h[j : j + n]
     return mix(out)
+
+
+def take(w: Words, which: np.ndarray) -> pa.BinaryArray:
+    """The bytes of the words with these indexes."""
+    size = w.end[which] - w.start[which]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offsets[-1]) + np.repeat(w.start[which] - offsets[:-1], size)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(w.data[at].tobytes())])
