@@ -8,8 +8,9 @@ with a Jaccard similarity of 0.85 shares no band with a chance of 4 in 10^8.
 
 Whole shingle sets decide on each candidate. Only connectivity is asked for, so
 equal sets become one class first, then each bucket tests its members against one
-hub, and only members that are still in different components after that are
-tested against each other. No bucket is gathered in one place or cut short.
+hub. Members of a bucket that are still in different components after that go
+through an exact prefix filter on the rarest shingles of their sets, which leaves
+few pairs to test. No bucket is gathered in one place, paired with itself or cut short.
 
 Null and empty texts and texts of separators alone have an empty set: no links,
 their own component, kept. A text with fewer words than a shingle is one shingle.
@@ -32,6 +33,8 @@ from .scratch import save
 
 SHINGLE = 5
 BANDS, ROWS = 36, 6
+#: Most names of candidates that are broadcast (16 MB of ids); more are joined by a shuffle.
+BROADCAST_NAMES = 2_000_000
 _PIECE = 1 << 15
 
 
@@ -135,16 +138,43 @@ def shingle_sets(docs: DataFrame, doc: str, text: str, k: int = SHINGLE) -> Data
     return docs.select(doc, text).mapInArrow(run, schema)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, doc: str, text: str, percent: int, k: int = SHINGLE) -> DataFrame:
+def sets_of(docs: DataFrame, named: DataFrame, doc: str, text: str, k: int = SHINGLE) -> DataFrame:
+    """(doc, shingles) of the documents in `named`, saved. Texts stay where they are while the names are few enough to broadcast."""
+    named = save(named)
+    named = F.broadcast(named) if named.count() <= BROADCAST_NAMES else named
+    return save(shingle_sets(docs.select(doc, text).join(named, doc, "left_semi"), doc, text, k))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, doc: str, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
-    named = pairs.select(F.col("a").alias(doc)).union(pairs.select("b")).distinct()
-    sets = save(shingle_sets(docs.select(doc, text).join(named, doc, "left_semi"), doc, text, k))
     left = sets.select(F.col(doc).alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col(doc).alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent).select("a", "b")
 
 
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of `sets` (member, shingles) in different components that the prefix filter cannot rule out.
+
+    With the shingles of every set in one order, the rarest first, two sets above the threshold share a shingle
+    in the first places of both, and at most so many shingles follow. Near copies of one text that are too
+    far apart differ in just those places, so a large group of them is not paired with itself.
+    """
+    n = F.size("shingles")
+    flat = sets.select("member", n.alias("n"), F.explode("shingles").alias("shingle"))
+    often = flat.groupBy("shingle").agg(F.count("*").alias("often"))
+    ordered = flat.join(often, "shingle").groupBy("member", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("by"))
+    longest = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    first = ordered.join(labels, "member", "left").select("member", "n", F.coalesce("component", "member").alias("component"), F.posexplode(F.slice("by", F.lit(1), longest.cast("int"))).alias("place", "x"))
+    first = save(first.select("member", "n", "component", "place", F.col("x.shingle").alias("shingle")))
+    short = first.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
+    short = short.select("shingle", F.col("member").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("place"))
+    close = (F.col("na") < F.col("n")) | ((F.col("na") == F.col("n")) & (F.col("a") < F.col("member")))
+    pairs = short.join(first, "shingle").where((F.col("component") != F.col("ca")) & close & (most * 100 >= (F.col("na") + F.col("n") - most) * percent))
+    return pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc, n_shingles, component_id, kept), a row for each row of `docs`.
 
@@ -156,25 +186,19 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     posts = sketches.join(classes.select(F.col("member").alias(doc)), doc, "left_semi").select(F.col(doc).alias("member"), F.explode("bands").alias("band"))
     buckets = posts.groupBy("band").agg(F.count("*").alias("n"), F.min("member").alias("hub")).where("n > 1").select("band", "hub")
     shared = save(posts.join(buckets, "band"))
+    sets = sets_of(docs, shared.select(F.col("member").alias(doc)).distinct(), doc, text, k)
 
-    first = save(shared.where("member != hub").select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct())
-    found = components(verified(docs, first, doc, text, percent, k))
-    labels = save(found.select(F.col("node").alias("member"), "component"))
+    first = shared.where("member != hub").select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct()
+    labels = save(components(verified(first, sets, doc, percent)).select(F.col("node").alias("member"), "component"))
 
     # what no hub has tested yet: members of one bucket that are still apart
     inner = shared.where("member != hub").join(labels, "member", "left").select("band", "member", F.coalesce("component", "member").alias("component"))
     apart = inner.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    inner = save(inner.join(apart, "band", "left_semi"))
-    sizes = inner.groupBy("band", "component").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minor = inner.join(major, "band").where("component != major").select("band", F.col("member").alias("x"), F.col("component").alias("of_x"), "major")
-    apart = minor.join(inner, "band").where("component != of_x and (component = major or member > x)")
-    second = save(apart.select(F.least("x", "member").alias("a"), F.greatest("x", "member").alias("b")).distinct())
-    bridges = verified(docs, second, doc, text, percent, k)
-    ends = labels.select(F.col("member"), "component")
-    bridges = bridges.join(ends.select(F.col("member").alias("a"), F.col("component").alias("ca")), "a", "left").join(ends.select(F.col("member").alias("b"), F.col("component").alias("cb")), "b", "left")
-    bridges = bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(bridges)
+    left = save(inner.join(apart, "band", "left_semi").select("member").distinct())
+    rest = sets.select(F.col(doc).alias("member"), "shingles").join(left, "member", "left_semi")
+    bridges = save(verified(prefix_pairs(rest, labels, percent), sets, doc, percent))
+    bridges = bridges.join(labels.select(F.col("member").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("member").alias("b"), F.col("component").alias("cb")), "b", "left")
+    merged = components(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     merged = merged.select(F.col("node").alias("first"), F.col("component").alias("last"))
 
     named = classes.join(labels, "member", "left").select("set_key", F.coalesce("component", "member").alias("first"))
