@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Most runs that one Python worker keeps. This bounds memory, not results.
-MEMO = 500_000
-#: What Python's split() takes for space and the library's pattern does not (fixed values).
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+from . import words
+
+#: Most runs that one Python worker keeps, at about 30 bytes each. This bounds memory, not results.
+KNOWN = 4_000_000
+CHUNK_BYTES = 2 << 20
+#: Stands between runs that are encoded together; a run that holds it is encoded on its own.
+_BETWEEN = "\x01"
+_TOGETHER = 200
 
 
 class SpacedEncoder:
-    """For a tokenizer whose pre-tokenizer drops white space, so that each run between spaces is encoded on its own.
+    """For a tokenizer whose pre-tokenizer drops white space, so that what stands between two ASCII spaces is encoded on its own.
 
-    With `plain`, strings of special tokens in a text are ordinary text.
+    Runs are told apart by 64-bit hashes. With `plain`, strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, plain: bool = False, kind: str = "<u2"):
@@ -32,26 +35,66 @@ class SpacedEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = plain
         self.kind = np.dtype(kind)
-        self.known: dict[str, bytes] = {}
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, runs: list[str]) -> list[np.ndarray]:
+        """Ids of each run."""
+        if len(self.between) != 1:
+            return self._ids(runs)
+        joinable = [i for i, x in enumerate(runs) if _BETWEEN not in x]
+        alone = [i for i, x in enumerate(runs) if _BETWEEN in x]
+        out: list = [None] * len(runs)
+        for i, x in zip(alone, self._ids([runs[i] for i in alone]), strict=True):
+            out[i] = x
+        groups = [joinable[i : i + _TOGETHER] for i in range(0, len(joinable), _TOGETHER)]
+        for own, ids in zip(groups, self._ids([f" {_BETWEEN} ".join([runs[i] for i in g]) for g in groups]), strict=True):
+            cuts = np.flatnonzero(ids == self.between[0])
+            for i, a, b in zip(own, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                out[i] = ids[a:b]
+        return out
 
-    def encode_batch(self, texts: list[str | None], end: int) -> list[bytes]:
+    def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
+        """Add runs, in order of their hashes, to the sorted table."""
+        ids = self._encode(runs)
+        size = np.array([len(x) for x in ids])
+        flat = np.concatenate(ids)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.used += len(flat)
+
+    def encode_column(self, col: pa.Array, end: int) -> list[bytes]:
         """Packed ids of each text, followed by the id `end`."""
-        last = np.array([end], self.kind).tobytes()
-        parts = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts]
-        if len(self.known) > MEMO:
-            self.known.clear()
-        known = self.known
-        new = list({x for p in parts if p for x in p if x not in known})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, self.kind).tobytes()
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() + last)
-            else:
-                out.append(b"".join(map(known.__getitem__, p)) + last)
+        last, out = np.array([end], self.kind).tobytes(), []
+        for _, _, w in words.scan(col, words.SPACED, lower=False, chunk_bytes=CHUNK_BYTES):
+            h, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            if len(self.hashes) + len(h) > KNOWN:
+                self.forget()
+            place = np.searchsorted(self.hashes, h)
+            new = np.ones(len(h), bool)
+            if len(self.hashes):
+                new = self.hashes[np.minimum(place, len(self.hashes) - 1)] != h
+            if new.any():
+                self._learn(h[new], [x.decode("utf-8", "replace") for x in words.take(w, first[new]).to_pylist()])
+                place = np.searchsorted(self.hashes, h)
+            which = place[inverse]
+            size = self.size[which]
+            ends = np.cumsum(size)
+            ids = self.pool[np.repeat(self.at[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            cuts = (np.concatenate([[0], ends])[w.first] * self.kind.itemsize).tolist()
+            out += [ids[a:b] + last for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
 
@@ -71,9 +114,7 @@ def packed_ids(df: DataFrame, tokenizer: str, end: int, text: str = "text", ids:
         if key not in _encoders:
             _encoders[key] = SpacedEncoder(*key)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                made = _encoders[key].encode_batch(part.column(part.schema.get_field_index(text)).to_pylist(), end)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(made, pa.binary())] + ([also[1](part)] if also else []), names=schema.names)
+            made = _encoders[key].encode_column(batch.column(batch.schema.get_field_index(text)), end)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(made, pa.binary())] + ([also[1](batch)] if also else []), names=schema.names)
 
     return df.select(*[df[c] for c in kept], df[text]).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, pii, ppm, rans, token_files, winnow
+from . import bpe, minhash, pii, ppm, pq, rans, token_files, winnow
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,10 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"), held_out)
 
 
+def op7_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.counted(table(spark, sf_dir, "documents"), WORD_TOKENIZER, WORD_VOCABULARY - 1)
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_rans": op4_rans,
     "op5_pii": op5_pii,
     "op6_ppm": op6_ppm,
+    "op7_pq": op7_pq,
     "op8_token_counts": op8_token_counts,
 }
 

@@ -99,14 +99,14 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def scan(col: pa.Array, inside: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, words) for runs of texts of about CHUNK_BYTES; a longer text is a run of its own."""
+def scan(col: pa.Array, inside: np.ndarray, lower: bool = True, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, words) for runs of texts of about `chunk_bytes`; a longer text is a run of its own."""
     if not len(col):
         return
     data, offsets = buffers(col)
     a = 0
     while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk_bytes, "right")) - 1)
         b = min(b, len(offsets) - 1)
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         yield a, b, split(part, at, inside, lower)
