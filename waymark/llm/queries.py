@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, pii, ppm, pq, rans, token_files, winnow
+from . import bpe, minhash, pii, ppm, pq, quality, rans, token_files, toxicity, winnow
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +70,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.counted(table(spark, sf_dir, "documents"), WORD_TOKENIZER, WORD_VOCABULARY - 1)
 
 
+def _held_out() -> Column:
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", _held_out(), "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", _held_out(), "score", "predicted")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -79,6 +93,8 @@ QUERIES = {
     "op6_ppm": op6_ppm,
     "op7_pq": op7_pq,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

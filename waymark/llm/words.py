@@ -63,9 +63,10 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of consecutive texts. text: index of each word's text, from 0; first: index of each text's first word."""
+    """Words of consecutive texts. at: where each text begins; text: index of each word's text, from 0; first: index of each text's first word."""
 
     data: np.ndarray
+    at: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
@@ -124,7 +125,7 @@ def split(part: np.ndarray, at: np.ndarray, inside: np.ndarray, lower: bool = Tr
     end = np.flatnonzero(within & ~after) + 1
     first = np.searchsorted(start, at)
     text = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    return Words(LOWER[part] if lower else part, start, end, text, first)
+    return Words(LOWER[part] if lower else part, at, start, end, text, first)
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
