@@ -14,7 +14,7 @@ from . import words
 
 #: Most runs that one Python worker keeps, at about 30 bytes each. This bounds memory, not results.
 KNOWN = 4_000_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: Stands between runs that are encoded together; a run that holds it is encoded on its own.
 _BETWEEN = "\x01"
 _TOGETHER = 200
@@ -42,30 +42,22 @@ class SpacedEncoder:
         self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, runs: list[str]) -> list[np.ndarray]:
-        """Ids of each run."""
-        if len(self.between) != 1:
-            return self._ids(runs)
-        joinable = [i for i, x in enumerate(runs) if _BETWEEN not in x]
-        alone = [i for i, x in enumerate(runs) if _BETWEEN in x]
-        out: list = [None] * len(runs)
-        for i, x in zip(alone, self._ids([runs[i] for i in alone]), strict=True):
-            out[i] = x
-        groups = [joinable[i : i + _TOGETHER] for i in range(0, len(joinable), _TOGETHER)]
-        for own, ids in zip(groups, self._ids([f" {_BETWEEN} ".join([runs[i] for i in g]) for g in groups]), strict=True):
-            cuts = np.flatnonzero(ids == self.between[0])
-            for i, a, b in zip(own, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                out[i] = ids[a:b]
-        return out
+    def _flat(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs, number of ids of each)."""
+        if len(self.between) != 1 or any(_BETWEEN in x for x in runs):
+            ids = self._encode(runs)
+            return np.concatenate(ids), np.array([len(x) for x in ids])
+        groups = [f" {_BETWEEN} ".join(runs[i : i + _TOGETHER]) for i in range(0, len(runs), _TOGETHER)]
+        ids = np.concatenate([np.append(x, self.between[0]).astype(self.kind) for x in self._encode(groups)])
+        cuts = np.flatnonzero(ids == self.between[0])
+        return ids[ids != self.between[0]], np.diff(cuts, prepend=-1) - 1
 
     def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
         """Add runs, in order of their hashes, to the sorted table."""
-        ids = self._encode(runs)
-        size = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids)
+        flat, size = self._flat(runs)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -87,7 +79,11 @@ class SpacedEncoder:
             if len(self.hashes):
                 new = self.hashes[np.minimum(place, len(self.hashes) - 1)] != h
             if new.any():
-                self._learn(h[new], [x.decode("utf-8", "replace") for x in words.take(w, first[new]).to_pylist()])
+                runs = [x.decode("utf-8", "replace") for x in words.take(w, first[new]).to_pylist()]
+                alone = np.array([_BETWEEN in x for x in runs])
+                for part in (~alone, alone):
+                    if part.any():
+                        self._learn(h[new][part], [x for x, ok in zip(runs, part.tolist(), strict=True) if ok])
                 place = np.searchsorted(self.hashes, h)
             which = place[inverse]
             size = self.size[which]

@@ -34,16 +34,16 @@ class Table:
     """Frequencies of token ids, scaled to a sum of 2**bits; an id that never occurs has none."""
 
     def __init__(self, scaled: np.ndarray):
-        self.scaled = scaled.astype(np.uint64)
+        self.scaled = scaled.astype(np.uint32)
         self.bits = int(self.scaled.sum()).bit_length() - 1
-        self.below = np.cumsum(self.scaled) - self.scaled
-        self.symbol = np.repeat(np.arange(len(scaled), dtype=np.uint32), scaled)
+        self.below = (np.cumsum(self.scaled) - self.scaled).astype(np.uint32)
+        self.symbol = np.repeat(np.arange(len(scaled), dtype=np.uint16 if len(scaled) <= 1 << 16 else np.uint32), scaled)
 
     @classmethod
     def of_counts(cls, counts: np.ndarray) -> Table:
         """At least 1 for each id that occurs; what rounding leaves over goes to or comes from the most frequent ids."""
         some = int((counts > 0).sum())
-        bits = max(16, some.bit_length() + 4)
+        bits = max(12, some.bit_length() + 3)
         total = max(1, int(counts.sum()))
         scaled = np.where(counts > 0, np.maximum(1, counts.astype(object) * (1 << bits) // total), 0).astype(np.int64)
         if not some:
@@ -78,7 +78,7 @@ def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     for t in range(len(ids) - 1, -1, -1):
         n = active[t]
         x, s = state[:n], ids[t, :n]
-        f, c = table.scaled[s], table.below[s]
+        f, c = table.scaled[s].astype(np.uint64), table.below[s].astype(np.uint64)
         full = x >= (((_LOW >> bits) << _WORD) * f)
         spoke[t, :n], said[t, :n] = full, x.astype(np.uint32)
         x = np.where(full, x >> _WORD, x)
@@ -104,8 +104,8 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], table: Table) -> li
         n = active[t]
         x = state[:n]
         slot = x & mask
-        s = table.symbol[slot]
-        x = table.scaled[s] * (x >> bits) + slot - table.below[s]
+        s = table.symbol[slot.astype(np.int64)]
+        x = table.scaled[s] * (x >> bits) + (slot - table.below[s])
         empty = x < _LOW
         rank = np.cumsum(empty, axis=1)
         word = words[np.minimum(at[:n, None] + rank - 1, len(words) - 1)]
