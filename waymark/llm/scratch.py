@@ -1,30 +1,5 @@
-"""Shared scratch tables: the one way in which these operators cut lineage.
+"""Scratch tables, as the rest of the library has them."""
 
-A scratch table is Parquet in the folder that the session names in
-`spark.checkpoint.dir`, which driver and executors share, so that a lost
-executor loses nothing and a later read never recomputes the steps before.
-"""
+from ..scratch import folder, save
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder; without that setting (tests), in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write `df` to a scratch table and return a reader of it."""
-    spark = df.sparkSession
-    path = folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "save"]
