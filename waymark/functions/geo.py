@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The ellipsoid in km, and units by km.
 AXIS, FLAT = 6378.137, 1 / 298.257223563
@@ -41,7 +42,7 @@ def ellipsoid_km(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.
     return np.where((lat1 == lat2) & (turn == 0), 0.0, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _km(lat1: pd.Series, lng1: pd.Series, lat2: pd.Series, lng2: pd.Series) -> pd.Series:
     return pd.Series(ellipsoid_km(lat1, lng1, lat2, lng2))
 

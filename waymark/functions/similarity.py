@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import LinkConfig
 
@@ -121,7 +122,7 @@ def score(scorer: str, a: Column | str, b: Column | str) -> Column:
     """The score of two columns in normal form, by Arrow batches."""
     work = cache(SCORERS[scorer])
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def scored(x, y):
         import pandas as pd
 
