@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,13 +119,15 @@ SCORERS = {"strict": strict, "lenient": lenient, "token_sort": token_sort_ratio,
 
 def score(scorer: str, a: Column | str, b: Column | str) -> Column:
     """The score of two columns in normal form, by Arrow batches."""
-    work = cache(SCORERS[scorer])
+    work = SCORERS[scorer]
 
     @F.pandas_udf(T.DoubleType())
     def scored(x, y):
         import pandas as pd
 
-        return pd.Series([work(p or "", q or "") for p, q in zip(x, y, strict=True)])
+        pairs = [(p or "", q or "") for p, q in zip(x, y, strict=True)]
+        known = {pair: work(*pair) for pair in set(pairs)}
+        return pd.Series([known[pair] for pair in pairs])
 
     return scored(a, b)
 
