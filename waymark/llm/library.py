@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,13 +16,18 @@ from . import words
 #: Most runs that one Python worker keeps, at about 30 bytes each. This bounds memory, not results.
 KNOWN = 4_000_000
 CHUNK_BYTES = 4 << 20
+#: Where a mark of these meets a letter or digit of ASCII, the pre-tokenizer cuts as well, and no normal form joins them.
+_JOINTS = np.zeros(256, np.uint8)
+_JOINTS[list(b".,;:!?")] = 1
+_JOINTS[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 2
 #: Stands between runs that are encoded together; a run that holds it is encoded on its own.
 _BETWEEN = "\x01"
 _TOGETHER = 200
 
 
 class SpacedEncoder:
-    """For a tokenizer whose pre-tokenizer drops white space, so that what stands between two ASCII spaces is encoded on its own.
+    """For a tokenizer whose pre-tokenizer drops white space and parts letters and digits from marks, so that what stands between
+    two ASCII spaces, or a mark and a word, is encoded on its own.
 
     Runs are told apart by 64-bit hashes. With `plain`, strings of special tokens in a text are ordinary text.
     """
@@ -35,6 +41,8 @@ class SpacedEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = plain
         self.kind = np.dtype(kind)
+        #: whether capitals of ASCII make no difference; special tokens know them, so texts with "<|" keep theirs
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
         self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         self.forget()
 
@@ -70,7 +78,8 @@ class SpacedEncoder:
     def encode_column(self, col: pa.Array, end: int) -> list[bytes]:
         """Packed ids of each text, followed by the id `end`."""
         last, out = np.array([end], self.kind).tobytes(), []
-        for _, _, w in words.scan(col, words.SPACED, lower=False, chunk_bytes=CHUNK_BYTES):
+        lower = self.lower and not pc.any(pc.match_substring(col, "<|")).as_py()
+        for _, _, w in words.scan(col, words.SPACED, lower=lower, chunk_bytes=CHUNK_BYTES, joints=_JOINTS):
             h, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
             if len(self.hashes) + len(h) > KNOWN:
                 self.forget()

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, minhash, pii, ppm, pq, quality, rans, token_files, toxicity, winnow
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -96,5 +99,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
-
-ORACLE_SQL: dict[str, str] = {}

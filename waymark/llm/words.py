@@ -100,7 +100,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def scan(col: pa.Array, inside: np.ndarray, lower: bool = True, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def scan(col: pa.Array, inside: np.ndarray, lower: bool = True, chunk_bytes: int = CHUNK_BYTES, joints: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) for runs of texts of about `chunk_bytes`; a longer text is a run of its own."""
     if not len(col):
         return
@@ -110,17 +110,23 @@ def scan(col: pa.Array, inside: np.ndarray, lower: bool = True, chunk_bytes: int
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk_bytes, "right")) - 1)
         b = min(b, len(offsets) - 1)
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        yield a, b, split(part, at, inside, lower)
+        yield a, b, split(part, at, inside, lower, joints)
         a = b
 
 
-def split(part: np.ndarray, at: np.ndarray, inside: np.ndarray, lower: bool = True) -> Words:
+def split(part: np.ndarray, at: np.ndarray, inside: np.ndarray, lower: bool = True, joints: np.ndarray | None = None) -> Words:
+    """`joints` marks bytes by 1 and by 2: a word also ends where the two meet, either way round."""
     n = len(part)
     within = inside[part]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = within[:-1], within[1:]
     before[at[:-1][at[:-1] < n]] = False
     after[at[1:][at[1:] > 0] - 1] = False
+    if joints is not None:
+        kind = joints[part]
+        meet = kind[1:] + kind[:-1] == 3
+        before[1:] &= ~meet
+        after[:-1] &= ~meet
     start = np.flatnonzero(within & ~before)
     end = np.flatnonzero(within & ~after) + 1
     first = np.searchsorted(start, at)
