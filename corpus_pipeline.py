@@ -26,8 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     ship(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    copies = save(minhash.near_duplicates(docs).where("not kept").select("doc_id"))
+    copies = F.broadcast(copies) if copies.count() <= minhash.BROADCAST_NAMES else copies
+    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
