@@ -16,7 +16,7 @@ from .scratch import save
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
-    low = near.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    low = save(near.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))  # apart, so that the join can split a hot node
     moved = near.join(low, "a")
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))

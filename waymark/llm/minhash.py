@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     sketches = save(sketch(docs, doc, text, k, bands, rows))
     classes = save(sketches.where("set_key is not null").groupBy("set_key").agg(F.min(doc).alias("member")))
     posts = sketches.join(classes.select(F.col("member").alias(doc)), doc, "left_semi").select(F.col(doc).alias("member"), F.explode("bands").alias("band"))
-    buckets = posts.groupBy("band").agg(F.count("*").alias("n"), F.min("member").alias("hub")).where("n > 1").select("band", "hub")
+    # saved, so that the join has plain shuffles on both sides and Spark can split a hot bucket
+    buckets = save(posts.groupBy("band").agg(F.count("*").alias("n"), F.min("member").alias("hub")).where("n > 1").select("band", "hub"))
     shared = save(posts.join(buckets, "band"))
     sets = sets_of(docs, shared.select(F.col("member").alias(doc)).distinct(), doc, text, k)
 
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
 
     # what no hub has tested yet: members of one bucket that are still apart
     inner = shared.where("member != hub").join(labels, "member", "left").select("band", "member", F.coalesce("component", "member").alias("component"))
-    apart = inner.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    apart = save(inner.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"))
     left = save(inner.join(apart, "band", "left_semi").select("member").distinct())
     rest = sets.select(F.col(doc).alias("member"), "shingles").join(left, "member", "left_semi")
     bridges = save(verified(prefix_pairs(rest, labels, percent), sets, doc, percent))
