@@ -80,7 +80,12 @@ class SpacedEncoder:
         last, out = np.array([end], self.kind).tobytes(), []
         lower = self.lower and not pc.any(pc.match_substring(col, "<|")).as_py()
         for _, _, w in words.scan(col, words.SPACED, lower=lower, chunk_bytes=CHUNK_BYTES, joints=_JOINTS):
-            h, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            coded = pa.array(w.hashes()).dictionary_encode()
+            h, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            first = np.zeros(len(h), np.int64)
+            first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+            order = np.argsort(h)  # in order, the table is searched from one end to the other
+            h, first = h[order], first[order]
             if len(self.hashes) + len(h) > KNOWN:
                 self.forget()
             place = np.searchsorted(self.hashes, h)
@@ -88,13 +93,16 @@ class SpacedEncoder:
             if len(self.hashes):
                 new = self.hashes[np.minimum(place, len(self.hashes) - 1)] != h
             if new.any():
-                runs = [x.decode("utf-8", "replace") for x in words.take(w, first[new]).to_pylist()]
+                fresh = np.flatnonzero(new)
+                runs = [x.decode("utf-8", "replace") for x in words.take(w, first[fresh]).to_pylist()]
                 alone = np.array([_BETWEEN in x for x in runs])
                 for part in (~alone, alone):
                     if part.any():
-                        self._learn(h[new][part], [x for x, ok in zip(runs, part.tolist(), strict=True) if ok])
+                        self._learn(h[fresh[part]], [x for x, ok in zip(runs, part.tolist(), strict=True) if ok])
                 place = np.searchsorted(self.hashes, h)
-            which = place[inverse]
+            of = np.empty(len(h), np.int64)
+            of[order] = place
+            which = of[inverse]
             size = self.size[which]
             ends = np.cumsum(size)
             ids = self.pool[np.repeat(self.at[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
