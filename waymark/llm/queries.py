@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, minhash, pii, ppm, pq, quality, rans, token_files, toxicity, winnow
 from .oracles import ORACLE_SQL
+from .session import small_batches
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -17,6 +18,7 @@ WORD_VOCABULARY = 49_408
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
