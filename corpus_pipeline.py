@@ -12,20 +12,27 @@ from pyspark.sql import functions as F
 from waymark.llm import bpe, minhash, pii, quality, winnow
 from waymark.llm.queries import BYTE_TOKENIZER, table
 from waymark.llm.scratch import save
+from waymark.llm.session import small_batches
 from waymark.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def ready(spark: SparkSession) -> None:
+    """Executors have the package, and batches are small."""
+    ship(spark)
+    small_batches(spark)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    ship(spark)
+    ready(spark)
     return quality.classify(docs.select(COLUMNS), table(spark, sf_dir, "labels")).where("predicted = 1").select(COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
-    ship(spark)
+    ready(spark)
     copies = save(minhash.near_duplicates(docs).where("not kept").select("doc_id"))
     copies = F.broadcast(copies) if copies.count() <= minhash.BROADCAST_NAMES else copies
     return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
@@ -33,19 +40,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    ship(spark)
+    ready(spark)
     return winnow.contamination(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars counts the new text."""
-    ship(spark)
+    ready(spark)
     return pii.redact(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded): packed ids of each text, and the text that they decode to."""
-    ship(spark)
+    ready(spark)
     done = bpe.round_trip(docs.select("doc_id", "text"), BYTE_TOKENIZER)
     return done.select("doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
 
