@@ -178,7 +178,7 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc, n_shingles, component_id, kept), a row for each row of `docs`.
 
-    Ids are taken to be unique. Ties need no rule: a component is named by its smallest id.
+    Ids are taken to be unique. Ties need no rule: a component is named by its smallest id. A null id names nothing.
     """
     docs = docs.select(doc, text)
     sketches = save(sketch(docs, doc, text, k, bands, rows))
@@ -206,4 +206,4 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     named = named.join(merged, "first", "left").select("set_key", F.coalesce("last", "first").alias("component_id"))
     out = sketches.select(doc, "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select(doc, "n_shingles", F.coalesce("component_id", doc).alias("component_id"))
-    return out.withColumn("kept", F.col(doc) == F.col("component_id"))
+    return out.withColumn("kept", F.col(doc).eqNullSafe(F.col("component_id")))
