@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import LinkConfig
 from ..functions.similarity import similar
 from ..functions.text import localities, normal
+from ..scratch import save
 
 
 def places(requests: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
@@ -43,7 +44,7 @@ def station_scan(requests: DataFrame, master: DataFrame, within: str | None = No
     Of keys with one station name in several districts, the one whose district the address names too stays alone.
     `within` names a column of requests with the only district to look at.
     """
-    found, keys = places(requests, config), master.select("district", "station").distinct()
+    found, keys = save(places(requests, config)), save(master.select("district", "station").distinct())
     tokens = found.select("token").distinct()
     names = _scored(tokens, keys.select(F.col("station").alias("name")), config)
     hits = found.join(names, "token").join(keys.withColumnRenamed("station", "name"), "name").withColumnRenamed("name", "station")
@@ -61,6 +62,6 @@ def station_scan(requests: DataFrame, master: DataFrame, within: str | None = No
 
 def district_scan(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(request_id, rank, district, score, locality): districts that an address names."""
-    found, districts = places(requests, config), master.select(F.col("district").alias("name")).distinct()
+    found, districts = save(places(requests, config)), master.select(F.col("district").alias("name")).distinct()
     hits = found.join(_scored(found.select("token").distinct(), districts, config), "token").withColumnRenamed("name", "district")
     return _ranked(_best(hits, ["district"]), ["district"], config)
