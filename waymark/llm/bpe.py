@@ -199,16 +199,14 @@ class Decoder:
         return b"".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_workers: dict[str, tuple[Encoder, Decoder]] = {}
+_tools_of: list = []
 
 
-def _tools(shared) -> tuple[Encoder, Decoder]:
-    key = str(shared.id) if hasattr(shared, "id") else str(id(shared))
-    if key not in _workers:
-        _workers.clear()
-        automaton = shared.value
-        _workers[key] = Encoder(automaton), Decoder(automaton)
-    return _workers[key]
+def _tools(automaton: TokenAutomaton) -> tuple[Encoder, Decoder]:
+    """The encoder and decoder of an automaton; a worker keeps those it used last from task to task."""
+    if not _tools_of or _tools_of[0] is not automaton:
+        _tools_of[:] = automaton, Encoder(automaton), Decoder(automaton)
+    return _tools_of[1], _tools_of[2]
 
 
 def _add(df: DataFrame, tokenizer: str, source: str, added: list[tuple[str, T.DataType]], work) -> DataFrame:
@@ -220,7 +218,7 @@ def _add(df: DataFrame, tokenizer: str, source: str, added: list[tuple[str, T.Da
     schema = T.StructType([df.schema[c] for c in kept if c not in names] + [T.StructField(n, t) for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _tools(shared)
+        encoder, decoder = _tools(shared.value)
         for batch in batches:
             made = work(encoder, decoder, batch.column(batch.schema.get_field_index(source)).to_pylist())
             columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in names]
