@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Most pieces that one Python worker keeps; beyond that it starts afresh. This bounds memory, not results.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 MEMO_LENGTH = 64
 
 
@@ -62,7 +62,7 @@ class TokenAutomaton:
         self.beside: dict[int, tuple[int, int]] = {}
         for at, (u, v, w) in enumerate(merges):
             self._gadget(at, u, v, w)
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}
 
     def _gadget(self, at: int, u: int, v: int, w: int) -> None:
         self.cut.setdefault(u, {}).setdefault(v, at)
@@ -73,11 +73,12 @@ class TokenAutomaton:
         """Whether an arc with this label leaves the state."""
         if state == self.START:
             return True
-        known = self._known.get((state, label))
+        key = state << 32 | label
+        known = self._known.get(key)
         if known is None:
-            if len(self._known) > MEMO_PIECES:
+            if len(self._known) >= MEMO_PIECES:
                 self._known.clear()
-            known = self._known[state, label] = self._look(state, label)
+            known = self._known[key] = self._look(state, label)
         return known
 
     def _look(self, state: int, label: int) -> bool:

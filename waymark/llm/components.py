@@ -2,7 +2,7 @@
 
 Each round rewrites the links so that nodes point at ever smaller nodes; the number
 of rounds grows with the logarithm of the longest chain. A node with very many links
-is only ever the key of partial minima and of the splittable side of a join.
+is only ever the key of partial minima and of a join with one row on its other side.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .scratch import save
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
-    low = save(near.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))  # apart, so that the join can split a hot node
+    low = near.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
     moved = near.join(low, "a")
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
