@@ -16,6 +16,8 @@ from waymark.llm.session import small_batches
 from waymark.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates of the dedup stage share 80 per cent of their shingles. A pair at that threshold shares none of so many bands with a chance of 4 in 10^8.
+PERCENT, BANDS, ROWS = 80, 43, 5
 
 
 def ready(spark: SparkSession) -> None:
@@ -33,7 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     ready(spark)
-    copies = save(minhash.near_duplicates(docs).where("not kept").select("doc_id"))
+    copies = save(minhash.near_duplicates(docs, percent=PERCENT, bands=BANDS, rows=ROWS).where("not kept").select("doc_id"))
     copies = F.broadcast(copies) if copies.count() <= minhash.BROADCAST_NAMES else copies
     return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
 

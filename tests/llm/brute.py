@@ -24,7 +24,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     sets, groups = {d: shingles(t) for d, t in docs}, Groups()
     held = defaultdict(list)
     for d, s in sets.items():
@@ -32,7 +32,7 @@ def near_duplicates(docs):
             held[x].append(d)
     for d, s in sets.items():
         for e, n in Counter(e for x in s for e in held[x] if e < d).items():
-            if 100 * n >= 85 * (len(s) + len(sets[e]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[e]) - n):
                 groups.join(d, e)
     return {d: (len(s), groups.root(d)) for d, s in sets.items()}
 

@@ -131,3 +131,17 @@ def test_pipeline(spark, tmp_path):
     assert 6002 not in kept[1] and 6000 in kept[1] and 6000 not in kept[2] and kept[2] == kept[3] == kept[4]
     assert {r.doc_id: r.decoded for r in now.collect()} == {d: r.text or "" for d, r in got.items()}
     assert pipeline.run(spark, str(tmp_path)).count() == len(kept[-1])
+
+
+def test_dedup_stage_drops_copies_at_80_per_cent(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = []
+    for n in (200, 204, 94):
+        for d in range(0, 29, 2):  # n - 4 shingles, of which a copy that begins d words later has all but d
+            mark = [f"w{n}x{d}x{i}" for i in range(n + d)]
+            rows += [(len(rows), " ".join(mark[:n])), (len(rows) + 1, " ".join(mark[d:]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in pipeline.dedup_stage(spark, docs, str(tmp_path)).collect()}
+    want = {percent: {d for d, (_, root) in brute.near_duplicates(rows, percent).items() if d == root} for percent in (80, 85)}
+    assert kept == want[80] and len(want[80]) < len(want[85]) < len(rows)
+    assert (1 - 0.8**pipeline.ROWS) ** pipeline.BANDS < 4e-8
