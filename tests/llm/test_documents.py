@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from waymark.llm import components, minhash, pii, ppm, winnow, words
+from waymark.llm import components, minhash, pii, ppm, queries, winnow, words
 
 random.seed(11)
 VOCABULARY = ["".join(random.choice("abcdeéABC") for _ in range(random.randint(1, 7))) for _ in range(150)]
@@ -181,3 +182,46 @@ def test_language_model_without_training(spark):
     got = {r.doc_id: r for r in ppm.scores(docs, F.lit(True)).collect()}
     assert got[1].train_tokens == 0 and got[1].n_known == 0 and math.isclose(got[1].score, -4 * math.log10(256))
     assert ppm.scores(docs.where("doc_id < 0"), F.lit(False)).count() == 0
+
+
+def plain_ppm_across(train):
+    counts = defaultdict(Counter)
+    whole = lambda words: b" " + b"".join(w.encode() + b" " for w in words) + b"\n"
+    for p in map(whole, train):
+        for i in range(1, len(p)):
+            for k in range(min(i, ppm.ORDER) + 1):
+                counts[p[i - k : i]][p[i]] += 1
+
+    def byte(context, s):
+        total, gone = 0.0, set()
+        for k in range(len(context), -1, -1):
+            live = {a: n for a, n in counts[context[len(context) - k :]].items() if a not in gone}
+            if live:
+                den = sum(live.values()) + len(live)
+                if s in live:
+                    return total + math.log10(live[s] / den)
+                total += math.log10(len(live) / den)
+                gone |= set(live)
+        return total - math.log10(max(1, 256 - len(gone)))
+
+    def text(tokens):
+        p = whole(tokens)
+        return sum(byte(p[max(0, i - ppm.ORDER) : i], p[i]) for i in range(1, len(p)))
+
+    return text
+
+
+@pytest.mark.parametrize("head", [1 << 19, 20])
+def test_language_model_across_words(spark, monkeypatch, tmp_path, head):
+    monkeypatch.setattr(ppm, "HEAD_WORDS", head)
+    monkeypatch.setattr(ppm, "HEAD_GRAMS", head)
+    rows = list(enumerate([prose(random.randint(1, 80)) for _ in range(40)] + [None, "", " \n ", "ünseen zzz-word", "a " * 500]))
+    rows += [(100, "some words in Order"), (101, "order  in words\nsome")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op6_ppm(spark, str(tmp_path)).collect()}
+    tokens = {d: brute.SPACED.findall((t or "").translate(brute.LOWER)) for d, t in rows}
+    model = plain_ppm_across([tokens[d] for d in tokens if zlib.crc32(str(d).encode()) % 5 != 1])
+    assert len(got) == len(rows) and got[100].score != got[101].score
+    assert all(math.isclose(got[d].score, model(w), rel_tol=1e-9) for d, w in tokens.items())
+    nothing = ppm.scores(table(spark, [(1, "ab"), (2, None)]), F.lit(True), across=True).collect()
+    assert all(math.isclose(r.score, -(4 if r.doc_id == 1 else 1) * math.log10(256)) for r in nothing)

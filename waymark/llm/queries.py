@@ -64,7 +64,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    return ppm.scores(table(spark, sf_dir, "documents"), held_out)
+    return ppm.scores(table(spark, sf_dir, "documents"), held_out, across=True)
 
 
 def op7_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
