@@ -67,6 +67,59 @@ def test_near_duplicates(spark):
     assert [(r.n_shingles, r.component_id == r.doc_id) for r in alone] == [(0, True)]
 
 
+def test_repeated_ids_and_clashing_hashes(spark, monkeypatch):
+    rows = [(1, prose(30)), (1, "other words altogether here now"), (2, prose(3)), (2, None)]
+    got = minhash.near_duplicates(table(spark, rows)).collect()
+    assert len(got) == 4 and all(r.component_id == r.doc_id for r in got)
+    whole, n = " ".join(f"w{i}" for i in range(40)), 5
+    texts = pa.array([whole, whole + " x", whole.replace("w20", "w21"), "", "w1 w2", whole.upper()])
+    real = words.Words.hashes
+    monkeypatch.setattr(words.Words, "hashes", lambda self, seed=0: real(self, seed) & np.uint64(1))
+    assert minhash._like_hub(texts, np.zeros(6, int), n, 85).tolist() == [False, True, False, False, False, True]
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_hubs_over_batches(spark, monkeypatch):
+    rows = [(i, t) for i, t in corpus() if i < 60 and t and len(t.split()) > 4]
+    docs, sets = table(spark, rows), {d: brute.shingles(t) for d, t in rows}
+    pairs = [(a, b) for a in (rows[0][0], rows[9][0], rows[-1][0]) for b, _ in rows if a != b]
+    want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    for at_once, copies in ((1 << 20, 1 << 20), (3000, 5000), (1, 1)):
+        monkeypatch.setattr(minhash, "SIDE_BY_SIDE", at_once)
+        monkeypatch.setattr(minhash, "TOGETHER", copies)
+        assert {tuple(r) for r in minhash.verified(asked, docs, "doc_id", "text", 85).collect()} == want
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_a_polynomial_confuses(spark, n):
+    one, two = thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+    docs = table(spark, [(1, one), (2, two), (3, f"{one} {prose(20)}")])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    bench = spark.createDataFrame([("i", two)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in winnow.contamination(docs, bench).collect()} == {1: 0, 2: 1, 3: 0}
+    got = {r.doc_id: r for r in ppm.scores(docs, F.col("doc_id") == 2).collect()}
+    assert (got[2].n_known, got[1].n_known) == (1, 2)
+
+
+def test_windows_with_one_hash(spark, monkeypatch):
+    items = [(1, " ".join(f"b{i}" for i in range(15))), (2, " ".join(f"c{i}" for i in range(13))), (3, "d1 d2")]
+    rows = [(1, items[0][1] + " x y"), (2, " ".join(f"e{i}" for i in range(40))), (3, "z d1 d2 z d1 d3"), (4, items[1][1].upper())]
+    index = winnow.Index([(str(i), t) for i, t in items])
+    real = winnow._among
+    w = words.split(*words.buffers(pa.array([t for _, t in rows])), words.ALNUM)
+    monkeypatch.setattr(winnow, "_among", lambda known, x: real(known, x) | True)
+    every = np.arange(3)
+    hashes = np.full(3, index.windows[13][0][0])
+    assert all(len(winnow._holders(w, index, 13, every + 17, hashes)[0]) == 0 for _ in range(2))
+
+
 def test_signatures_over_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 400, 3, 1000)]

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waymark.llm import bpe, library, rans, token_files
+from waymark.llm import bpe, library, rans, token_files, words
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -51,18 +51,59 @@ def test_round_trip_and_parts(spark, library_byte):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
-def test_any_text(automaton, library_byte, text):
-    ids = bpe.Encoder(automaton).encode(text)
-    assert np.frombuffer(ids, "<u4").tolist() == library_byte.encode(text, add_special_tokens=False).ids
-    assert bpe.Decoder(automaton).decode(ids) == text
+@given(st.lists(st.text(max_size=60) | st.text("a 's't\n\tre5.", max_size=30), max_size=4))
+def test_any_text(automaton, library_byte, texts):
+    ids = bpe.Encoder(automaton).encode_column(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [library_byte.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe.Decoder(automaton).decode_column(ids).to_pylist() == texts
+
+
+def test_parts_and_a_small_memo(automaton, library_byte, monkeypatch):
+    long = "It's a long one, isn't it? " * 40 + "é" * 300 + " <|endoftext|> x" + "ab" * 400 + " end"
+    texts = [long, None, "", long[1:], "x " * 500, long]
+    whole = bpe.Encoder(automaton).encode_column(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in whole.to_pylist()] == [library_byte.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "PART", 64)
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 5)
+    assert bpe.Encoder(automaton).encode_column(pa.array(texts, pa.string())).equals(whole)
+    assert bpe.Encoder(automaton).encode_column(pa.array(texts, pa.string()).slice(2, 3)).equals(whole.slice(2, 3))
+    broken = pa.array([np.array([automaton.added["<|endoftext|>"], 0xC3], "<u4").tobytes(), None], pa.binary())
+    assert bpe.Decoder(automaton).decode_column(broken).to_pylist()[1] == ""
 
 
 def test_automaton_accepts_just_the_encoding(automaton, library_byte):
-    ids = library_byte.encode("internationalisation", add_special_tokens=False).ids
-    states = [automaton.START, *ids]
-    assert all(automaton.has_arc(a, b) for a, b in zip(states, states[1:], strict=False))
-    assert not automaton.has_arc(automaton.token[b"t"], automaton.token[b"h"]) or b"th" not in automaton.token
+    ids = np.array(library_byte.encode("internationalisation", add_special_tokens=False).ids)
+    assert automaton.has_arc(ids[:-1], ids[1:]).all()
+    data = np.frombuffer(b"thth", np.uint8)
+    t, h = (automaton.token[automaton.root[b]] for b in b"th")
+    assert not automaton.has_arc(np.array([t]), np.array([h])).any()
+    ids, count = automaton.paths(data, np.array([2, 2, 4]))
+    assert count.tolist() == [1, 0, 1] and ids[0] == ids[1]
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_a_polynomial_confuses(spark, n):
+    one, two = thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+    made = library.SpacedEncoder(WORD)
+    got = made.encode_column(pa.array([one, two, f"{one} {two}"], pa.string()), 1)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [made.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in (one, two, f"{one} {two}")]
+    assert got[0] != got[1]
+
+
+def test_runs_with_one_hash(monkeypatch):
+    real = words.Words.hashes
+    monkeypatch.setattr(words.Words, "hashes", lambda self, seed=0: real(self, seed) & np.uint64(3))
+    made, texts = library.SpacedEncoder(WORD), ["one two three four five six", "six seven Eight\tnine ten one", "", "two.three,four"]
+    for _ in range(2):
+        got = made.encode_column(pa.array(texts, pa.string()), 1)
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [made.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
 @settings(max_examples=100, deadline=None)

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from . import words
 
-#: Most runs that one Python worker keeps, at about 30 bytes each. This bounds memory, not results.
-KNOWN = 4_000_000
+#: Most runs that one Python worker keeps, at about 50 bytes each. This bounds memory, not results.
+KNOWN = 2_000_000
 CHUNK_BYTES = 4 << 20
 #: Where a mark of these meets a letter or digit of ASCII, the pre-tokenizer cuts as well, and no normal form joins them.
 _JOINTS = np.zeros(256, np.uint8)
@@ -29,7 +29,7 @@ class SpacedEncoder:
     """For a tokenizer whose pre-tokenizer drops white space and parts letters and digits from marks, so that what stands between
     two ASCII spaces, or a mark and a word, is encoded on its own.
 
-    Runs are told apart by 64-bit hashes. With `plain`, strings of special tokens in a text are ordinary text.
+    Runs are found by 64-bit hashes and told apart by their bytes. With `plain`, strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, plain: bool = False, kind: str = "<u2"):
@@ -47,8 +47,12 @@ class SpacedEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: hashes in order, with the number of the run that has each; by that number, places and sizes of ids in `pool`, and the bytes
+        self.hashes, self.run = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+        none = np.zeros(0, np.int64)
+        self.known = words.Words(np.zeros(0, np.uint8), none, none, none, none, none)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,51 +67,71 @@ class SpacedEncoder:
         cuts = np.flatnonzero(ids == self.between[0])
         return ids[ids != self.between[0]], np.diff(cuts, prepend=-1) - 1
 
-    def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
-        """Add runs, in order of their hashes, to the sorted table."""
-        flat, size = self._flat(runs)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, place, hashes)
-        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, place, size)
-        self.used += len(flat)
+    def _learn(self, hashes: np.ndarray, runs: words.Words) -> np.ndarray:
+        """Number runs whose different hashes nothing in the table has."""
+        texts = [x.decode("utf-8", "replace") for x in words.take(runs, np.arange(len(hashes))).to_pylist()]
+        alone = np.array([_BETWEEN in x for x in texts], bool)
+        at, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for part in (np.flatnonzero(~alone), np.flatnonzero(alone)):
+            if len(part):
+                flat, size[part] = self._flat([texts[i] for i in part.tolist()])
+                at[part] = self.used + np.cumsum(size[part]) - size[part]
+                while self.used + len(flat) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+                self.pool[self.used : self.used + len(flat)] = flat
+                self.used += len(flat)
+        number = len(self.at) + np.arange(len(texts))
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.run = np.insert(self.hashes, place, hashes[order]), np.insert(self.run, place, number[order])
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        k, n = self.known, len(self.known.data)
+        self.known = words.Words(np.concatenate([k.data, runs.data]), k.at, np.concatenate([k.start, runs.start + n]), np.concatenate([k.end, runs.end + n]), k.text, k.first)
+        return number
+
+    def _numbers(self, runs: words.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each run or -1, whether its hash is another run's)."""
+        out, taken = np.full(len(h), -1), np.zeros(len(h), bool)
+        if len(self.hashes):
+            order = np.argsort(h)  # in order, the table is searched from one end to the other
+            at = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
+            found = self.hashes[at] == h[order]
+            hit, number = order[found], self.run[at[found]]
+            ok = words.same(runs, hit, self.known, number)
+            out[hit[ok]], taken[hit[~ok]] = number[ok], True
+        return out, taken
+
+    def _coded(self, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of ids of each)."""
+        first, inverse = w.distinct()
+        runs = w.only(first)
+        h = runs.hashes()
+        if len(self.hashes) + len(h) > KNOWN:
+            self.forget()
+        number, taken = self._numbers(runs, h)
+        new = np.flatnonzero((number < 0) & ~taken)
+        if len(new):
+            one, again = np.unique(h[new], return_index=True, return_inverse=True)[1:]
+            number[new] = self._learn(h[new[one]], runs.only(new[one]))[again]
+            number[new[~words.same(runs, new, runs, new[one][again])]] = -1
+        size, start, pool = self.size[number], self.at[number], self.pool[: self.used]
+        rest = np.flatnonzero(number < 0)
+        if len(rest):
+            flat = [self._flat([x.decode("utf-8", "replace")])[0] for x in words.take(runs, rest).to_pylist()]
+            size[rest] = [len(x) for x in flat]
+            start[rest] = len(pool) + np.cumsum(size[rest]) - size[rest]
+            pool = np.concatenate([pool, *flat])
+        size = size[inverse]
+        return pool[words.spread(start[inverse], size)], size
 
     def encode_column(self, col: pa.Array, end: int) -> list[bytes]:
         """Packed ids of each text, followed by the id `end`."""
         last, out = np.array([end], self.kind).tobytes(), []
         lower = self.lower and not pc.any(pc.match_substring(col, "<|")).as_py()
         for _, _, w in words.scan(col, words.SPACED, lower=lower, chunk_bytes=CHUNK_BYTES, joints=_JOINTS):
-            coded = pa.array(w.hashes()).dictionary_encode()
-            h, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            first = np.zeros(len(h), np.int64)
-            first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
-            order = np.argsort(h)  # in order, the table is searched from one end to the other
-            h, first = h[order], first[order]
-            if len(self.hashes) + len(h) > KNOWN:
-                self.forget()
-            place = np.searchsorted(self.hashes, h)
-            new = np.ones(len(h), bool)
-            if len(self.hashes):
-                new = self.hashes[np.minimum(place, len(self.hashes) - 1)] != h
-            if new.any():
-                fresh = np.flatnonzero(new)
-                runs = [x.decode("utf-8", "replace") for x in words.take(w, first[fresh]).to_pylist()]
-                alone = np.array([_BETWEEN in x for x in runs])
-                for part in (~alone, alone):
-                    if part.any():
-                        self._learn(h[fresh[part]], [x for x, ok in zip(runs, part.tolist(), strict=True) if ok])
-                place = np.searchsorted(self.hashes, h)
-            of = np.empty(len(h), np.int64)
-            of[order] = place
-            which = of[inverse]
-            size = self.size[which]
-            ends = np.cumsum(size)
-            ids = self.pool[np.repeat(self.at[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-            cuts = (np.concatenate([[0], ends])[w.first] * self.kind.itemsize).tolist()
-            out += [ids[a:b] + last for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            ids, size = self._coded(w)
+            packed, cuts = ids.tobytes(), (np.concatenate([[0], np.cumsum(size)])[w.first] * self.kind.itemsize).tolist()
+            out += [packed[a:b] + last for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
 

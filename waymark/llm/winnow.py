@@ -9,6 +9,8 @@ looked up at each place by the hash of that many words.
 The benchmark is read in blocks of bounded size. The documents pass each block in
 turn and are never shuffled, whatever their sources or repeats.
 
+Hashes only find places: a window counts where all its words have the bytes of the item's.
+
 Null and empty texts have no words, no hits and no items. Repeated items all count.
 """
 
@@ -27,7 +29,7 @@ from . import words
 WINDOW = 13
 K = 6
 #: Bytes of benchmark text that one block may hold; the index of a block takes about three times as much.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Index:
@@ -35,8 +37,8 @@ class Index:
 
     def __init__(self, texts: list[tuple[str, str | None]]):
         self.items = [i for i, _ in texts]
-        found: dict[int, list[tuple[np.ndarray, int]]] = {}
-        prints = [np.zeros(0, np.uint64)]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+        prints, parts, before, bytes_before = [np.zeros(0, np.uint64)], [], 0, 0
         col = pa.array([t or "" for _, t in texts], pa.string())
         for a, _, w in words.scan(col, words.ALNUM):
             h = w.hashes()
@@ -45,15 +47,22 @@ class Index:
                 if n >= WINDOW:
                     prints.append(words.runs(own, K)[chosen(words.runs(own, K), WINDOW - K + 1)])
                 if n:
-                    found.setdefault(min(n, WINDOW), []).append((np.unique(words.runs(own, min(n, WINDOW))), a + i))
+                    windows, first = np.unique(words.runs(own, min(n, WINDOW)), return_index=True)
+                    found.setdefault(min(n, WINDOW), []).append((windows, (first + f + before).astype(np.int32), a + i))
+            parts.append((w.data, w.start + bytes_before, w.end + bytes_before))
+            before, bytes_before = before + len(w.start), bytes_before + len(w.data)
+        data, start, end = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2)
+        none = np.zeros(0, np.int64)
+        #: the words of all items, in turn
+        self.words = words.Words(data, none, start, end, none, none)
         self.prints = np.unique(np.concatenate(prints))
-        #: by length: window hashes in order, and the item of each (a window of several items is there several times)
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n, parts in found.items():
-            hashes = np.concatenate([x for x, _ in parts])
-            owner = np.concatenate([np.full(len(x), i) for x, i in parts])
+        #: by length: window hashes in order, the item of each and its first word (a window of several items is there several times)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, held in found.items():
+            hashes = np.concatenate([x for x, _, _ in held])
+            owner = np.concatenate([np.full(len(x), i, np.int32) for x, _, i in held])
             order = np.argsort(hashes, kind="stable")
-            self.windows[n] = hashes[order], owner[order]
+            self.windows[n] = hashes[order], owner[order], np.concatenate([f for _, f, _ in held])[order]
 
 
 def chosen(grams: np.ndarray, w: int) -> np.ndarray:
@@ -100,12 +109,16 @@ def _matches(w: words.Words, index: Index) -> list[tuple[int, np.ndarray, np.nda
     return [(n, s[ok], x[ok]) for n, s, x in out for ok in [_among(index.windows[n][0], x)]]
 
 
-def _holders(index: Index, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each hash, all items that hold it: (which hash, item)."""
-    known, owner = index.windows[n]
+def _holders(w: words.Words, index: Index, n: int, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, item) of all windows of n words that items hold, word for word."""
+    known, owner, place = index.windows[n]
     a, b = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
-    which = np.repeat(np.arange(len(hashes)), b - a)
-    return which, owner[np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
+    at, starts = words.spread(a, b - a), np.repeat(starts, b - a)
+    ok = np.ones(len(at), bool)
+    for i in range(0, len(at), 4096):  # bounds the bytes compared at once
+        cells = (starts[i : i + 4096, None] + np.arange(n)).reshape(-1), (place[at[i : i + 4096], None] + np.arange(n)).reshape(-1)
+        ok[i : i + 4096] = words.same(w, cells[0], index.words, cells[1]).reshape(-1, n).all(1)
+    return starts[ok], owner[at[ok]]
 
 
 def _pass(df: DataFrame, text: str, shared, first: bool) -> DataFrame:
@@ -122,12 +135,12 @@ def _pass(df: DataFrame, text: str, shared, first: bool) -> DataFrame:
                 n, per_text = b - a, w.per_text
                 mark = np.zeros(len(w.start) + 1, np.int64)
                 held: dict[int, set[int]] = {}
-                for size, starts, hashes in _matches(w, index):
+                for size, found, hashes in _matches(w, index):
+                    starts, item = _holders(w, index, size, found, hashes)
                     np.add.at(mark, starts, 1)
                     np.add.at(mark, starts + size, -1)
-                    which, item = _holders(index, size, hashes)
-                    for t, i in zip(w.text[starts[which]].tolist(), item.tolist(), strict=True):
-                        held.setdefault(t, set()).add(i)
+                    for pair in np.unique(w.text[starts] * len(index.items) + item).tolist():
+                        held.setdefault(pair // len(index.items), set()).add(pair % len(index.items))
                 hit = np.cumsum(mark)[:-1] > 0
                 items = [[index.items[i] for i in held.get(t, ())] for t in range(n)]
                 if not first:

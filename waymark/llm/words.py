@@ -1,7 +1,10 @@
 """Words of many texts at once: Arrow string buffers in, numpy arrays out.
 
 All hashes are 64-bit and depend on the bytes of a word alone, so they agree
-between tasks, executors and runs.
+between tasks, executors and runs. A hash is a sum of byte values times factors of
+their places, where both are random numbers and no powers of one base, so that no
+pattern of letters cancels out. It finds equal words; where a result is final, the
+operators compare the bytes as well.
 """
 
 from __future__ import annotations
@@ -42,23 +45,24 @@ def _byte_values() -> np.ndarray:
     return mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
 
 
-_powers: dict[str, np.ndarray] = {}
+_factors = np.zeros(0, np.uint64)
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n-1 of an odd base, or of its inverse, modulo 2**64."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        base = 0xD6E8FEB86659FD93
-        base = base if kind == "up" else pow(base, -1, 1 << 64)
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if size > 8 * CHUNK_BYTES:
-            return have
-        _powers[kind] = have
-    return have
+def _factor(n: int) -> np.ndarray:
+    """A random odd factor for each of the first n places of a word; those of long words are not kept."""
+    global _factors
+    if len(_factors) >= n:
+        return _factors
+    made = mix(np.arange(max(n, 1024), dtype=np.uint64) * _ODD + np.uint64(0x243F6A8885A308D3)) | np.uint64(1)
+    if len(made) <= CHUNK_BYTES:
+        _factors = made
+    return made
+
+
+def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places at[i], at[i] + 1, ... of size[i] each, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
@@ -76,13 +80,37 @@ class Words:
     def per_text(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_values()[self.data] * _power("up", n)[:n], out=total[1:])
-        h = total[self.end] - total[self.start]
-        h *= _power("down", n + 1)[self.start]
-        return mix(h)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        value = _byte_values()[self.data[place + np.repeat(self.start, size)]]
+        if seed:
+            value = mix(value + np.uint64(seed) * _ODD)
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value * _factor(int(size.max()))[place], out=total[1:])
+        return mix(total[ends] - total[ends - size])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, which): words of which no two are equal but for what separates them from the next, and for each word its place among them."""
+        n = len(self.start)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cells = pa.py_buffer(np.append(self.start, self.end[-1]).astype(np.int32).tobytes())
+        coded = pa.BinaryArray.from_buffers(pa.binary(), n, [None, cells, pa.py_buffer(np.ascontiguousarray(self.data))]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        first = np.zeros(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(n - 1, -1, -1)
+        return first, which
+
+    def only(self, which: np.ndarray) -> Words:
+        """These words, as words of one text."""
+        size = self.end[which] - self.start[which]
+        ends = np.cumsum(size)
+        none = np.zeros(len(which), np.int64)
+        return Words(self.data[spread(self.start[which], size)], np.array([0, ends[-1] if len(ends) else 0]), ends - size, ends, none, np.array([0, len(which)]))
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -147,7 +175,17 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
 
 def take(w: Words, which: np.ndarray) -> pa.BinaryArray:
     """The bytes of the words with these indexes."""
-    size = w.end[which] - w.start[which]
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(offsets[-1]) + np.repeat(w.start[which] - offsets[:-1], size)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(w.data[at].tobytes())])
+    some = w.only(which)
+    offsets = np.append(some.start, some.at[-1]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(some.data.tobytes())])
+
+
+def same(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether the words i of a and j of b have the same bytes, pair by pair."""
+    size = a.end[i] - a.start[i]
+    ok = size == b.end[j] - b.start[j]
+    pairs = np.flatnonzero(ok)
+    size = size[pairs]
+    other = a.data[spread(a.start[i[pairs]], size)] != b.data[spread(b.start[j[pairs]], size)]
+    ok[pairs[np.repeat(np.arange(len(pairs)), size)[other]]] = False
+    return ok
