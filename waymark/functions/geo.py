@@ -14,11 +14,10 @@ UNITS = {"km": 1.0, "m": 1000.0, "mi": 1 / 1.609344, "nmi": 1 / 1.852}
 ROUNDS = 20
 
 
-def ellipsoid_km(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
-    """Vincenty's inverse formula with a fixed number of rounds; 0 for equal points, the haversine where it does not settle."""
+def _vincenty(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(km by Vincenty's inverse formula, whether its rounds settled) of points in radians."""
     axis2 = AXIS * (1 - FLAT)
-    lat1, lng1, lat2, lng2 = (np.radians(np.asarray(x, float)) for x in (lat1, lng1, lat2, lng2))
-    u1, u2, turn = np.arctan((1 - FLAT) * np.tan(lat1)), np.arctan((1 - FLAT) * np.tan(lat2)), lng2 - lng1
+    u1, u2, turn = np.arctan((1 - FLAT) * np.tan(lat1)), np.arctan((1 - FLAT) * np.tan(lat2)), np.remainder(lng2 - lng1 + np.pi, 2 * np.pi) - np.pi
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     lam = turn.copy()
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -37,9 +36,37 @@ def ellipsoid_km(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.
         b = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
         less = b * sin * (middle + b / 4 * (cos * (2 * middle**2 - 1) - b / 6 * middle * (4 * sin**2 - 3) * (4 * middle**2 - 3)))
         out = axis2 * a * (sigma - less)
-    rough = 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(turn / 2) ** 2, 0, 1)))
-    out = np.where(np.abs(lam - before) < 1e-9, out, rough)
-    return np.where((lat1 == lat2) & (turn == 0), 0.0, out)
+    return np.where((lat1 == lat2) & (turn == 0), 0.0, out), (np.abs(lam - before) < 1e-9) & (np.abs(lam) <= np.pi)
+
+
+def _halfway(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
+    """km between nearly antipodal points in radians. Every way crosses the circle at 90 degrees (on the sphere) around the
+    first point, and ways to and from the circle are short enough to settle: the least sum over the circle is the distance."""
+
+    def ways(bearing: np.ndarray) -> np.ndarray:
+        lat = np.arcsin(np.clip(np.cos(lat1) * np.cos(bearing), -1, 1))
+        lng = lng1 + np.arctan2(np.sin(bearing) * np.cos(lat1), -np.sin(lat1) * np.sin(lat))
+        one = np.ones_like(bearing)
+        return _vincenty(lat1 * one, lng1 * one, lat, lng)[0] + _vincenty(lat, lng, lat2 * one, lng2 * one)[0]
+
+    middle, width = 0.0, np.pi
+    for _ in range(14):  # each time a hundred times as fine
+        at = middle + np.linspace(-width, width, 401)
+        best = ways(at)
+        middle, width = float(at[np.nanargmin(best)]), width / 20
+        if width < 1e-12:
+            break
+    return float(np.nanmin(best))
+
+
+def ellipsoid_km(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
+    """Vincenty's inverse formula, and for nearly antipodal points, where that does not settle, the least way over a circle
+    between them; 0 for equal points, NaN where a coordinate is."""
+    lat1, lng1, lat2, lng2 = (np.radians(np.asarray(x, float)) for x in (lat1, lng1, lat2, lng2))
+    out, settled = _vincenty(lat1, lng1, lat2, lng2)
+    for i in np.flatnonzero(~settled & np.isfinite(lat1 + lng1 + lat2 + lng2)):
+        out[i] = _halfway(lat1[i], lng1[i], lat2[i], lng2[i])
+    return out
 
 
 @F.pandas_udf(T.DoubleType())

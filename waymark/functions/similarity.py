@@ -133,34 +133,46 @@ def score(scorer: str, a: Column | str, b: Column | str) -> Column:
 
 
 class Names:
-    """Names to score against, with counts of their characters."""
+    """Names to score against, with counts of their characters and the names that hold each word."""
 
     def __init__(self, names: list[str], normals: list[str]):
         self.names, self.normals = names, normals
         self.letters = {c: i for i, c in enumerate(sorted(set("".join(normals))))}
         self.counts = np.zeros((len(names), len(self.letters)), np.int16)
+        self.holding: dict[str, list[int]] = {}
         for i, x in enumerate(normals):
             for c, n in Counter(x).items():
                 self.counts[i, self.letters[c]] = n
+            for w in set(x.split()):
+                self.holding.setdefault(w, []).append(i)
         self.size = np.array([len(x) for x in normals])
 
-    def possible(self, token: str, cutoff: float) -> np.ndarray:
-        """Names that the strict score may put at the cutoff: no common subsequence is longer than the common characters."""
+    def possible(self, token: str, cutoff: float, scorer: str = "strict") -> np.ndarray:
+        """Names that the score may put at the cutoff: no common subsequence is longer than the common characters.
+
+        With c of them in strings of m and n characters, m <= n, a ratio is at most 200c / (m + n), a partial ratio
+        at most 200c / (m + c). The lenient score weighs partial ratios by 0.9 at most, and gains more from sets of
+        words only where a word is shared; names that share one are always possible.
+        """
         own = np.zeros(len(self.letters), np.int16)
         for c, n in Counter(token).items():
             if c in self.letters:
                 own[self.letters[c]] = n
         common, m = np.minimum(self.counts, own).sum(1), len(token)
         short, long = np.minimum(self.size, m), np.maximum(np.maximum(self.size, m), 1)
-        whole = 200.0 * common / np.maximum(self.size + m, 1)
-        part = 200.0 * common / np.maximum(short + common, 1) * short / long
-        return np.flatnonzero(np.maximum(whole, part) >= cutoff - 1e-9)
+        whole, part = 200.0 * common / np.maximum(self.size + m, 1), 200.0 * common / np.maximum(short + common, 1)
+        best = np.maximum(whole, part * np.maximum(short / long, 0.9 if scorer == "lenient" else 0.0))
+        ok = (best >= cutoff - 1e-9) | (self.size + m == 0)
+        if scorer == "lenient":
+            ok[[i for w in set(token.split()) for i in self.holding.get(w, ())]] = True
+        return np.flatnonzero(ok)
 
 
 def similar(tokens: DataFrame, names: DataFrame, scorer: str, cutoff: float, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(token, name, score): distinct pairs from the cutoff on. `tokens` has token and normal, `names` has name and normal.
 
-    Each distinct token is scored once. Names go to the tasks in blocks of bounded size, each block against all tokens.
+    `scorer` is strict or lenient. Each distinct token is scored once, against the names that the counts of characters leave
+    possible. Names go to the tasks in blocks of bounded size, each block against all tokens.
     """
     spark = tokens.sparkSession
     tokens, names = tokens.select("token", "normal").distinct(), names.select("name", "normal").distinct()
@@ -175,8 +187,7 @@ def similar(tokens: DataFrame, names: DataFrame, scorer: str, cutoff: float, con
             for batch in batches:
                 found: tuple[list, list, list] = ([], [], [])
                 for token, normal in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    near = held.possible(normal, cutoff) if scorer == "strict" else range(len(held.names))
-                    for i in near:
+                    for i in held.possible(normal, cutoff, scorer).tolist():
                         s = work(normal, held.normals[i])
                         if s >= cutoff:
                             for column, x in zip(found, (token, held.names[i], s), strict=True):

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic, shown_km
 from ..functions.text import trimmed
+from ..sources.tables import one_each
 
 
 def distance_ranked(requests: DataFrame, master: DataFrame, coordinates: DataFrame, geocodes: DataFrame, district: str = "district") -> DataFrame:
     """(request_id, district, rank, station, distance, distance_km, resolved_address): nearest first, all of them.
 
     `requests` has request_id, address and the district to rank in; geocodes has query, lat and lng, and an address
-    without one gets no rows. Stations without coordinates are left out; `excluded` names them. Equal distances keep row order.
+    without one gets no rows. Stations without coordinates are left out; `excluded` names them. Equal distances keep row order, and of repeated geocodes see `one_each`.
     """
-    origin = geocodes.where("lat is not null and lng is not null").select(trimmed("query").alias("query"), F.col("lat").alias("lat0"), F.col("lng").alias("lng0")).dropDuplicates(["query"])
+    origin = one_each(geocodes.where("lat is not null and lng is not null").withColumn("query", trimmed("query")), ["query"], ["lat", "lng"]).withColumnsRenamed({"lat": "lat0", "lng": "lng0"})
     asked = requests.select("request_id", trimmed("address").alias("query"), F.col(district).alias("district")).join(origin, "query")
     stations = master.join(coordinates.where("lat is not null"), ["district", "station"])
     pairs = asked.join(stations, "district").withColumn("distance_km", geodesic("lat0", "lng0", "lat", "lng"))
@@ -45,7 +46,7 @@ def estimate_ranked(requests: DataFrame, master: DataFrame, replies: DataFrame,
     asked = requests.select("request_id", trimmed("address").alias("address"), F.col(district).alias("district"))
     stations = master.select("district", "station", "row_no")
     sizes = stations.groupBy("district").agg(F.count("*").alias("n"))
-    said = asked.join(replies.select(trimmed("address").alias("address"), "district", "reply").dropDuplicates(["address", "district"]), ["address", "district"]).join(sizes.where(F.col("n") > top_n), "district")
+    said = asked.join(one_each(replies.withColumn("address", trimmed("address")), ["address", "district"], ["reply"]), ["address", "district"]).join(sizes.where(F.col("n") > top_n), "district")
     items = said.select("request_id", "district", F.posexplode(estimates("reply")).alias("i", "x")).select("request_id", "district", "i", F.col("x.name").alias("station"), F.col("x.dist_km").alias("km"))
     items = items.join(stations.select("district", "station").distinct(), ["district", "station"], "left_semi")
     shown = items.select("request_id", "district", "station", F.col("i").cast("long").alias("row_no"), shown_km("km", 0).alias("distance"))

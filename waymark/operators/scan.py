@@ -6,6 +6,8 @@ that more keys share than a set width is no answer at all.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,23 @@ def places(requests: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     return requests.select("request_id", F.posexplode(localities("address", config)).alias("place", "token"))
 
 
-def _scored(tokens: DataFrame, names: DataFrame, config: LinkConfig) -> DataFrame:
-    wanted = tokens.select("token", normal("token").alias("normal"))
-    return similar(wanted, names.select("name", normal("name").alias("normal")), "strict", config.locality_cutoff, config)
+@dataclass(frozen=True)
+class Evidence:
+    """What addresses name, found once for all scans. found: (request_id, place, token); stations, districts: (token, name, score)."""
+
+    found: DataFrame
+    stations: DataFrame
+    districts: DataFrame
+
+
+def evidence(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig()) -> Evidence:
+    """Places of all addresses, and the scores of each distinct one against stations and against districts, saved."""
+    found = save(places(requests, config))
+    tokens = found.select("token").distinct().select("token", normal("token").alias("normal"))
+    names = master.select(F.explode(F.array(F.struct(F.lit(True).alias("is_station"), F.col("station").alias("name")), F.struct(F.lit(False).alias("is_station"), F.col("district").alias("name")))).alias("x")).select("x.*").distinct()
+    scored = similar(tokens, names.select("name", normal("name").alias("normal")), "strict", config.locality_cutoff, config)
+    scored = save(scored.join(names, "name").select("is_station", "token", "name", "score"))
+    return Evidence(found, scored.where("is_station").drop("is_station"), scored.where("not is_station").drop("is_station"))
 
 
 def _ranked(best: DataFrame, keys: list[str], config: LinkConfig) -> DataFrame:
@@ -38,30 +54,28 @@ def _best(hits: DataFrame, keys: list[str]) -> DataFrame:
     return best.select("request_id", *keys, F.bround("b.score", 1).alias("score"), F.col("b.token").alias("locality"))
 
 
-def station_scan(requests: DataFrame, master: DataFrame, within: str | None = None, config: LinkConfig = LinkConfig()) -> DataFrame:
+def station_scan(requests: DataFrame, master: DataFrame, within: str | None = None, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
     """(request_id, rank, station, district, score, locality): keys whose station an address names.
 
     Of keys with one station name in several districts, the one whose district the address names too stays alone.
-    `within` names a column of requests with the only district to look at.
+    `within` names a column of requests with the only district to look at. `known` is evidence of these requests or more.
     """
-    found, keys = save(places(requests, config)), save(master.select("district", "station").distinct())
-    tokens = found.select("token").distinct()
-    names = _scored(tokens, keys.select(F.col("station").alias("name")), config)
-    hits = found.join(names, "token").join(keys.withColumnRenamed("station", "name"), "name").withColumnRenamed("name", "station")
-    if within:
-        hits = hits.join(requests.select("request_id", F.col(within).alias("only")), "request_id").where("district = only").drop("only")
-    best = _best(hits, ["station", "district"])
+    known = known or evidence(requests, master, config)
+    keys = master.select("district", "station").distinct()
+    asked = requests.select("request_id", *([F.col(within).alias("only")] if within else []))
+    found = known.found.join(asked, "request_id")
+    hits = found.join(known.stations, "token").join(keys.withColumnRenamed("station", "name"), "name").withColumnRenamed("name", "station")
+    hits = hits.where("district = only").drop("only") if within else hits
+    named = found.join(known.districts, "token").select("request_id", F.col("name").alias("district"), F.lit(True).alias("named"))
+    best = _best(hits, ["station", "district"]).join(named.distinct(), ["request_id", "district"], "left")
     by_name = Window.partitionBy("request_id", "station")
-    twice = best.withColumn("n", F.count("*").over(by_name))
-    named = _scored(tokens, keys.select(F.col("district").alias("name")).distinct(), config).select("token", F.col("name").alias("district"))
-    named = found.join(named, "token").select("request_id", "district").distinct().withColumn("named", F.lit(True))
-    twice = twice.join(named, ["request_id", "district"], "left").withColumn("n_named", F.count("named").over(by_name))
+    twice = best.withColumn("n", F.count("*").over(by_name)).withColumn("n_named", F.count("named").over(by_name))
     kept = twice.where((F.col("n") == 1) | (F.col("n_named") != 1) | F.col("named"))
     return _ranked(kept.select("request_id", "station", "district", "score", "locality"), ["station", "district"], config)
 
 
-def district_scan(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """(request_id, rank, district, score, locality): districts that an address names."""
-    found, districts = save(places(requests, config)), master.select(F.col("district").alias("name")).distinct()
-    hits = found.join(_scored(found.select("token").distinct(), districts, config), "token").withColumnRenamed("name", "district")
+def district_scan(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
+    """(request_id, rank, district, score, locality): districts that an address names. `known` as in station_scan."""
+    known = known or evidence(requests, master, config)
+    hits = known.found.join(requests.select("request_id"), "request_id").join(known.districts, "token").withColumnRenamed("name", "district")
     return _ranked(_best(hits, ["district"]), ["district"], config)

@@ -188,19 +188,19 @@ ORACLE_SQL = {
         count(*) FILTER (CASE WHEN k % 4 = 0 THEN false WHEN k % 3 <> 0 THEN true ELSE k % 4 > 1 END) AS any_rank, count(*) FILTER (k % 4 = 0) AS empty FROM (SELECT o_orderkey AS k FROM orders)""",
 }
 
-_KIND = "CASE WHEN best = 100 THEN 'Exact' ELSE 'Fuzzy' END || ' match on Police Station (score: ' || best || '%)'"
+_KIND = "CASE WHEN best = 100 THEN 'same' ELSE 'similar' END || ' station name, score ' || best"
 ORACLE_SQL["ladder"] = f"""WITH named AS ({ORACLE_SQL['name_resolution']}), scanned AS ({_STATIONS}), {_MASTER}, {_REQUESTS}, {_TYPED},
     r1 AS (SELECT request_id, min(status) AS status, arg_min(score, rank) AS best, arg_min(station, rank) AS station, arg_min(district, rank) AS district, count(*) AS n, string_agg(district, ', ' ORDER BY rank) AS ds FROM named GROUP BY 1),
     a1 AS (SELECT -request_id AS request_id, 1 AS "case", '1' AS rung, CASE WHEN status = 'ambiguous' THEN 'MEDIUM' WHEN best = 100 THEN 'VERY HIGH' ELSE 'HIGH' END AS confidence,
-        {_KIND} || CASE status WHEN 'unique' THEN '' WHEN 'ambiguous' THEN ' | duplicate station name in ' || n || ' districts — select the correct record' ELSE ' | duplicate station name — resolved by district ' || district END AS method,
-        CASE status WHEN 'ambiguous' THEN 'duplicate station name ''' || station || ''' exists in ' || n || ' districts: ' || ds || ' — select the correct record'
-            WHEN 'resolved_by_district' THEN 'duplicate station name — resolved by district (' || district || ')' END AS note, n AS n_results, station, district FROM r1),
+        {_KIND} || CASE status WHEN 'unique' THEN '' WHEN 'ambiguous' THEN '; ' || n || ' districts have it' ELSE '; told apart by district' END AS method,
+        CASE status WHEN 'ambiguous' THEN station || ' is in ' || n || ' districts, choose one: ' || ds
+            WHEN 'resolved_by_district' THEN 'several districts have this station, ' || district || ' was stated' END AS note, n AS n_results, station, district FROM r1),
     firsts3 AS (SELECT district, min(station) FILTER (k = 1) AS station, count(*) FILTER (k <= 3) AS n FROM (SELECT *, row_number() OVER (PARTITION BY district ORDER BY row_no) AS k FROM master) GROUP BY 1),
-    a2 AS (SELECT -request_id, 2, '2', 'HIGH', 'District matched: ' || district || ' (100.0%) | no address — first N returned', NULL, n, station, district
+    a2 AS (SELECT -request_id, 2, '2', 'HIGH', 'district ' || district || ', score 100.0; no address, in order of rows', NULL, n, station, district
         FROM typed JOIN firsts3 ON upper(kind) = district WHERE request_id NOT IN (SELECT request_id FROM r1)),
     sizes AS (SELECT request_id, count(*) AS n FROM scanned GROUP BY 1),
-    a3 AS (SELECT request_id, 3, '3a', CASE WHEN score >= 95 THEN 'HIGH' ELSE 'MEDIUM' END, 'Locality ''' || locality || ''' from address matched Police Station in Excel (score: ' || score || '%)', NULL, least(n, 3), station, district
+    a3 AS (SELECT request_id, 3, '3a', CASE WHEN score >= 95 THEN 'HIGH' ELSE 'MEDIUM' END, 'the address names a station: ' || locality || ', score ' || score, NULL, least(n, 3), station, district
         FROM scanned JOIN sizes USING (request_id) WHERE rank = 1),
     answered AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)
-    SELECT * REPLACE (n_results::INT AS n_results) FROM answered UNION ALL SELECT request_id, 0, '0', 'NONE', 'Could not determine a match', NULL, 0, NULL, NULL
+    SELECT * REPLACE (n_results::INT AS n_results) FROM answered UNION ALL SELECT request_id, 0, '0', 'NONE', 'no answer', NULL, 0, NULL, NULL
         FROM (SELECT request_id FROM requests UNION ALL SELECT -request_id FROM typed) WHERE request_id NOT IN (SELECT request_id FROM answered)"""

@@ -16,8 +16,9 @@ from ..functions.replies import districts
 from ..functions.text import is_blank, trimmed
 from ..operators.lookup import district_hits, resolved_names
 from ..operators.ranking import distance_ranked, estimate_ranked, excluded, far_warning
-from ..operators.scan import district_scan, station_scan
+from ..operators.scan import Evidence, district_scan, evidence, station_scan
 from ..scratch import save
+from ..sources.tables import filled, one_each
 
 ITEM = "struct<rank:int,station:string,district:string,confidence:string,match_score:double,distance:string,distance_km:double,resolved_address:string>"
 ANSWER = ["request_id", "case", "rung", "confidence", "method", "note", "warning", "results"]
@@ -41,11 +42,14 @@ def _high(score: str, config: LinkConfig) -> Column:
     return F.when(F.col(score) >= config.high_score, "HIGH").otherwise("MEDIUM")
 
 
-def _excluded_note(within: Column | None = None) -> Column:
+def _text(*parts) -> Column:
+    """Columns and strings one after the other; null if one is."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _excluded_note(where: Column | str) -> Column:
     """Null where nothing is excluded."""
-    place = F.lit("") if within is None else F.concat(F.lit(" in "), within)
-    text = F.concat(F.col("n_excluded"), F.lit(" station(s)"), place, F.lit(" excluded from distance ranking (missing/FAILED in coordinate cache): "), F.col("excluded"))
-    return F.when(F.col("n_excluded") > 0, text)
+    return F.when(F.col("n_excluded") > 0, _text("no coordinates for ", F.col("n_excluded"), " of ", where, ": ", F.col("excluded")))
 
 
 def by_station(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
@@ -57,22 +61,19 @@ def by_station(requests: DataFrame, master: DataFrame, config: LinkConfig = Link
     items = _packed(found.select("request_id", "rank", "station", "district", surety.alias("confidence"), F.col("score").alias("match_score")))
     rows = found.where("rank = 1").select("request_id", "status", "best", surety.alias("confidence")).join(items, "request_id")
     first, n = F.col("results")[0], F.size("results")
-    method = F.concat(F.when(F.col("best") == 100, "Exact").otherwise("Fuzzy"), F.lit(" match on Police Station (score: "), F.col("best"), F.lit("%)"))
-    method = F.when(F.col("status") == "unique", method).when(
-        F.col("status") == "resolved_by_district", F.concat(method, F.lit(" | duplicate station name — resolved by district "), first.district)
-    ).otherwise(F.concat(method, F.lit(" | duplicate station name in "), n, F.lit(" districts — select the correct record")))
-    note = F.when(F.col("status") == "resolved_by_district", F.concat(F.lit("duplicate station name — resolved by district ("), first.district, F.lit(")"))).when(
-        F.col("status") == "ambiguous",
-        F.concat(F.lit("duplicate station name '"), first.station, F.lit("' exists in "), n, F.lit(" districts: "), F.array_join(F.transform("results", lambda x: x.district), ", "), F.lit(" — select the correct record")),
+    method = _text(F.when(F.col("best") == 100, "same").otherwise("similar"), " station name, score ", F.col("best"))
+    method = F.when(F.col("status") == "unique", method).when(F.col("status") == "ambiguous", _text(method, "; ", n, " districts have it")).otherwise(_text(method, "; told apart by district"))
+    note = F.when(F.col("status") == "resolved_by_district", _text("several districts have this station, ", first.district, " was stated")).when(
+        F.col("status") == "ambiguous", _text(first.station, " is in ", n, " districts, choose one: ", F.array_join(F.transform("results", lambda x: x.district), ", "))
     )
     return _answers(rows, 1, "1", F.col("confidence"), method, note)
 
 
-def by_district(requests: DataFrame, master: DataFrame, coordinates: DataFrame, geocodes: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+def by_district(requests: DataFrame, master: DataFrame, coordinates: DataFrame, geocodes: DataFrame, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
     """Rung 2, measured: stations of the stated district; one that the address names is pinned first, the rest follow by distance."""
     hit = district_hits(requests, master, config=config).where("place = 1").select("request_id", "district", F.col("score").alias("d_score"))
     asked = save(requests.select("request_id", "address", (~is_blank("address")).alias("addressed")).join(hit, "request_id"))
-    pins = station_scan(asked.where("addressed"), master, within="district", config=config).where("rank = 1").select("request_id", F.col("station").alias("pin"), F.col("score").alias("pin_score"))
+    pins = station_scan(asked.where("addressed"), master, within="district", config=config, known=known).where("rank = 1").select("request_id", F.col("station").alias("pin"), F.col("score").alias("pin_score"))
     ranked = save(distance_ranked(asked.where("addressed"), master, coordinates, geocodes))
     reach = ranked.select("request_id", "station", "distance", "distance_km")
     rows = asked.join(pins, "request_id", "left").join(master, "district").join(reach, ["request_id", "station"], "left")
@@ -85,43 +86,40 @@ def by_district(requests: DataFrame, master: DataFrame, coordinates: DataFrame,
     items = _packed(rows.select("request_id", "rank", "station", "district", surety.alias("confidence"), F.when(F.col("pinned"), F.col("pin_score")).alias("match_score"), F.coalesce("distance", F.lit("N/A")).alias("distance"), "distance_km"))
     state = asked.join(pins, "request_id", "left").join(ranked.select("request_id").distinct().withColumn("measured", F.lit(True)), "request_id", "left").join(items, "request_id")
     state = state.join(excluded(master, coordinates), "district", "left").join(far_warning(ranked, config.warn_km).drop("district"), "request_id", "left")
-    head = F.concat(F.lit("District matched: "), F.col("district"), F.lit(" ("), F.col("d_score"), F.lit("%) | "))
-    pin = F.concat(F.lit("Locality match: "), F.col("pin"), F.lit(" pinned rank 1"))
-    unranked = F.lit("distance ranking unavailable (address could not be geocoded or no cached station coordinates) — stations listed unranked")
     lost = F.col("addressed") & F.col("measured").isNull()
-    method = F.when(lost, F.concat(head, unranked, F.when(F.col("pin").isNotNull(), F.concat(F.lit(" | "), pin)).otherwise("")))
-    method = method.when(F.col("pin").isNotNull(), F.concat(head, pin, F.lit(" | remaining ranked by geodesic distance")))
-    method = method.otherwise(F.concat(head, F.when(F.col("addressed"), "Ranked by geodesic distance").otherwise("no address — first N returned")))
+    pin = F.when(F.col("pin").isNotNull(), _text("; ", F.col("pin"), " first, as the address names it")).otherwise("")
+    order = F.when(lost, "no distances, in order of rows").when(F.col("addressed"), "nearest first").otherwise("no address, in order of rows")
+    method = _text("district ", F.col("district"), ", score ", F.col("d_score"), "; ", order, pin)
     note = F.when(F.col("addressed"), _excluded_note(F.col("district")))
-    far = F.concat(F.lit("Nearest PS in "), F.col("district"), F.lit(" is "), F.col("nearest_km"), F.lit(" km away — the stated district may not be correct. Consider re-running with address only to let the locality scan / AI check other districts."))
-    return _answers(state, 2, "2", F.when(lost, "LOW").otherwise("HIGH"), method, note, F.when(F.col("nearest_km").isNotNull(), far))
+    far = F.when(F.col("nearest_km").isNotNull(), _text("the nearest station of ", F.col("district"), " is ", F.col("nearest_km"), " km away; is it the right district?"))
+    return _answers(state, 2, "2", F.when(lost, "LOW").otherwise("HIGH"), method, note, far)
 
 
-def by_named_station(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+def by_named_station(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
     """Rung 3a: keys whose station the address names."""
-    found = save(station_scan(requests, master, config=config).where(F.col("rank") <= config.top_n))
+    found = save(station_scan(requests, master, config=config, known=known).where(F.col("rank") <= config.top_n))
     items = _packed(found.select("request_id", "rank", "station", "district", _high("score", config).alias("confidence"), F.col("score").alias("match_score")))
     rows = found.where("rank = 1").join(items, "request_id")
-    method = F.concat(F.lit("Locality '"), F.col("locality"), F.lit("' from address matched Police Station in Excel (score: "), F.col("score"), F.lit("%)"))
+    method = _text("the address names a station: ", F.col("locality"), ", score ", F.col("score"))
     return _answers(rows, 3, "3a", _high("score", config), method)
 
 
-def by_named_district(requests: DataFrame, master: DataFrame, rank_in, tail: str, bare: DataFrame | None, config: LinkConfig = LinkConfig()) -> DataFrame:
+def by_named_district(requests: DataFrame, master: DataFrame, rank_in, tail: str, bare: DataFrame | None, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
     """Rung 3b: stations of a district that the address names, as `rank_in` ranks them."""
-    hit = district_scan(requests, master, config).where("rank = 1").select("request_id", "district", "score", "locality").join(requests.select("request_id", "address"), "request_id")
+    hit = district_scan(requests, master, config, known).where("rank = 1").select("request_id", "district", "score", "locality").join(requests.select("request_id", "address"), "request_id")
     hit = save(hit)
     ranked = rank_in(hit, config.top_n)
     items = _packed(ranked.withColumn("confidence", F.when(F.col("rank") == 1, "HIGH").otherwise("MEDIUM")))
     rows = hit.join(items, "request_id")
     rows = rows.join(bare, "district", "left") if bare is not None else rows
-    method = F.concat(F.lit("Locality '"), F.col("locality"), F.lit("' from address matched District: "), F.col("district"), F.lit(" ("), F.col("score"), F.lit(f"%) | {tail}"))
+    method = _text("the address names district ", F.col("district"), ": ", F.col("locality"), ", score ", F.col("score"), f"; {tail}")
     return _answers(rows, 3, "3b", F.lit("MEDIUM"), method, _excluded_note(F.col("district")) if bare is not None else None)
 
 
 def inferred_districts(requests: DataFrame, master: DataFrame, inferences: DataFrame, most: int = 2, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(request_id, address, district, turn): districts that an inferrer's reply (address, reply) names, in its order; only ones
     of the master, by exact name or else by the best like one."""
-    said = requests.select("request_id", "address", trimmed("address").alias("key")).join(inferences.select(trimmed("address").alias("key"), "reply").dropDuplicates(["key"]), "key")
+    said = requests.select("request_id", "address", trimmed("address").alias("key")).join(one_each(inferences.withColumn("key", trimmed("address")), ["key"], ["reply"]), "key")
     named = said.select("request_id", "address", F.posexplode(districts("reply")).alias("i", "typed"))
     typed = named.select("typed").distinct().select(F.col("typed").alias("request_id"), F.col("typed").alias("known_district"))
     snapped = district_hits(typed, master, config=config).where("place = 1").select(F.col("request_id").alias("typed"), "district")
@@ -140,7 +138,7 @@ def by_inference(requests: DataFrame, master: DataFrame, inferences: DataFrame,
     if bare is not None:
         lists = inferred.join(bare, "district").groupBy("request_id").agg(F.sum("n_excluded").alias("n_excluded"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "excluded"))), lambda x: x.excluded), ", ").alias("excluded"))
         items = items.join(lists, "request_id", "left")
-    return _answers(items, 3, "3c", F.lit("MEDIUM"), F.lit(f"AI inferred district | {tail}"), _excluded_note() if bare is not None else None)
+    return _answers(items, 3, "3c", F.lit("MEDIUM"), F.lit(f"inferred districts; {tail}"), _excluded_note("inferred districts") if bare is not None else None)
 
 
 def resolve(
@@ -156,7 +154,8 @@ def resolve(
     """Answers of all requests. `mode` measured ranks by distance (coordinates, geocodes), estimated by replies (estimates).
 
     Providers are tables: geocodes (query, lat, lng), inferences (address, reply), estimates (address, district, reply).
-    A rung sees only what earlier rungs left. Exact repeats of a master row count once.
+    Geocodes also fill the coordinates that stations lack. A rung sees only what earlier rungs left. What addresses name is
+    found once for all rungs that need it. Exact repeats of a master row count once; of repeated rows of a provider see `one_each`.
     """
     spark = requests.sparkSession
     empty = lambda schema: spark.createDataFrame([], schema)
@@ -166,6 +165,7 @@ def resolve(
     estimates = empty("address string, district string, reply string") if estimates is None else estimates
     master = save(master.groupBy("district", "station").agg(F.min("row_no").alias("row_no")))
     measured = mode == "measured"
+    coordinates = save(filled(master, coordinates, geocodes, config)) if measured else coordinates
 
     def rank_in(asked: DataFrame, n: int) -> DataFrame:
         if measured:
@@ -174,29 +174,31 @@ def resolve(
 
     def stated(left: DataFrame) -> DataFrame:
         if measured:
-            return by_district(left, master, coordinates, geocodes, config)
+            return by_district(left, master, coordinates, geocodes, config, known)
         hit = district_hits(left, master, config=config).where("place = 1").select("request_id", "district", F.col("score").alias("d_score"))
         asked = save(left.select("request_id", "address", (~is_blank("address")).alias("addressed")).join(hit, "request_id"))
         by_row = F.row_number().over(Window.partitionBy("request_id").orderBy("row_no"))
         plain = asked.where("not addressed").join(master, "district").withColumn("rank", by_row).where(F.col("rank") <= config.top_n).select("request_id", "district", "rank", "station", F.lit("N/A").alias("distance"))
         ranked = rank_in(asked.where("addressed"), config.top_n).unionByName(plain)
         items = _packed(ranked.withColumn("confidence", F.when(F.col("rank") == 1, "HIGH").otherwise("MEDIUM")))
-        method = F.concat(F.lit("District matched: "), F.col("district"), F.lit(" ("), F.col("d_score"), F.lit("%) | "), F.when(F.col("addressed"), "AI ranked by address").otherwise("no address, first N returned"))
+        method = _text("district ", F.col("district"), ", score ", F.col("d_score"), "; ", F.when(F.col("addressed"), "nearest first, as estimated").otherwise("no address, in order of rows"))
         return _answers(asked.join(items, "request_id"), 2, "2", F.lit("HIGH"), method)
 
     bare = excluded(master, coordinates) if measured else None
-    tail = "Ranked by geodesic distance" if measured else "AI ranked by address"
+    tail = "nearest first" if measured else "nearest first, as estimated"
+    left = save(requests.select("request_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("address", "known_station", "known_district")]))
+    answered = [save(by_station(left, master, config))]
+    left = save(left.join(answered[0].select("request_id"), "request_id", "left_anti"))
+    known = evidence(left.where(~is_blank("address")), master, config)
     rungs = [
-        lambda left: by_station(left, master, config),
         stated,
-        lambda left: by_named_station(left, master, config),
-        lambda left: by_named_district(left, master, rank_in, tail, bare, config),
+        lambda left: by_named_station(left, master, config, known),
+        lambda left: by_named_district(left, master, rank_in, tail, bare, config, known),
         lambda left: by_inference(left.where(~is_blank("address")), master, inferences, rank_in, tail, bare, config),
     ]
-    left, answered = save(requests.select("request_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("address", "known_station", "known_district")])), []
     for rung in rungs:
         answered.append(save(rung(left)))
-        left = left.join(answered[-1].select("request_id"), "request_id", "left_anti")
+        left = save(left.join(answered[-1].select("request_id"), "request_id", "left_anti"))
     nothing = left.select("request_id", F.array().cast(f"array<{ITEM}>").alias("results"))
-    answered.append(_answers(nothing, 0, "0", F.lit("NONE"), F.lit("Could not determine a match")))
+    answered.append(_answers(nothing, 0, "0", F.lit("NONE"), F.lit("no answer")))
     return reduce(DataFrame.unionByName, answered)

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder; without that setting (tests), in a temporary one."""
+    """A new path in the shared folder. Without that setting it is in a temporary one, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import LOOKUPS, SURETY, LinkConfig
 from ..functions.text import standard, trimmed
+from ..scratch import save
 
 LOG_COLUMNS = ["FILE NO", "ADDRESS", "PREDICTED PS", "PREDICTED DISTRICT", "ACTUAL PS KNOWN", "STATUS", "RESULT LOOKUP", "RESULT MATCH", "MATCH"]
 LOG_WRITTEN = ["ADDRESS", "PREDICTED PS", "PREDICTED DISTRICT", "RESULT LOOKUP", "RESULT MATCH"]
@@ -23,6 +24,16 @@ def column_of(df: DataFrame, header: str) -> str | None:
     return next((c for c in df.columns if c.strip().upper() == header), None)
 
 
+def first_there(spark: SparkSession, paths: list[str]) -> str:
+    """The first of the paths that exists, on any file system; none is an error."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return path
+    raise FileNotFoundError(f"none of these is there: {', '.join(paths)}")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A table by the ending of its path: parquet, csv, json, orc, or (where pandas has an engine for it) xlsx."""
     ending = path.rsplit(".", 1)[-1].lower()
@@ -34,7 +45,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def standard_master(df: DataFrame, row_no: str | None = None) -> DataFrame:
     """Master rows with a district and a station that are neither null nor blank.
 
-    `row_no` names a column with the order of rows; without it, rows are in alphabetical order.
+    `row_no` names a column with the order of rows; without it, rows are in alphabetical order, numbered by ranges of names.
     """
     names = [column_of(df, h) for h in ("DISTRICT", "POLICE STATION")]
     names = [n or column_of(df, h) for n, h in zip(names, ("DISTRICT", "STATION"), strict=True)]
@@ -42,7 +53,13 @@ def standard_master(df: DataFrame, row_no: str | None = None) -> DataFrame:
         raise KeyError("the master needs the columns DISTRICT and POLICE STATION")
     out = df.select(*([F.col(row_no).cast("long").alias("row_no")] if row_no else []), standard(F.col(f"`{names[0]}`")).alias("district"), standard(F.col(f"`{names[1]}`")).alias("station"))
     out = out.where("district != '' and station != ''")
-    return out if row_no else out.withColumn("row_no", F.row_number().over(Window.orderBy("district", "station")).cast("long"))
+    if row_no:
+        return out
+    # sorted by ranges and saved, so that numbers are given within parts and no task sorts the whole table
+    part = save(out.repartitionByRange("district", "station").sortWithinPartitions("district", "station").withColumn("at", F.monotonically_increasing_id()))
+    before = part.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+    return part.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part").select((F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("row_no"), "district", "station")
 
 
 def standard_coordinates(df: DataFrame) -> DataFrame:
@@ -54,6 +71,12 @@ def standard_coordinates(df: DataFrame) -> DataFrame:
     return best.select("district", "station", "at.lat", "at.lng")
 
 
+def one_each(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row for each key: of repeated ones the last by `row_no`, where there is such a column, and the greatest of equals."""
+    picked = F.struct(*[c for c in ("row_no",) if c in df.columns and c not in values], *values)
+    return df.groupBy(*keys).agg(F.max(picked).alias("_picked")).select(*keys, *[F.col("_picked")[v].alias(v) for v in values])
+
+
 def missing_coordinates(master: DataFrame, coordinates: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(district, station, query): keys of the master without coordinates, and what to ask a geocoder."""
     known = coordinates.where("lat is not null").select("district", "station")
@@ -62,15 +85,49 @@ def missing_coordinates(master: DataFrame, coordinates: DataFrame, config: LinkC
 
 
 def upserted(coordinates: DataFrame, updates: DataFrame) -> DataFrame:
-    """Coordinates with the updates in their place; updates without coordinates change nothing."""
-    new = updates.where("lat is not null and lng is not null").select("district", "station", "lat", "lng").dropDuplicates(["district", "station"])
+    """Coordinates with the updates in their place; updates without coordinates change nothing. Of repeated updates see `one_each`."""
+    new = one_each(updates.where("lat is not null and lng is not null"), ["district", "station"], ["lat", "lng"])
     return coordinates.select("district", "station", "lat", "lng").join(new, ["district", "station"], "left_anti").unionByName(new)
 
 
 def filled(master: DataFrame, coordinates: DataFrame, geocodes: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Coordinates after the missing ones have been looked up in geocodes (query, lat, lng); filled ones are never replaced."""
-    found = missing_coordinates(master, coordinates, config).join(geocodes.dropDuplicates(["query"]), "query")
-    return upserted(coordinates, found)
+    known = one_each(geocodes.where("lat is not null and lng is not null"), ["query"], ["lat", "lng"])
+    return upserted(coordinates, missing_coordinates(master, coordinates, config).join(known, "query"))
+
+
+def warmed(master: DataFrame, coordinates: DataFrame, geocoder: Callable[[str], tuple[float, float, str] | None], path: str, config: LinkConfig = LinkConfig()) -> DataFrame:
+    """Look up all missing coordinates, write them to the versioned table at `path`, and return (district, station, query) of failures.
+
+    Each query is asked once: answers are saved before they are used.
+    """
+    missing = missing_coordinates(master, coordinates, config)
+    answers = save(geocoded(missing, geocoder))
+    write_coordinates(filled(master, coordinates, answers, config), path)
+    return missing.join(answers.select("query"), "query", "left_anti").select("district", "station", "query")
+
+
+def write_coordinates(coordinates: DataFrame, path: str) -> None:
+    """A new version of the table of coordinates; readers see it when it is whole."""
+    spark = coordinates.sparkSession
+    last = _versions(spark, path)
+    coordinates.select("district", "station", "lat", "lng").write.parquet(f"{path}/version={max(last, default=0) + 1:09d}")
+
+
+def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of the table of coordinates; empty where there is none."""
+    whole = _versions(spark, path)
+    if not whole:
+        return spark.createDataFrame([], "district string, station string, lat double, lng double")
+    return spark.read.parquet(f"{path}/version={max(whole):09d}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions whose writers ended."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(folder, "version=*/_SUCCESS"))
+    return [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
 
 
 def geocoded(queries: DataFrame, geocoder: Callable[[str], tuple[float, float, str] | None]) -> DataFrame:
