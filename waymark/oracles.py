@@ -204,3 +204,106 @@ ORACLE_SQL["ladder"] = f"""WITH named AS ({ORACLE_SQL['name_resolution']}), scan
     answered AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)
     SELECT * REPLACE (n_results::INT AS n_results) FROM answered UNION ALL SELECT request_id, 0, '0', 'NONE', 'no answer', NULL, 0, NULL, NULL
         FROM (SELECT request_id FROM requests UNION ALL SELECT -request_id FROM typed) WHERE request_id NOT IN (SELECT request_id FROM answered)"""
+
+
+# --- Requests of customers: rungs with coordinates, geocodes, inferences and estimates ---
+
+_RESIDENTS = f"""{_MASTER}, coords AS (SELECT district, station, CASE WHEN row_no % 5 <> 0 THEN {_point('row_no', '15', 37)} WHEN row_no % 10 = 0 THEN 16.5 END AS lat,
+        CASE WHEN row_no % 5 <> 0 THEN {_point('row_no', '77', 101)} WHEN row_no % 10 = 0 THEN 78.0::DOUBLE + row_no / 10000.0::DOUBLE END AS lng FROM master),
+    residents AS (SELECT c_custkey AS request_id, CASE WHEN k = 10 THEN ' ' ELSE '9-' || c_custkey || CASE WHEN k IN (0, 3, 6) THEN ', ' || p_name WHEN k IN (1, 7) THEN ', ' || p_type ELSE '' END || ', pin 5000' END AS address,
+        CASE WHEN c_custkey % 8 = 0 THEN left(upper(p_type), -1) WHEN c_custkey % 2 = 0 THEN upper(p_type) END AS typed, k, upper(p_type) AS kind
+        FROM (SELECT c_custkey, c_custkey % 12 AS k, p_name, p_type FROM customer JOIN part ON c_custkey = p_partkey)),
+    requests AS (SELECT request_id, address FROM residents)"""
+_SNAP = f"""districts AS (SELECT district, min(row_no) AS row_no FROM master GROUP BY 1), typed_names AS (SELECT typed FROM residents WHERE typed IS NOT NULL UNION SELECT left(kind, -1) FROM residents UNION SELECT kind FROM residents),
+    snapped AS (WITH words AS (SELECT typed, district, row_no, {_norm('typed')} AS a, {_norm('district')} AS b FROM typed_names, districts WHERE typed NOT IN (SELECT district FROM districts)), {_scored('words')},
+        liked AS (SELECT typed, district, row_no, round_even(lenient, 1) AS score FROM words JOIN scored USING (a, b) WHERE lenient >= 80)
+        SELECT typed, district, 100.0::DOUBLE AS score FROM typed_names JOIN districts ON typed = district
+        UNION ALL SELECT typed, district, score FROM liked QUALIFY row_number() OVER (PARTITION BY typed ORDER BY score DESC, row_no) = 1)"""
+_NAMED = f"""evidence AS MATERIALIZED (WITH {_PLACES}, both_names AS (SELECT station AS name FROM master UNION SELECT district FROM master), {_hits('both_names', 'name')} SELECT * FROM hit),
+    named AS (SELECT DISTINCT request_id, name AS district, true AS named FROM evidence WHERE name IN (SELECT district FROM master)),
+    stated AS (SELECT request_id, address, length(trim(address)) > 0 AS addressed, district, score AS d_score FROM residents JOIN snapped USING (typed))"""
+
+
+def _named_stations(asked: str) -> str:
+    """Ranked stations that addresses of `asked` (request_id, wanted) name, in the district `wanted` where that is not null."""
+    return f"""WITH found AS (SELECT request_id, station, district, {_BEST} FROM evidence JOIN master ON name = station JOIN {asked} USING (request_id) WHERE coalesce(wanted, district) = district GROUP BY 1, 2, 3),
+        twice AS (SELECT f.*, named, count(*) OVER w AS n, count(named) OVER w AS n_named FROM found f LEFT JOIN named USING (request_id, district) WINDOW w AS (PARTITION BY request_id, station)),
+        best AS (SELECT request_id, station, district, score, locality FROM twice WHERE n = 1 OR n_named <> 1 OR named), {_scan('station, district')}"""
+
+
+_BEFORE_3B = f"""{_RESIDENTS}, {_SNAP}, {_NAMED}, stated_in AS (SELECT request_id, district AS wanted FROM stated), unstated AS (SELECT request_id, NULL AS wanted FROM residents WHERE request_id NOT IN (SELECT request_id FROM stated)),
+    r3a AS ({_named_stations('unstated')}),
+    r3b AS (WITH best AS (SELECT request_id, name AS district, {_BEST} FROM evidence JOIN unstated USING (request_id) WHERE name IN (SELECT district FROM districts) AND request_id NOT IN (SELECT request_id FROM r3a) GROUP BY 1, 2),
+        ranked AS ({_scan('district').replace('top AS (', 'WITH top AS (', 1)}) SELECT * FROM ranked WHERE rank = 1),
+    inferred AS (WITH said AS (SELECT request_id, unnest([left(kind, -1), 'ECONOMY', kind]) AS typed, unnest([0, 2, 3]) AS i FROM residents WHERE k IN (5, 9, 11)),
+        firsts AS (SELECT request_id, district, min(i) AS i FROM said JOIN snapped USING (typed) GROUP BY 1, 2)
+        SELECT request_id, district, row_number() OVER (PARTITION BY request_id ORDER BY i)::INT AS turn FROM firsts QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY i) <= 2)"""
+_R3A = """SELECT request_id, 3 AS "case", '3a' AS rung, CASE WHEN max(CASE WHEN rank = 1 THEN score END) OVER w >= 95 THEN 'HIGH' ELSE 'MEDIUM' END AS overall,
+        'the address names a station: ' || max(CASE WHEN rank = 1 THEN locality END) OVER w || ', score ' || max(CASE WHEN rank = 1 THEN score END) OVER w AS method, NULL::VARCHAR AS note, NULL::VARCHAR AS warning,
+        rank, station, district, CASE WHEN score >= 95 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, score AS match_score, 'N/A' AS distance, NULL::DOUBLE AS distance_km
+        FROM r3a WINDOW w AS (PARTITION BY request_id) QUALIFY rank <= 3"""
+_R0 = """SELECT request_id, 0, '0', 'NONE', 'no answer', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM residents WHERE request_id NOT IN (SELECT request_id FROM answered)"""
+_BARE = "bare AS (SELECT district, count(*) AS n, string_agg(station, ', ' ORDER BY row_no) AS names FROM master JOIN coords USING (district, station) WHERE lat IS NULL GROUP BY 1)"
+
+ORACLE_SQL["ladder_measured"] = f"""WITH {_BEFORE_3B}, {_BARE}, pins AS (SELECT request_id, station AS pin, score AS pin_score FROM ({_named_stations('stated_in')}) WHERE rank = 1),
+    asks AS (SELECT request_id, district FROM stated WHERE addressed UNION SELECT request_id, district FROM r3b UNION SELECT request_id, district FROM inferred),
+    origins AS (SELECT request_id, {_point('request_id', '15', 53)} AS lat, {_point('request_id', '77', 71)} AS lng FROM residents WHERE k <= 5 OR k = 9),
+    ways AS (SELECT request_id, district, station, row_no, o.lat, o.lng, c.lat AS lat2, c.lng AS lng2 FROM asks JOIN origins o USING (request_id) JOIN master USING (district) JOIN coords c USING (district, station) WHERE c.lat IS NOT NULL),
+    km AS MATERIALIZED (WITH {_vincenty('ways', 'request_id, district, station, row_no')} SELECT *, row_number() OVER (PARTITION BY request_id, district ORDER BY km, row_no)::INT AS near FROM measured),
+    s2 AS (SELECT s.*, pin, pin_score, m.station, m.row_no, km, count(km) OVER (PARTITION BY s.request_id) > 0 AS measured, coalesce(m.station = pin, false) AS pinned, min(km) OVER (PARTITION BY s.request_id) AS nearest
+        FROM stated s LEFT JOIN pins USING (request_id) JOIN master m USING (district) LEFT JOIN km USING (request_id, district, station)),
+    k2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pinned DESC, CASE WHEN measured THEN coalesce(km, 1e99) ELSE 0 END, row_no)::INT AS rank FROM s2 WHERE NOT measured OR km IS NOT NULL OR pinned),
+    a2 AS (SELECT request_id, 2, '2', CASE WHEN addressed AND NOT measured THEN 'LOW' ELSE 'HIGH' END,
+        'district ' || district || ', score ' || d_score || '; ' || CASE WHEN NOT addressed THEN 'no address, in order of rows' WHEN measured THEN 'nearest first' ELSE 'no distances, in order of rows' END
+            || CASE WHEN pin IS NULL THEN '' ELSE '; ' || pin || ' first, as the address names it' END,
+        CASE WHEN addressed THEN 'no coordinates for ' || n || ' of ' || district || ': ' || names END, CASE WHEN nearest > 30 THEN 'the nearest station of ' || district || ' is ' || round_even(nearest, 1) || ' km away; is it the right district?' END,
+        rank, station, district, CASE WHEN pinned AND pin_score >= 95 THEN 'HIGH' WHEN pinned THEN 'MEDIUM' WHEN addressed AND NOT measured THEN 'LOW' WHEN rank = 1 THEN 'HIGH' ELSE 'MEDIUM' END,
+        CASE WHEN pinned THEN pin_score END, CASE WHEN km IS NULL THEN 'N/A' ELSE printf('~%.1f km', round_even(km, 1)) END, round_even(km, 3) FROM k2 LEFT JOIN bare USING (district) WHERE rank <= 3),
+    a3b AS (SELECT request_id, 3, '3b', 'MEDIUM', 'the address names district ' || district || ': ' || locality || ', score ' || score || '; nearest first', 'no coordinates for ' || n || ' of ' || district || ': ' || names, NULL,
+        near, station, district, CASE WHEN near = 1 THEN 'HIGH' ELSE 'MEDIUM' END, NULL, printf('~%.1f km', round_even(km, 1)), round_even(km, 3) FROM r3b JOIN km USING (request_id, district) LEFT JOIN bare USING (district) WHERE near <= 3),
+    left3c AS (SELECT * FROM inferred WHERE request_id NOT IN (SELECT request_id FROM stated UNION SELECT request_id FROM r3a UNION SELECT request_id FROM a3b)),
+    lists AS (SELECT request_id, 'no coordinates for ' || sum(n) || ' of inferred districts: ' || string_agg(names, ', ' ORDER BY turn) AS note FROM left3c JOIN bare USING (district) GROUP BY 1),
+    a3c AS (SELECT request_id, 3, '3c', 'MEDIUM', 'inferred districts; nearest first', note, NULL, row_number() OVER (PARTITION BY request_id ORDER BY turn, near)::INT AS place, station, district, CASE WHEN near = 1 THEN 'MEDIUM' ELSE 'LOW' END,
+        NULL, printf('~%.1f km', round_even(km, 1)), round_even(km, 3) FROM left3c JOIN km USING (request_id, district) LEFT JOIN lists USING (request_id) WHERE near <= 2 QUALIFY place <= 3),
+    answered AS ({_R3A} UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3b UNION ALL SELECT * FROM a3c)
+    SELECT * FROM answered UNION ALL {_R0}"""
+
+_EST = """numbered AS (SELECT district, station, row_no, row_number() OVER (PARTITION BY district ORDER BY row_no)::INT AS i, count(*) OVER (PARTITION BY district) AS n FROM master)"""
+
+
+def _estimated(asks: str) -> str:
+    """Ranked stations of `asks` (request_id, district): the fourth and the second where there is a reply, else the first three."""
+    said = "(k < 9 AND district IN (kind, 'ECONOMY') AND n > 3)"
+    return f"""SELECT request_id, district, CASE WHEN NOT {said} THEN i WHEN i = 4 THEN 1 ELSE 2 END::INT AS rank, station, CASE WHEN {said} AND i = 4 THEN '~4 km' ELSE 'N/A' END AS distance
+        FROM {asks} JOIN residents USING (request_id) JOIN numbered USING (district) WHERE CASE WHEN {said} THEN i IN (2, 4) ELSE i <= 3 END"""
+
+
+ORACLE_SQL["ladder_estimated"] = f"""WITH {_BEFORE_3B}, {_EST}, addressed AS (SELECT request_id, district FROM stated WHERE addressed), e2 AS ({_estimated('addressed')} UNION ALL
+        SELECT request_id, district, i, station, 'N/A' FROM stated JOIN numbered USING (district) WHERE NOT addressed AND i <= 3),
+    a2 AS (SELECT request_id, 2, '2', 'HIGH', 'district ' || e2.district || ', score ' || d_score || '; ' || CASE WHEN addressed THEN 'nearest first, as estimated' ELSE 'no address, in order of rows' END, NULL, NULL,
+        rank, station, e2.district, CASE WHEN rank = 1 THEN 'HIGH' ELSE 'MEDIUM' END, NULL, distance, NULL FROM e2 JOIN stated USING (request_id)),
+    e3b AS ({_estimated('r3b')}), a3b AS (SELECT request_id, 3, '3b', 'MEDIUM', 'the address names district ' || e.district || ': ' || locality || ', score ' || score || '; nearest first, as estimated', NULL, NULL,
+        e.rank, station, e.district, CASE WHEN e.rank = 1 THEN 'HIGH' ELSE 'MEDIUM' END, NULL, distance, NULL FROM e3b e JOIN r3b USING (request_id)),
+    left3c AS (SELECT * FROM inferred WHERE request_id NOT IN (SELECT request_id FROM stated UNION SELECT request_id FROM r3a UNION SELECT request_id FROM a3b)), e3c AS ({_estimated('left3c')}),
+    a3c AS (SELECT request_id, 3, '3c', 'MEDIUM', 'inferred districts; nearest first, as estimated', NULL, NULL, row_number() OVER (PARTITION BY request_id ORDER BY turn, rank)::INT AS place, station, district,
+        CASE WHEN rank = 1 THEN 'MEDIUM' ELSE 'LOW' END, NULL, distance, NULL FROM e3c JOIN left3c USING (request_id, district) WHERE rank <= 2 QUALIFY place <= 3),
+    answered AS ({_R3A} UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3b UNION ALL SELECT * FROM a3c)
+    SELECT * FROM answered UNION ALL {_R0}"""
+
+_MISSING = "SELECT district, station, station || ' Police Station, ' || district || ', Telangana, India' AS query FROM master WHERE row_no % 5 = 0"
+ORACLE_SQL |= {
+    "inferred_names": f"WITH {_BEFORE_3B} SELECT request_id, district, turn FROM inferred",
+    "estimate_replies": "SELECT p_partkey, 0 AS place, upper(p_name) AS name, p_size::DOUBLE AS km FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT p_partkey, 1, 'B', NULL FROM part WHERE p_partkey % 7 <> 0",
+    "estimated_stations": f"WITH {_RESIDENTS}, {_EST}, asks AS (SELECT request_id, kind AS district FROM residents WHERE k <> 10) {_estimated('asks')}",
+    "coordinates_standard": """SELECT district, station, x.lat AS lat, x.lng AS lng FROM (SELECT upper(p_type) AS district, upper(p_name) AS station, arg_max(CASE WHEN l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 THEN {'lat': NULL::DOUBLE, 'lng': NULL::DOUBLE}
+        ELSE {'lat': (l_orderkey % 90)::DOUBLE, 'lng': (l_linenumber + 77)::DOUBLE} END, l_orderkey * 100000000 + l_linenumber * 10000000 + p_partkey) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""",
+    "coordinates_filled": f"WITH {_RESIDENTS} SELECT district, station, lat, lng FROM coords",
+    "coordinates_failed": f"WITH {_MASTER}, missing AS ({_MISSING}) SELECT * FROM missing WHERE length(query) % 2 = 0",
+    "coordinates_updated": f"""WITH {_RESIDENTS}, known AS (SELECT district, station, lat, lng FROM coords JOIN master USING (district, station) WHERE row_no % 5 <> 0),
+        news AS (SELECT upper(p_type) AS district, upper(p_name) AS station, max(p_partkey)::DOUBLE AS lat, 1.0::DOUBLE AS lng FROM part WHERE p_partkey % 6 = 0 GROUP BY 1, 2)
+        SELECT * FROM news UNION ALL SELECT k.* FROM known k ANTI JOIN news USING (district, station)""",
+    "stations_excluded": f"WITH {_MASTER} SELECT district, count(*) AS n_excluded, string_agg(station, ', ' ORDER BY row_no) AS excluded FROM master WHERE row_no % 5 = 0 GROUP BY 1",
+    "name_lookup_within": f"""WITH {_NAME_HITS} SELECT request_id, station, district, score, row_number() OVER (PARTITION BY request_id ORDER BY place)::INT AS place FROM hits WHERE kind = '' OR {_norm('kind')} = {_norm('district')}""",
+    "log_appended": f"""SELECT NULL::VARCHAR AS file_no, trim(o_orderstatus) AS address, 'A' || o_orderkey AS predicted_ps, o_orderpriority AS predicted_district, NULL::VARCHAR AS actual_ps_known, NULL::VARCHAR AS status,
+        {_LOOKUP} AS result_lookup, {_label(_SURETY, "'Unknown'")} AS result_match, NULL::VARCHAR AS "match" FROM orders WHERE o_orderkey % 4 > 0""",
+}

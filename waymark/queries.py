@@ -6,19 +6,20 @@ least key the row number. Every line item asks for its part by an address.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import similarity
 from .functions.geo import geodesic
-from .functions.replies import districts
+from .functions.replies import districts, estimates
 from .functions.text import localities, normal, standard
 from .operators.lookup import district_hits, name_hits, resolved_names
-from .operators.ranking import distance_ranked, far_warning
+from .operators.ranking import distance_ranked, estimate_ranked, excluded, far_warning
 from .operators.scan import district_scan, station_scan
-from .plans.ladder import ITEM, resolve
+from .plans.ladder import ITEM, inferred_districts, resolve
 from .report import accuracy, shown
-from .sources.tables import log_rows, missing_coordinates, standard_master, upserted
+from .scratch import folder
+from .sources.tables import append_log, filled, log_rows, missing_coordinates, read_coordinates, standard_coordinates, standard_master, upserted, warmed, write_coordinates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,11 +207,142 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("request_id", "case", "rung", "confidence", "method", "note", F.size("results").alias("n_results"), F.expr("try_element_at(results, 1).station").alias("station"), F.expr("try_element_at(results, 1).district").alias("district"))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(master, coordinates, geocodes): parts as stations. Every fifth has no coordinates; every other of these can be looked up."""
+    master = _master(spark, sf_dir)
+    known = master.where("row_no % 5 != 0").select("district", "station", _point("row_no", 15.0, 37).alias("lat"), _point("row_no", 77.0, 101).alias("lng"))
+    query = F.concat("station", F.lit(" Police Station, "), "district", F.lit(", Telangana, India"))
+    found = master.where("row_no % 10 = 0").select(query.alias("query"), F.lit(16.5).alias("lat"), (F.lit(78.0) + F.col("row_no") / 10000).alias("lng"))
+    return master, known, found
+
+
+def _residents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, each beside the part of its key, with an address that names the part's station, its district or neither, and a stated
+    district on every other one, which on every fourth of these lacks its last letter. `k` tells the kinds apart."""
+    rows = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "part"), F.col("c_custkey") == F.col("p_partkey"))
+    k = F.col("c_custkey") % 12
+    named = F.when(k.isin(0, 3, 6), F.concat(F.lit(", "), F.col("p_name"))).when(k.isin(1, 7), F.concat(F.lit(", "), F.col("p_type"))).otherwise(F.lit(""))
+    address = F.when(k == 10, F.lit(" ")).otherwise(F.concat(F.lit("9-"), F.col("c_custkey"), named, F.lit(", pin 5000")))
+    typed = F.when(F.col("c_custkey") % 8 == 0, F.expr("substring(p_type, 1, length(p_type) - 1)")).otherwise(F.col("p_type"))
+    district = F.when(F.col("c_custkey") % 2 == 0, typed).otherwise(F.lit(""))
+    return rows.select(F.col("c_custkey").alias("request_id"), address.alias("address"), F.lit("").alias("known_station"), district.alias("known_district"), k.alias("k"), "p_type", "p_brand")
+
+
+def _geocodes(residents: DataFrame, found: DataFrame) -> DataFrame:
+    """Addresses of kinds 0 to 5 and 9 can be placed; each is there twice, and the greater place counts."""
+    placed = residents.where("k <= 5 or k = 9").select(F.col("address").alias("query"), _point("request_id", 15.0, 53).alias("lat"), _point("request_id", 77.0, 71).alias("lng"))
+    return placed.union(placed.withColumn("lat", F.col("lat") - 1)).unionByName(found)
+
+
+def _inferences(residents: DataFrame) -> DataFrame:
+    """Replies for kinds 5, 9 and 11: the part's type without its last letter, something unknown, and a second type."""
+    cut = F.expr("substring(p_type, 1, length(p_type) - 1)")
+    reply = F.concat(F.lit('I think {"districts": ["'), cut, F.lit('", "QQQQQQ", "'), F.lit("ECONOMY"), F.lit('", "'), F.col("p_type"), F.lit('"]}'))
+    return residents.where("k in (5, 9, 11)").select("address", reply.alias("reply"))
+
+
+def _estimates(residents: DataFrame, master: DataFrame) -> DataFrame:
+    """Replies for addresses of kinds below 9 about two districts: the fourth and the second station, and one of nowhere."""
+    order = F.row_number().over(Window.partitionBy("district").orderBy("row_no"))
+    some = master.withColumn("i", order).groupBy("district").agg(F.max(F.when(F.col("i") == 2, F.lower("station"))).alias("second"), F.max(F.when(F.col("i") == 4, F.col("station"))).alias("fourth"))
+    reply = F.concat(F.lit('Ranked: [{"name": " '), F.coalesce("fourth", F.lit("x")), F.lit('", "dist_km": 4.5}, {"name": "NOWHERE AT ALL", "dist_km": 1}, {"name": "'), F.coalesce("second", F.lit("x")), F.lit('", "dist_km": "far"}] [9]'))
+    asked = residents.where("k < 9").select("address", F.explode(F.array_distinct(F.array(standard("p_type"), F.lit("ECONOMY")))).alias("district"))
+    return asked.join(some.select("district", reply.alias("reply")), "district").select("address", "district", "reply")
+
+
+def _rows_of(answers: DataFrame) -> DataFrame:
+    """A row for each result, or one for none."""
+    rows = answers.select("request_id", "case", "rung", F.col("confidence").alias("overall"), "method", "note", "warning", F.explode_outer("results").alias("x"))
+    return rows.select("request_id", "case", "rung", "overall", "method", "note", "warning", "x.rank", "x.station", "x.district", "x.confidence", "x.match_score", "x.distance", F.bround("x.distance_km", 3).alias("distance_km"))
+
+
+def ladder_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rungs 2 with pins, distances, its fallback, notes and warnings, 3b and 3c, over the addresses of customers."""
+    (master, known, found), residents = _placed(spark, sf_dir), _residents(spark, sf_dir)
+    return _rows_of(resolve(residents, master, known, _geocodes(residents, found), _inferences(residents)))
+
+
+def ladder_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests, ranked by an estimator's replies."""
+    master, residents = _placed(spark, sf_dir)[0], _residents(spark, sf_dir)
+    return _rows_of(resolve(residents, master, inferences=_inferences(residents), estimates=_estimates(residents, master), mode="estimated"))
+
+
+def inferred_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inferred districts, those of the master alone, by the nearest name, in the order of the reply."""
+    residents = _residents(spark, sf_dir)
+    return inferred_districts(residents, _master(spark, sf_dir), _inferences(residents)).select("request_id", "district", "turn")
+
+
+def estimate_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.concat(F.lit('x\n[{"name": " '), F.lower("p_name"), F.lit('", "dist_km": '), F.col("p_size"), F.lit('},\n{"name": "B", "dist_km": "?"}, {"dist_km": 2}] [{"name": "C"}]'))
+    reply = F.when(F.col("p_partkey") % 7 == 0, F.lit("none")).otherwise(reply)
+    return _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(estimates(reply)).alias("place", "x")).select("p_partkey", "place", F.col("x.name").alias("name"), F.col("x.dist_km").alias("km"))
+
+
+def estimated_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations by estimates alone: of a large district those the reply names, else its first ones."""
+    master, residents = _placed(spark, sf_dir)[0], _residents(spark, sf_dir).where("k != 10")
+    return estimate_ranked(residents.withColumn("district", standard("p_type")), master, _estimates(residents, master), 3)
+
+
+def coordinates_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as rows of a coordinate file: text, some of it no number, many rows for a key, the last of which counts."""
+    rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lat = F.when(F.col("l_orderkey") % 5 == 0, F.lit("FAILED")).otherwise((F.col("l_orderkey") % 90).cast("string"))
+    lng = F.when(F.col("l_orderkey") % 7 == 0, F.lit(None)).otherwise((F.col("l_linenumber") + 77).cast("string"))
+    number = F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("p_partkey")
+    return standard_coordinates(rows.select(F.concat(F.lower("p_type"), F.lit(" ")).alias("district"), F.col("p_name").alias("station"), lat.alias("lat"), lng.alias("lng"), number.alias("row_no")))
+
+
+def coordinates_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys, with known or looked-up coordinates, or none after all."""
+    master, known, found = _placed(spark, sf_dir)
+    return master.join(filled(master, known, found), ["district", "station"], "left").select("district", "station", "lat", "lng")
+
+
+def coordinates_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warm-up job over the whole master: what its geocoder could not place."""
+    master, known, _ = _placed(spark, sf_dir)
+    return warmed(master, known, lambda query: (1.0, 2.0, query) if len(query) % 2 else None, folder(spark))
+
+
+def coordinates_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several updates for a key, the last row of which counts, and read back from the table they were written to."""
+    master, known, _ = _placed(spark, sf_dir)
+    updates = _parts(spark, sf_dir).where("row_no % 3 = 0").withColumn("lat", F.when(F.col("row_no") % 2 == 0, F.col("row_no").cast("double"))).withColumn("lng", F.lit(1.0))
+    path = folder(spark)
+    write_coordinates(known, path)
+    write_coordinates(upserted(read_coordinates(spark, path), updates), path)
+    return read_coordinates(spark, path)
+
+
+def stations_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    master, known, _ = _placed(spark, sf_dir)
+    return excluded(master, known)
+
+
+def name_lookup_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed names looked up in the stated district alone, where one is stated."""
+    return name_hits(_typed(spark, sf_dir), _master(spark, sf_dir), within="known_district")
+
+
+def log_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after two appends, columns by name."""
+    requests, answers = _made_answers(spark, sf_dir)
+    path = folder(spark)
+    for part in (0, 1):
+        append_log(log_rows(requests, answers.where(F.col("request_id") % 2 == part)), path)
+    log = spark.read.parquet(path)
+    return log.select(*[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in log.columns])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_stations, scan_districts, standardize_master, normal_names, address_localities, strict_scores, lenient_scores, name_lookup, name_resolution,
         district_lookup, geodesic_pairs, nearest_stations, far_districts, coordinates_missing, coordinates_upserted, inference_replies,
-        log_entries, shown_answers, accuracy_counts, ladder,
+        log_entries, shown_answers, accuracy_counts, ladder, ladder_measured, ladder_estimated, inferred_names, estimate_replies, estimated_stations,
+        coordinates_standard, coordinates_filled, coordinates_failed, coordinates_updated, stations_excluded, name_lookup_within, log_appended,
     )
 }
