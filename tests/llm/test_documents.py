@@ -91,7 +91,7 @@ def test_hubs_over_batches(spark, monkeypatch):
     pairs = [(a, b) for a in (rows[0][0], rows[9][0], rows[-1][0]) for b, _ in rows if a != b]
     want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
     asked = spark.createDataFrame(pairs, "a long, b long")
-    for at_once, copies in ((1 << 20, 1 << 20), (3000, 5000), (1, 1)):
+    for at_once, copies in ((1 << 20, 1 << 20), (3000, 20_000), (1, 1 << 20)):
         monkeypatch.setattr(minhash, "SIDE_BY_SIDE", at_once)
         monkeypatch.setattr(minhash, "TOGETHER", copies)
         assert {tuple(r) for r in minhash.verified(asked, docs, "doc_id", "text", 85).collect()} == want

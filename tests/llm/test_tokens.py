@@ -159,6 +159,20 @@ def test_token_counts(spark, tmp_path):
     (tmp_path / "part-00001").write_bytes(b"")
     (tmp_path / "part-00002").write_bytes(np.array([9], "<u2").tobytes())
     for size in (2, 4, 6, 100):
-        rows = sorted(tuple(r)[1:] for r in token_files.token_counts(spark, str(tmp_path), end, range_bytes=size).collect())
+        rows = sorted(tuple(r)[1:] for r in token_files.token_counts(token_files.listed(spark, str(tmp_path)), end, range_bytes=size).collect())
         assert rows == [(0, 0, 0, True), (0, 0, 1, True), (1, 2, 0, True), (2, 3, 2, True), (3, 6, 1, False)]
     assert token_files.counted(docs.where("doc_id < 0"), WORD, 49407).count() == 0
+
+
+def test_token_counts_do_not_rest_on_the_order_of_rows(spark):
+    tokenizer = Tokenizer.from_file(WORD)
+    tokenizer.encode_special_tokens = True
+    rows = [(i % 40, TEXTS[i % len(TEXTS)]) for i in range(120)] + [(None, "null id"), (7, " ".join(["long"] * 50_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)  # dealt in turn: another order each time it is run
+    want = sorted((-1 if d is None else d, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        got = token_files.counted(docs, WORD, 49407).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want

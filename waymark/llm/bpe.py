@@ -41,9 +41,9 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
 
 #: Most pieces, and bytes of pieces, that one Python worker keeps; beyond that it starts afresh. This bounds memory, not results.
-MEMO_PIECES, MEMO_BYTES = 200_000, 4 << 20
+MEMO_PIECES, MEMO_BYTES = 150_000, 4 << 20
 #: Bytes of text that are worked on at once; a longer text is cut where the pattern cuts as well.
-PART = 1 << 19
+PART = 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -138,6 +138,14 @@ class SpacedEncoder:
 _encoders: dict[tuple, SpacedEncoder] = {}
 
 
+def encoder(path: str, plain: bool = False, kind: str = "<u2") -> SpacedEncoder:
+    """The encoder of a worker, which keeps it from task to task."""
+    key = path, plain, kind
+    if key not in _encoders:
+        _encoders[key] = SpacedEncoder(*key)
+    return _encoders[key]
+
+
 def packed_ids(df: DataFrame, tokenizer: str, end: int, text: str = "text", ids: str = "ids", plain: bool = False, kind: str = "<u2", also: tuple[T.StructField, Callable[[pa.RecordBatch], pa.Array]] | None = None) -> DataFrame:
     """`df` with the column `ids` in place of `text`: packed ids of each text and the id `end`. Null counts as empty.
 
@@ -147,11 +155,9 @@ def packed_ids(df: DataFrame, tokenizer: str, end: int, text: str = "text", ids:
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.BinaryType())] + ([also[0]] if also else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tokenizer, plain, kind
-        if key not in _encoders:
-            _encoders[key] = SpacedEncoder(*key)
+        coder = encoder(tokenizer, plain, kind)
         for batch in batches:
-            made = _encoders[key].encode_column(batch.column(batch.schema.get_field_index(text)), end)
+            made = coder.encode_column(batch.column(batch.schema.get_field_index(text)), end)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(made, pa.binary())] + ([also[1](batch)] if also else []), names=schema.names)
 
     return df.select(*[df[c] for c in kept], df[text]).mapInArrow(run, schema)

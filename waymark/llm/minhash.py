@@ -40,7 +40,7 @@ BANDS, ROWS = 36, 6
 #: Most names or pairs of candidates that are broadcast (16 or 32 MB of ids); more are joined by a shuffle.
 BROADCAST_NAMES = 2_000_000
 #: Bytes of members' texts for which there is one copy of a hub, and bytes of texts that are compared at once.
-TOGETHER, SIDE_BY_SIDE = 8 << 20, 1 << 20
+TOGETHER, SIDE_BY_SIDE = 1 << 20, 1 << 20
 _PIECE = 1 << 15
 
 

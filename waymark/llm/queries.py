@@ -72,7 +72,7 @@ def op7_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.counted(table(spark, sf_dir, "documents"), WORD_TOKENIZER, WORD_VOCABULARY - 1)
+    return token_files.counted(table(spark, sf_dir, "documents"), WORD_TOKENIZER, WORD_VOCABULARY - 1).select("doc_id", "n_tokens")
 
 
 def _held_out() -> Column:

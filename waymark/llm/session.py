@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch at most; whole texts go in, so a batch may be one text longer.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
