@@ -1,5 +1,6 @@
 """Operators 2, 3, 5 and 6 against plain versions, with edge cases."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -179,6 +180,41 @@ def test_personal_data(spark):
     assert pii.redact(docs.where("doc_id in (8, 9)")).count() == 2
 
 
+def test_rows_with_one_id_are_redacted_each_by_itself(spark):
+    rows = [(1, "mail a@b.org now"), (1, "nothing personal at all here"), (1, "mail a@b.org now"), (None, "ip 10.0.0.1"), (2, None)]
+    docs = table(spark, rows).withColumn("spans", F.lit("clash")).withColumn("_spans", F.lit(1)).withColumn("key", F.lit(2)).withColumn("doc", F.lit(3))
+    got = sorted((str(r.doc_id), str(r.text), r.spans) for r in pii.redact(docs).collect())
+    assert got == [("1", "mail [EMAIL] now", "clash"), ("1", "mail [EMAIL] now", "clash"), ("1", "nothing personal at all here", "clash"), ("2", "None", "clash"), ("None", "ip [IP]", "clash")]
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_learned_spans_of_each_kind(spark):
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        fill = " ".join(rng.choice(VOCABULARY) for _ in range(6))
+        n = f"{1000 + i}"
+        rows.append((i, f"{fill} mail u{i}@host.org or card 4111 1111 1111 1111 or call +1 (988) 555-{n} at host 10.0.{i % 250}.7 {fill} on 20{10 + i % 9}-0{1 + i % 9}-1{i % 9} order 77-{n}-{10 + i % 80} we met at noon"))
+    planted = ["please mail bob (at) host (dot) org today", "card 4111.1111.1111.1111 thanks", "call (988) 555-2485 now", "at host 10 . 0 . 3 . 7 there"]
+    rows += [(1000 + i, x) for i, x in enumerate(planted)] + [(2000, "we met at noon on 2011-04-12 about order 77-1234-55")]
+    got = {r.doc_id: [x.kind for x in r.spans if not x.base] for r in pii.spans_by_document(table(spark, rows)).collect()}
+    assert [got.get(1000 + i) for i in range(4)] == [["email"], ["card"], ["phone"], ["ip"]] and not got.get(2000)
+
+
+def test_long_list_of_numbers(spark):
+    text = " ".join(["12 345.6789"] * 3000) + " x@y.zz"
+    got = [r for r in pii.candidates(table(spark, [(1, text)], 1)).collect() if r.base]
+    assert [(r.kind, r.s, r.e) for r in got] == brute.personal(text) and pii._BLOCK < 3000
+
+
+def test_pii_query(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(PERSONAL)] + [(7, PERSONAL[0])]
+    table(spark, rows).withColumn("spans", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_pii(spark, str(tmp_path)).collect()
+    digest = lambda t: hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in brute.personal(t)).encode()).hexdigest()
+    count = lambda t, k: sum(x[0] == k for x in brute.personal(t))
+    assert sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted((d, *(count(t, k) for k in pii.KINDS), digest(t)) for d, t in rows)
+
+
 def plain_ppm(train):
     """Escapes and exclusion, spelled out: log10 of the probability of a text."""
     whole = lambda words: b" " + b"".join(w.encode() + b" " for w in words) + b"\n"

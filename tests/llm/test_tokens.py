@@ -1,5 +1,6 @@
 """Operators 1, 4 and 8 against the tokenizers library, exact round trips and edge cases."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waymark.llm import bpe, library, rans, token_files, words
+from waymark.llm import bpe, library, queries, rans, token_files, words
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -176,3 +177,21 @@ def test_token_counts_do_not_rest_on_the_order_of_rows(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want
+
+
+def test_queries_of_tokens(spark, tmp_path):
+    rows = [(3 * i % 50, t) for i, t in enumerate(TEXTS)] + [(49, " ".join(["long", "words,"] * 20_000)), (49, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(1)).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    ids = lambda tokenizer, t: tokenizer.encode(t or "", add_special_tokens=False).ids
+    want = sorted((d, len(ids(byte, t)), sha(np.array(ids(byte, t), "<u4").tobytes()), sha(byte.decode(ids(byte, t), skip_special_tokens=False).encode())) for d, t in rows)
+    assert sorted(map(tuple, queries.op1_bpe(spark, str(tmp_path)).collect())) == want
+    got = sorted(map(tuple, queries.op4_rans(spark, str(tmp_path)).collect()), key=lambda r: r[1])
+    held = {d: [] for d, _ in rows}
+    for d, t in rows:
+        held[d].append((len(ids(word, t)) + 1, zlib.crc32(np.array(ids(word, t) + [1], "<u4").tobytes())))
+    assert [r[0] for r in got] == sorted(d for d, _ in rows) and [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+    assert all(sorted(r[2:] for r in got if r[0] == d) == sorted(x) for d, x in held.items())
+    word.encode_special_tokens = True
+    assert sorted(map(tuple, queries.op8_token_counts(spark, str(tmp_path)).collect())) == sorted((d, len(ids(word, t))) for d, t in rows)

@@ -11,13 +11,14 @@ Equal vectors of one label are one class with a weight. Long lists are cut into
 separate groups, which return link counts and a spanning forest, never all pairs. A pair
 that meets in several cells counts in the first of them alone.
 
-Labels that are null, and vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing. The model is fitted on a bounded sample; all vectors are listed.
+Vectors of different lengths never link; those of each length have a model of their own. Labels that are null, and vectors
+that are null, zero, or hold null or non-finite components link with nothing. Repeated vectors are linked like others. The model is fitted on a bounded sample; all vectors are listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,18 @@ SAMPLE, PROBES, CHUNK = 20_000, 6, 1024
 SUBSPACES, CENTROIDS, MOST_CELLS = 8, 64, 4096
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, a thousand rows at a time."""
+    size = (centres**2).sum(1)
+    return np.concatenate([np.argmin(size - 2 * x[i : i + 1000] @ centres.T, axis=1) for i in range(0, len(x), 1000)]) if len(x) else np.zeros(0, np.int64)
+
+
 def _means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     """Centres of k-means, from distinct rows of the sample."""
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+        near = _nearest(x, centres)
         n = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -52,7 +59,7 @@ class Model:
     def __init__(self, sample: np.ndarray, total: int):
         self.length = sample.shape[1]
         self.cells = _means(sample, max(1, min(MOST_CELLS, len(sample) // 8, int(np.sqrt(total) / 2))), 1)
-        near = np.argmin((self.cells**2).sum(1) - 2 * sample @ self.cells.T, axis=1)
+        near = _nearest(sample, self.cells)
         residual = sample - self.cells[near]
         self.parts = np.array_split(np.arange(self.length), min(SUBSPACES, self.length))
         self.books = [_means(residual[:, p], min(CENTROIDS, len(residual)), 2 + i) for i, p in enumerate(self.parts)]
@@ -185,22 +192,27 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     """(vec, n_links, component_id, kept), a row for each row of `vectors`; ids are taken to be unique integers."""
     rows = vectors.select(F.col(vec).alias("id"), F.col(label).alias("label"), F.col(embedding).alias("v"))
     usable = rows.where("label is not null and v is not null and id is not null")
-    common = usable.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
-    alone = rows.select(F.col("id").alias(vec), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    if common is None or not common.length:
-        return alone.withColumn("kept", F.lit(True))
-    unit = save(_unit_column(usable, common.length))
-    share = min(1.0, SAMPLE / max(1, common.n))
+    lengths = sorted((r.length, r.n) for r in usable.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).where("length > 0 and n > 1").collect())  # a row for each length
+    out = rows.select("id").withColumn("n_links", F.lit(0).cast("bigint")).withColumn("component_id", F.col("id"))
+    found = [x for length, n in lengths if (x := _members(usable, length, n, cosine)) is not None]
+    if found:
+        members = reduce(DataFrame.union, found)
+        out = rows.select("id").join(members, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(vec), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _members(usable: DataFrame, length: int, n: int, cosine: float) -> DataFrame | None:
+    """(id, n_links, component_id) of the vectors of one length that can link, of about n."""
+    unit = save(_unit_column(usable.where(F.size("v") == length), length))
+    share = min(1.0, SAMPLE / n)
     drawn = unit.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(2 * SAMPLE).select("v").toArrow().column(0)
-    sample = np.frombuffer(b"".join(drawn.to_pylist()), np.float64).reshape(-1, common.length)
+    sample = np.frombuffer(b"".join(drawn.to_pylist()), np.float64).reshape(-1, length)
     if not len(sample):
-        return alone.withColumn("kept", F.lit(True))
+        return None
     classes = save(unit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
-    found = save(links(classes, Model(sample, common.n), cosine))
+    found = save(links(classes, Model(sample, n), cosine))
     counts = found.groupBy("id").agg(F.sum("found").alias("found"))
     nodes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     known = classes.join(counts, "id", "left").join(nodes, "id", "left")
     known = known.select("label", "v", (F.coalesce("found", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    members = unit.join(known, ["label", "v"]).select("id", "n_links", "component_id")
-    out = rows.select("id").join(members, "id", "left").select(F.col("id").alias(vec), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(vec).eqNullSafe(F.col("component_id")))
+    return unit.join(known, ["label", "v"]).select("id", "n_links", "component_id")

@@ -54,8 +54,7 @@ def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id").join(pii.spans_by_document(docs), "doc_id", "left")
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, every = F.filter("spans", lambda x: x.base), F.col("spans")
     digest = lambda xs: F.coalesce(F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x.kind, x.s, x.e)), ","), F.lit(""))
     counts = [F.coalesce(F.expr(f"size(filter(spans, x -> x.base and x.kind = '{k}'))"), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]

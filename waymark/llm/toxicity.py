@@ -7,7 +7,8 @@ expectation maximisation how often each voter speaks on toxic and on clean texts
 that still agree beyond that are correlated, and share their weight. A linear classifier
 learns the posterior labels from counts of the entries and text statistics.
 
-Null and empty texts get the score of a text without entries. Without both labels all scores are 0.
+Null and empty texts get the score of a text without entries. Without both labels, or with no word that tells them apart, all scores
+are 0. Repeated rows teach and are scored each by itself; of equally good entries the one with the smaller hash comes first.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from . import labelled, textstats, words
 from .scratch import save
 
-#: Entries of the lexicon at most, toxic texts that hold an entry at least, and how much likelier it is there.
+#: Entries of the lexicon at most; toxic texts that hold an entry at least, and how much likelier it is there, where there are labels enough.
 ENTRIES, SUPPORT, LIFT = 400, 8, 50.0
 #: Lengths of word beginnings, in bytes.
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -68,10 +69,16 @@ class Lexicon:
         return w.text[hit], best[hit]
 
 
-def _chosen(counts: DataFrame, n: dict[int, int], most: int) -> np.ndarray:
+def _floors(n: dict[int, int]) -> tuple[int, float]:
+    """(toxic texts, likelihood) that entries are asked for: with fewer labels fewer texts, and no more than half of the best that so many can show."""
+    support = max(2, min(SUPPORT, -(-n[1] // 25)))
+    return support, min(LIFT, 0.5 * (support / n[1]) / (0.5 / n[0]))
+
+
+def _chosen(counts: DataFrame, n: dict[int, int], most: int, support: int, lift: float) -> np.ndarray:
     """Terms of (term, toxic, clean, kinds) that are frequent in toxic texts of many kinds and far likelier there, the best first."""
     rate = (F.col("toxic") / n[1]) / ((F.col("clean") + 0.5) / n[0])
-    best = counts.where((F.col("kinds") >= SUPPORT) & (F.col("kinds") * 2 >= F.col("toxic"))).withColumn("rate", rate).where(F.col("rate") >= LIFT)
+    best = counts.where((F.col("kinds") >= support) & (F.col("kinds") * 2 >= F.col("toxic"))).withColumn("rate", rate).where(F.col("rate") >= lift)
     return best.orderBy(F.desc(F.col("toxic") * F.log("rate")), "term").limit(most).select("term").toArrow().column(0).to_numpy()
 
 
@@ -113,14 +120,19 @@ def _lexicon(rows: DataFrame) -> Lexicon:
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     if not n.get(0) or not n.get(1):
         return Lexicon.of(np.zeros(0, np.uint64))
-    first = _chosen(_tally(rows, every, False), n, 5 * ENTRIES).view(np.uint64)
-    wide = Lexicon.of(first)
-
-    def best(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
-        text, rank = wide.matches(w)
-        return text, rank.astype(np.int64)
-
-    return Lexicon.of(first[_chosen(_tally(rows, best, True), n, ENTRIES)])
+    (support, lift), counts = _floors(n), save(_tally(rows, every, False))
+    while True:
+        first = _chosen(counts, n, 5 * ENTRIES, support, lift).view(np.uint64)
+        wide = Lexicon.of(first)
+
+        def best(w: words.Words, wide: Lexicon = wide) -> tuple[np.ndarray, np.ndarray]:
+            text, rank = wide.matches(w)
+            return text, rank.astype(np.int64)
+
+        made = first[_chosen(_tally(rows, best, True), n, ENTRIES, support, lift)] if len(first) else first
+        if len(made) or lift < 1.5:
+            return Lexicon.of(made)
+        support, lift = max(1, support // 2), lift / 3  # toxic words are less telling here
 
 
 def _observed(w: words.Words, plain: words.Words, lexicon: Lexicon) -> np.ndarray:
