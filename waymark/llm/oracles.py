@@ -32,4 +32,10 @@ ORACLE_SQL = {
         counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1)
         SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
         FROM embeddings LEFT JOIN component c ON c.id = vec_id LEFT JOIN counts k ON k.id = vec_id""",
+    # The pages of the tables have their text in one article element of headings and paragraphs.
+    "op11_extract": """WITH a AS (SELECT page_id, url, regexp_replace(split_part(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)', 1), '</article>', 1), '<[^>]*$', '') AS x FROM pages),
+        b AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(?:p|h1)>'), lambda t: regexp_replace(replace(t, '<br>', ' '), '</?b>', '', 'g')) AS b FROM a),
+        c AS (SELECT page_id, url, list_transform(b, lambda t: trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '[\\s]+', ' ', 'g'))) AS c FROM b),
+        d AS (SELECT page_id, url, coalesce(array_to_string(list_filter(c, lambda t: t <> ''), chr(10)), '') AS text FROM c)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
 }

@@ -189,3 +189,11 @@ def same(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
     other = a.data[spread(a.start[i[pairs]], size)] != b.data[spread(b.start[j[pairs]], size)]
     ok[pairs[np.repeat(np.arange(len(pairs)), size)[other]]] = False
     return ok
+
+
+def joined(data: np.ndarray, cuts: np.ndarray) -> pa.StringArray:
+    """Texts data[cuts[i]:cuts[i + 1]] without the last byte of each, which is a separator; an empty one stays empty."""
+    last = np.zeros(len(data), bool)
+    last[(cuts[1:] - 1)[np.diff(cuts) > 0]] = True
+    cuts = cuts - np.concatenate([[0], np.cumsum(last)])[cuts]
+    return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data[~last])))
