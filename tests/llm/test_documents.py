@@ -278,12 +278,34 @@ def test_language_model(spark, monkeypatch, tmp_path, head):
         assert math.isclose(sum(model.byte(context, a) for a in range(256)), 1, rel_tol=1e-9)
 
 
-def test_two_words_with_one_hash(spark, monkeypatch):
-    real = words.Words.hashes
-    monkeypatch.setattr(words.Words, "hashes", lambda self, seed=0: real(self, seed) & np.uint64(7) if seed == 0 else real(self, seed))
-    docs = spark.createDataFrame([("a b c d e f g h i j", True)], "text string, train boolean")
-    known, seed = ppm._distinct_hashes(docs.coalesce(1))
-    assert (known.count(), seed) in ((10, 2), (8, 0))  # workers of their own do not see the patch
+def words_with_one_hash():
+    """Two words of 20 letters with equal hashes, by a birthday search over sums of eight parts (the first four of one word, the others of the other)."""
+    dice, n = np.random.default_rng(1), 1 << 17
+    value, factor = words._byte_values(), words._factor(20)
+    letters = [dice.integers(0x61, 0x6E, (n, 5)) + (13 if k >= 4 else 0) for k in range(8)]
+    sums = [(value[x] * factor[5 * (k % 4) : 5 * (k % 4) + 5]).sum(1, dtype=np.uint64) for k, x in enumerate(letters)]
+    lists = [(s if k < 4 else np.uint64(0) - s, np.arange(n)[:, None]) for k, s in enumerate(sums)]
+    for bits in (16, 32, 64):  # pairs of lists whose sums end in so many zeros
+        merged = []
+        for (x, i), (y, j) in zip(lists[::2], lists[1::2], strict=True):
+            mask = np.uint64((1 << bits) - 1)
+            order = np.argsort(y & mask)
+            low, need = (y & mask)[order], (np.uint64(0) - x) & mask
+            first, size = np.searchsorted(low, need), np.searchsorted(low, need, "right") - np.searchsorted(low, need)
+            left, right = np.repeat(np.arange(len(x)), size), order[words.spread(first, size)]
+            merged.append((x[left] + y[right], np.concatenate([i[left], j[right]], axis=1)))
+        lists = merged
+    parts = [bytes(letters[k][i].astype(np.uint8)).decode() for k, i in enumerate(lists[0][1][0])]
+    return "".join(parts[:4]), "".join(parts[4:])
+
+
+def test_two_words_with_one_hash(spark):
+    a, b = words_with_one_hash()
+    hashes = [next(words.scan(pa.array([x]), words.SPACED))[2].hashes()[0] for x in (a, b)]
+    assert a != b and hashes[0] == hashes[1]
+    docs = spark.createDataFrame([(f"{a} c d", True), (f"{b} e f", True)], "text string, train boolean")
+    known, seed = ppm._distinct_hashes(docs)
+    assert (known.count(), seed) == (6, 2)
 
 
 def test_held_out_texts_score_above_the_base(spark):

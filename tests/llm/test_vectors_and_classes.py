@@ -179,3 +179,13 @@ def test_dedup_stage_drops_copies_at_80_per_cent(spark, tmp_path):
     want = {percent: {d for d, (_, root) in brute.near_duplicates(rows, percent).items() if d == root} for percent in (80, 85)}
     assert kept == want[80] and len(want[80]) < len(want[85]) < len(rows)
     assert (1 - 0.8**pipeline.ROWS) ** pipeline.BANDS < 4e-8
+
+
+@pytest.mark.parametrize("name, caught, wrong", [("sf0.001", 1, 1), ("sf0.01", 4, 3)])
+def test_toxicity_on_held_out_labels_of_the_tables(spark, name, caught, wrong):
+    path = f"/root/testdata/{name}"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    rows = queries.op9_toxicity(spark, path).collect()
+    held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and truth.get(r.doc_id) is not None]
+    assert held.count((1, 1)) >= caught and held.count((0, 1)) <= wrong and len({r.score for r in rows}) > 1
+    assert sum(r.predicted for r in rows) < 0.15 * len(rows)

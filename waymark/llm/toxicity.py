@@ -27,6 +27,8 @@ from .scratch import save
 
 #: Entries of the lexicon at most; toxic texts that hold an entry at least, and how much likelier it is there, where there are labels enough.
 ENTRIES, SUPPORT, LIFT = 400, 8, 50.0
+#: How many of the entries may be there by chance.
+CHANCE = 0.1
 #: Lengths of word beginnings, in bytes.
 STEMS = (3, 4, 5, 6, 7, 8)
 
@@ -76,10 +78,22 @@ def _floors(n: dict[int, int]) -> tuple[int, float]:
 
 
 def _chosen(counts: DataFrame, n: dict[int, int], most: int, support: int, lift: float) -> np.ndarray:
-    """Terms of (term, toxic, clean, kinds) that are frequent in toxic texts of many kinds and far likelier there, the best first."""
+    """Terms of (term, toxic, clean, kinds) that are frequent in toxic texts of many kinds and far likelier there, the surest first.
+
+    Of very many terms some are in toxic texts alone by chance. How likely that is of a term that has nothing to do with toxicity is
+    bounded (Chernoff); terms are taken in the order of this bound as long as at most CHANCE of those taken are expected to be there by chance, of all
+    terms that occur often enough to be told from it (Benjamini and Hochberg).
+    """
+    share, total = n[1] / (n[0] + n[1]), F.col("kinds") + F.col("clean")
     rate = (F.col("toxic") / n[1]) / ((F.col("clean") + 0.5) / n[0])
-    best = counts.where((F.col("kinds") >= support) & (F.col("kinds") * 2 >= F.col("toxic"))).withColumn("rate", rate).where(F.col("rate") >= lift)
-    return best.orderBy(F.desc(F.col("toxic") * F.log("rate")), "term").limit(most).select("term").toArrow().column(0).to_numpy()
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (total * p))).otherwise(0.0)
+    surety = F.when(F.col("kinds") > total * share, part(F.col("kinds"), share) + part(F.col("clean"), 1 - share)).otherwise(0.0)
+    tested = counts.where(total * -np.log(share) >= np.log(1000)).withColumn("surety", surety)
+    fine = tested.where((F.col("kinds") >= support) & (F.col("kinds") * 2 >= F.col("toxic")) & (rate >= lift))
+    best = fine.orderBy(F.desc("surety"), "term").limit(most).select("term", "surety").toArrow()
+    chance, m = np.exp(-best.column("surety").to_numpy()), tested.count()
+    ok = np.flatnonzero(chance * m <= CHANCE * np.arange(1, len(chance) + 1))
+    return best.column("term").to_numpy()[: ok[-1] + 1 if len(ok) else 0]
 
 
 def _tally(rows: DataFrame, pick, apart: bool) -> DataFrame:
