@@ -1,14 +1,19 @@
 """The engine on a small master: functions, the checks of single requests, and properties of the scan."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import plain_similarity as one_by_one
 from waymark.functions import similarity as sim
 from waymark.functions.geo import ellipsoid_km, geodesic, shown_km
 from waymark.functions.replies import districts, estimates
 from waymark.functions.text import localities, normal, without_noise
 from waymark.operators.scan import station_scan
+from waymark.operators.similar import similar
 from waymark.plans.ladder import resolve
 from waymark.report import accuracy, shown
 from waymark.sources import tables
@@ -58,33 +63,72 @@ def test_text(spark):
 
 
 def test_scores():
-    assert round(sim.token_sort_ratio("NAGAR", "SUJATHANAGAR"), 2) == 58.82
-    assert round(sim.scaled_partial_ratio("NAGAR", "SUJATHANAGAR"), 2) == 41.67
-    assert round(sim.partial_ratio("ABCDEFGH", "BCDEFGHI"), 1) == 93.3
-    assert sim.weighted_ratio("", "X") == 0 and sim.lenient("GACHIBOWLI", "GACHIBOWLI") == 100
-    assert sim.token_set_ratio("A B", "A B C") == 100 and sim.token_sort_ratio("B A", "A B") == 100
-
-
-def test_lcs_and_filter_against_plain_versions():
-    rng = np.random.default_rng(3)
-
-    def plain(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
-            row = new
-        return row[-1]
-
-    strings = ["".join(rng.choice(list("ABC D"), rng.integers(0, 14))).strip() for _ in range(60)]
-    names = sim.Names(strings, strings)
-    for a in strings:
-        near, loose = set(names.possible(a, 86)), set(names.possible(a, 80, "lenient"))
-        for i, b in enumerate(strings):
-            assert sim.lenient(a, b) < 80 or i in loose
-            assert sim.lcs(a, b) == plain(a, b)
-            assert sim.strict(a, b) < 86 or i in near or not a
+    assert round(one_by_one.token_sort_ratio("NAGAR", "SUJATHANAGAR"), 2) == 58.82
+    assert round(one_by_one.scaled_partial_ratio("NAGAR", "SUJATHANAGAR"), 2) == 41.67
+    assert round(one_by_one.partial_ratio("ABCDEFGH", "BCDEFGHI"), 1) == 93.3
+    assert one_by_one.weighted_ratio("", "X") == 0 and one_by_one.lenient("GACHIBOWLI", "GACHIBOWLI") == 100
+    assert one_by_one.token_set_ratio("A B", "A B C") == 100 and one_by_one.token_sort_ratio("B A", "A B") == 100
+
+
+def test_scores_are_those_of_single_pairs_to_the_last_bit():
+    dice, made = np.random.default_rng(3), made_names(3)
+    a, b = ([made[k] for k in dice.integers(0, len(made), 4000)] for _ in range(2))
+    for name, plain in one_by_one.SCORERS.items():
+        assert sim.scores(name, a, b).tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
+    assert len(sim.scores("strict", [], [])) == 0
+
+
+def test_common_subsequence():
+    made = sim.Strings(made_names(2)[::9])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(made.values)), np.arange(len(made.values))))
+    got = sim.common(made, i, made.at[j], made.size[j])
+    for a, b, n in zip(i, j, got.tolist(), strict=True):
+        row = [0] * (made.size[b] + 1)
+        for x in made.values[a]:
+            row = list(itertools.accumulate(range(1, len(row)), lambda last, k: row[k - 1] + 1 if made.values[b][k - 1] == x else max(last, row[k]), initial=0))  # noqa: B023
+        assert n == row[-1]
+
+
+def made_names(seed):
+    """Names of few letters, words and lengths, empty ones and very long ones among them."""
+    dice = random.Random(seed)
+    parts = ["NAGAR", "SANTOSH", "LB", "BALANAGAR", "BALA", "A", "B", "I", "TOWN", "ADILABAD", "ABCDE", "ABCXE"]
+    kinds = [lambda: " ".join(dice.choice(parts) for _ in range(dice.randint(0, 4))), lambda: "".join(dice.choice("AB C") for _ in range(dice.randint(0, 9))), lambda: "".join(dice.choice("ABCDEFG") for _ in range(dice.randint(1, 20)))]
+    made = {" ".join(kinds[k % 3]().split()) for k in range(330)} | {"".join(dice.choice("ABÉ日") for _ in range(n)) for n in (50, 63, 64, 65, 90, 140)}
+    for x in sorted(made)[:150]:  # near names
+        k = dice.randint(0, len(x))
+        made.add(" ".join((x[:k] + dice.choice("ABX ") + x[k:]).split()))
+        made.add(" ".join((x[:k] + x[k + 1 :]).split()))
+    return sorted(made)
+
+
+@pytest.mark.parametrize(("scorer", "cutoff"), [("strict", 86.0), ("lenient", 80.0), ("strict", 70.0), ("lenient", 92.0)])
+def test_similarity_join_finds_all_pairs(spark, scorer, cutoff):
+    tokens, names = made_names(4)[::2], made_names(5)
+    frame = lambda xs, name: spark.createDataFrame([(x, x) for x in [*xs, xs[3]]], f"{name} string, normal string")
+    got = sorted(map(tuple, similar(frame(tokens, "token"), frame(names, "name"), scorer, cutoff).collect()))
+    a, b = [x for x in tokens for _ in names], names * len(tokens)
+    want = [(x, y, s) for x, y, s in zip(a, b, sim.scores(scorer, a, b).tolist(), strict=True) if s >= cutoff]
+    assert got == sorted(want) and len(want) > 100
+    empty = spark.createDataFrame([], "token string, normal string")
+    assert similar(empty, frame(names, "name"), scorer, cutoff).count() == 0
+    with pytest.raises(ValueError, match="cutoff"):
+        similar(frame(tokens, "token"), frame(names, "name"), scorer, 20.0)
+
+
+def test_similarity_join_shuffles(spark):
+    """Without broadcasts the plan joins by keys alone and gives the same rows."""
+    tokens = spark.createDataFrame([(x, x) for x in made_names(6)], "token string, normal string")
+    names = tokens.withColumnRenamed("token", "name")
+    want = sorted(map(tuple, similar(tokens, names, "strict", 86.0).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = similar(tokens, names, "strict", 86.0)
+        plan = made._jdf.queryExecution().toString()
+        assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan and sorted(map(tuple, made.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_distance(spark):

@@ -33,5 +33,3 @@ class LinkConfig:
     high_score: float = 95.0
     geocode_suffix: str = "Telangana, India"
     stopwords: tuple[str, ...] = field(default=STOPWORDS)
-    #: Names that are broadcast to the scorer at a time; more go in further blocks.
-    name_block: int = 100_000

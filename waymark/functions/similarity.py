@@ -1,199 +1,223 @@
-"""Similarity of names from 0 to 100, by published definitions, and the join of two name lists by it.
+"""Similarity of names from 0 to 100, by published definitions, over arrays of pairs.
 
-All scores rest on the Indel ratio, 200 * LCS(a, b) / (len(a) + len(b)). Inputs are in normal form.
+All scores rest on the Indel ratio, 200 * LCS(a, b) / (len(a) + len(b)). The rows of all subsequences are computed side by side, one
+64-bit lane for each pair (or for each window of a pair), a character of all second strings at a time. Inputs are in normal form.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import LinkConfig
-
-
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit of one number for each character of `a`."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = (row + hit) | (row - hit)
-    return len(a) - (row & full).bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
-
-
-def _sorted(a: str) -> str:
-    return " ".join(sorted(a.split()))
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(_sorted(a), _sorted(b))
-
-
-def _windows(n: int, m: int) -> Iterator[tuple[int, int]]:
-    """Parts of a string of length n that one of length m <= n is held against: full windows, and shorter ones at both ends."""
-    yield from ((i, i + m) for i in range(n - m + 1))
-    yield from ((0, k) for k in range(1, m))
-    yield from ((n - k, n) for k in range(1, m))
+#: Lanes that are computed together, and cells of the table of their characters.
+LANES, CELLS = 1 << 18, 1 << 23
+WIDTH = 64
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string against a window of the longer one; at equal lengths, either way."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    best = max(ratio(a, b[i:j]) for i, j in _windows(len(b), len(a)))
-    if len(a) == len(b) and best < 100:
-        best = max(best, max(ratio(b, a[i:j]) for i, j in _windows(len(a), len(b))))
-    return best
+class Strings:
+    """Strings as numbers of their characters, one after the other."""
 
+    def __init__(self, values: list[str]):
+        self.values = values
+        self.size = np.array([len(v) for v in values], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        flat = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), "<u4")
+        known, self.code = np.unique(flat, return_inverse=True)
+        self.letters = max(1, len(known))
 
-def scaled_partial_ratio(a: str, b: str) -> float:
-    """The partial ratio times the share of the longer string that the shorter one covers."""
-    short, long = sorted((len(a), len(b)))
-    return partial_ratio(a, b) * (short / long) if long else 0.0
 
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places at[i], at[i] + 1, ... of size[i] each."""
+    ends = np.cumsum(size)
+    return np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
-def _parts(a: str, b: str) -> tuple[str, str, str]:
-    x, y = set(a.split()), set(b.split())
-    return tuple(" ".join(sorted(s)) for s in (x & y, x - y, y - x))
 
-
-def token_set_ratio(a: str, b: str) -> float:
-    both, left, right = _parts(a, b)
-    if not a.split() or not b.split():
-        return 0.0
-    if both and (not left or not right):
-        return 100.0
-    with_left, with_right = (f"{both} {x}" if both else x for x in (left, right))
-    moved = len(left) + len(right) - 2 * lcs(left, right)
-    best = 100.0 - 100.0 * moved / (len(with_left) + len(with_right))
-    if both:
-        best = max(best, *(100.0 - 100.0 * (len(w) - len(both)) / (len(both) + len(w)) for w in (with_left, with_right)))
-    return best
-
-
-def partial_token_ratio(a: str, b: str) -> float:
-    both, left, right = _parts(a, b)
-    if both:
-        return 100.0
-    return max(partial_ratio(_sorted(a), _sorted(b)), partial_ratio(left, right))
-
-
-def weighted_ratio(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    apart = max(len(a), len(b)) / min(len(a), len(b))
-    best = ratio(a, b)
-    if apart < 1.5:
-        return max(best, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
-    scale = 0.9 if apart < 8 else 0.6
-    return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+def _long_common(a: np.ndarray, b: np.ndarray) -> int:
+    """The longest common subsequence of two strings of any length, a bit of one number for each character of the first."""
+    where: dict[int, int] = {}
+    for i, c in enumerate(a.tolist()):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b.tolist():
+        hit = row & where.get(c, 0)
+        row = (row + hit) | (row - hit)
+    return len(a) - (row & full).bit_count()
 
 
-def lenient(a: str, b: str) -> float:
-    """For names that were typed on purpose."""
-    return max(weighted_ratio(a, b), token_sort_ratio(a, b), scaled_partial_ratio(a, b))
+def common(s: Strings, pattern: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pattern (number of a string) and the characters at[i] to at[i] + size[i]."""
+    out = np.zeros(len(pattern), np.int64)
+    wide = s.size[pattern] > WIDTH
+    for i in np.flatnonzero(wide).tolist():
+        p = pattern[i]
+        out[i] = _long_common(s.code[s.at[p] : s.at[p] + s.size[p]], s.code[at[i] : at[i] + size[i]])
+    rest = np.flatnonzero(~wide & (size > 0) & (s.size[pattern] > 0))
+    rest = rest[np.lexsort((pattern[rest], -size[rest]))]  # the longest first, so that those that go on are a part without gaps
+    for a in range(0, len(rest), LANES):
+        _lanes(s, rest[a : a + LANES], pattern, at, size, out)
+    return out
 
 
-def strict(a: str, b: str) -> float:
-    """For words of an address: a part of a name never scores like the name."""
-    return max(token_sort_ratio(a, b), scaled_partial_ratio(a, b))
+def _lanes(s: Strings, which: np.ndarray, pattern: np.ndarray, at: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+    own, row_of = np.unique(pattern[which], return_inverse=True)
+    if len(own) * s.letters > CELLS and len(which) > 1:
+        for part in np.array_split(which, 2):
+            _lanes(s, part, pattern, at, size, out)
+        return
+    length = s.size[own]
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    table = np.zeros(len(own) * s.letters, np.uint64)
+    np.bitwise_or.at(table, np.repeat(np.arange(len(own)) * s.letters, length) + s.code[_spread(s.at[own], length)], np.uint64(1) << place.astype(np.uint64))
+    base, text, steps = row_of * s.letters, at[which], size[which]
+    full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(WIDTH) - length.astype(np.uint64))[row_of]
+    row = full.copy()
+    live = np.searchsorted(-steps, -np.arange(1, steps[0] + 1), "right")  # how many have a character at each step
+    for t, n in enumerate(live.tolist()):
+        hit = row[:n] & table[base[:n] + s.code[text[:n] + t]]
+        row[:n] = (row[:n] + hit) | (row[:n] - hit)
+    out[which] = length[row_of] - np.bitwise_count(row & full)
+
+
+def ratio(s: Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    m, n = s.size[i], s.size[j]
+    short, long = np.where(m <= n, i, j), np.where(m <= n, j, i)
+    return np.where(m + n == 0, 100.0, 200.0 * common(s, short, s.at[long], s.size[long]) / np.maximum(m + n, 1))
+
+
+def partial_ratio(s: Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The best ratio of the shorter string against a window of the longer one, full windows and shorter ones at both ends; at equal lengths, either way."""
+    swap = s.size[i] > s.size[j]
+    short, long = np.where(swap, j, i), np.where(swap, i, j)
+    out = np.where(s.size[long] == 0, 100.0, 0.0)
+    some = np.flatnonzero(s.size[short] > 0)
+    lanes = np.cumsum(s.size[long[some]] + s.size[short[some]])
+    cuts = np.searchsorted(lanes, np.arange(0, (lanes[-1] if len(lanes) else 0) + LANES, LANES))
+    for part in np.split(some, np.unique(cuts)[1:-1]) if len(some) else ():
+        out[part] = _windows(s, short[part], long[part])
+        again = part[(s.size[short[part]] == s.size[long[part]]) & (out[part] < 100)]
+        if len(again):
+            out[again] = np.maximum(out[again], _windows(s, long[again], short[again]))
+    return out
 
 
-SCORERS = {"strict": strict, "lenient": lenient, "token_sort": token_sort_ratio, "partial": partial_ratio, "scaled_partial": scaled_partial_ratio, "weighted": weighted_ratio}
+def _windows(s: Strings, short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    m, n = s.size[short], s.size[long]
+    count = n + m - 1  # a window from each place of the longer string, as far as it goes, and its beginnings shorter than the shorter one
+    begin = np.cumsum(count) - count
+    which = np.repeat(np.arange(len(m)), count)
+    k = np.arange(len(which)) - begin[which]
+    head = k >= n[which]
+    start, width = np.where(head, 0, k), np.where(head, k - n[which] + 1, np.minimum(m[which], n[which] - k))
+    made = 200.0 * common(s, short[which], s.at[long][which] + start, width) / (m[which] + width)
+    return np.maximum.reduceat(made, begin)
+
+
+class Pairs:
+    """Pairs of strings and their scores. Each distinct string is sorted and split into words once."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        number: dict[str, int] = {}
+        self.i, self.j = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (a, b))
+        self.raw = list(number)
+        words = [x.split() for x in self.raw]
+        self.words = [frozenset(w) for w in words]
+        self.sorted = [" ".join(sorted(w)) for w in words]
+        self.distinct = [" ".join(sorted(w)) for w in self.words]
+        self.strings = Strings(self.raw + self.sorted + self.distinct)
+        self.m, self.n = self.strings.size[self.i], self.strings.size[self.j]
+
+    def _of(self, work, form: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        shift = form * len(self.raw)
+        return work(self.strings, self.i[some] + shift, self.j[some] + shift)
+
+    def token_sort(self) -> np.ndarray:
+        return self._of(ratio, 1)
+
+    def partial(self) -> np.ndarray:
+        return self._of(partial_ratio, 0)
+
+    def scaled_partial(self, beyond: np.ndarray | None = None) -> np.ndarray:
+        """The partial ratio times the share of the longer string that the shorter one covers; 0 where that cannot be beyond `beyond`."""
+        long = np.maximum(self.m, self.n)
+        share = np.minimum(self.m, self.n) / np.maximum(long, 1)
+        some = np.flatnonzero((long > 0) & ((share * 100.0 > beyond) if beyond is not None else True))
+        out = np.zeros(len(self.i))
+        out[some] = self._of(partial_ratio, 0, some) * share[some]
+        return out
+
+    def strict(self) -> np.ndarray:
+        """For words of an address: a part of a name never scores like the name."""
+        whole = self.token_sort()
+        return np.maximum(whole, self.scaled_partial(whole))
+
+    def _sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """(token set ratio, the best partial ratio of the words in order, and of those that are in one string alone)."""
+        set_, part = np.zeros(len(self.i)), np.zeros(len(self.i))
+        shared = np.array([not self.words[i].isdisjoint(self.words[j]) for i, j in zip(self.i.tolist(), self.j.tolist(), strict=True)], bool)
+        apart = np.flatnonzero(~shared)
+        length = self.strings.size[2 * len(self.raw) :]
+        m, n = length[self.i[apart]], length[self.j[apart]]
+        moved = m + n - 2 * self._common_distinct(apart)
+        set_[apart] = np.where((m == 0) | (n == 0), 0.0, 100.0 - 100.0 * moved / np.maximum(m + n, 1))
+        part[apart] = np.maximum(self._of(partial_ratio, 1, apart), self._of(partial_ratio, 2, apart))
+        both = np.flatnonzero(shared)
+        part[both] = 100.0
+        if len(both):
+            sides = [(self.words[i] & self.words[j], self.words[i] - self.words[j], self.words[j] - self.words[i]) for i, j in zip(self.i[both].tolist(), self.j[both].tolist(), strict=True)]
+            core = np.array([len(" ".join(x)) for x, _, _ in sides], np.int64)
+            rest = Strings([" ".join(sorted(x)) for k in (1, 2) for x in (side[k] for side in sides)])
+            left, right = np.arange(len(both)), np.arange(len(both)) + len(both)
+            x, y = rest.size[left], rest.size[right]
+            with_x, with_y = core + x + (x > 0), core + y + (y > 0)
+            short, long = np.where(x <= y, left, right), np.where(x <= y, right, left)
+            moved = x + y - 2 * common(rest, short, rest.at[long], rest.size[long])
+            # with words left on both sides, those shared are followed by a space on both
+            made = 100.0 - 100.0 * moved / (core + x + 1 + core + y + 1)
+            for w in (with_x, with_y):
+                made = np.maximum(made, 100.0 - 100.0 * (w - core) / (core + w))
+            set_[both] = np.where((x == 0) | (y == 0), 100.0, made)
+        return set_, part
+
+    def _common_distinct(self, some: np.ndarray) -> np.ndarray:
+        s, shift = self.strings, 2 * len(self.raw)
+        i, j = self.i[some] + shift, self.j[some] + shift
+        short, long = np.where(s.size[i] <= s.size[j], i, j), np.where(s.size[i] <= s.size[j], j, i)
+        return common(s, short, s.at[long], s.size[long])
+
+    def weighted(self) -> np.ndarray:
+        best, some = self._of(ratio, 0), (self.m > 0) & (self.n > 0)
+        apart = np.maximum(self.m, self.n) / np.maximum(np.minimum(self.m, self.n), 1)
+        set_, part = self._sets()
+        near = np.maximum(best, 0.95 * np.maximum(self.token_sort(), set_))
+        scale = np.where(apart < 8, 0.9, 0.6)
+        far = np.maximum(best, scale * self.partial())
+        far = np.maximum(far, (0.95 * scale) * part)
+        return np.where(some, np.where(apart < 1.5, near, far), 0.0)
+
+    def lenient(self) -> np.ndarray:
+        """For names that were typed on purpose."""
+        return np.maximum(np.maximum(self.weighted(), self.token_sort()), self.scaled_partial())
+
+
+SCORERS = {"strict": Pairs.strict, "lenient": Pairs.lenient, "token_sort": Pairs.token_sort, "partial": Pairs.partial, "scaled_partial": Pairs.scaled_partial, "weighted": Pairs.weighted}
+
+
+def scores(scorer: str, a: list[str], b: list[str]) -> np.ndarray:
+    """The score of each pair, each distinct one once."""
+    distinct = {pair: k for k, pair in enumerate(dict.fromkeys(zip(a, b, strict=True)))}
+    made = SCORERS[scorer](Pairs([x for x, _ in distinct], [y for _, y in distinct])) if distinct else np.zeros(0)
+    return made[np.array([distinct[pair] for pair in zip(a, b, strict=True)], np.int64)]
 
 
 def score(scorer: str, a: Column | str, b: Column | str) -> Column:
-    """The score of two columns in normal form, by Arrow batches."""
-    work = SCORERS[scorer]
+    """The score of two columns in normal form, by Arrow batches; null counts as empty."""
 
     @F.pandas_udf(T.DoubleType())
-    def scored(x, y):
-        import pandas as pd
-
-        pairs = [(p or "", q or "") for p, q in zip(x, y, strict=True)]
-        known = {pair: work(*pair) for pair in set(pairs)}
-        return pd.Series([known[pair] for pair in pairs])
+    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(scores(scorer, x.fillna("").tolist(), y.fillna("").tolist()))
 
     return scored(a, b)
-
-
-class Names:
-    """Names to score against, with counts of their characters and the names that hold each word."""
-
-    def __init__(self, names: list[str], normals: list[str]):
-        self.names, self.normals = names, normals
-        self.letters = {c: i for i, c in enumerate(sorted(set("".join(normals))))}
-        self.counts = np.zeros((len(names), len(self.letters)), np.int16)
-        self.holding: dict[str, list[int]] = {}
-        for i, x in enumerate(normals):
-            for c, n in Counter(x).items():
-                self.counts[i, self.letters[c]] = n
-            for w in set(x.split()):
-                self.holding.setdefault(w, []).append(i)
-        self.size = np.array([len(x) for x in normals])
-
-    def possible(self, token: str, cutoff: float, scorer: str = "strict") -> np.ndarray:
-        """Names that the score may put at the cutoff: no common subsequence is longer than the common characters.
-
-        With c of them in strings of m and n characters, m <= n, a ratio is at most 200c / (m + n), a partial ratio
-        at most 200c / (m + c). The lenient score weighs partial ratios by 0.9 at most, and gains more from sets of
-        words only where a word is shared; names that share one are always possible.
-        """
-        own = np.zeros(len(self.letters), np.int16)
-        for c, n in Counter(token).items():
-            if c in self.letters:
-                own[self.letters[c]] = n
-        common, m = np.minimum(self.counts, own).sum(1), len(token)
-        short, long = np.minimum(self.size, m), np.maximum(np.maximum(self.size, m), 1)
-        whole, part = 200.0 * common / np.maximum(self.size + m, 1), 200.0 * common / np.maximum(short + common, 1)
-        best = np.maximum(whole, part * np.maximum(short / long, 0.9 if scorer == "lenient" else 0.0))
-        ok = (best >= cutoff - 1e-9) | (self.size + m == 0)
-        if scorer == "lenient":
-            ok[[i for w in set(token.split()) for i in self.holding.get(w, ())]] = True
-        return np.flatnonzero(ok)
-
-
-def similar(tokens: DataFrame, names: DataFrame, scorer: str, cutoff: float, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """(token, name, score): distinct pairs from the cutoff on. `tokens` has token and normal, `names` has name and normal.
-
-    `scorer` is strict or lenient. Each distinct token is scored once, against the names that the counts of characters leave
-    possible. Names go to the tasks in blocks of bounded size, each block against all tokens.
-    """
-    spark = tokens.sparkSession
-    tokens, names = tokens.select("token", "normal").distinct(), names.select("name", "normal").distinct()
-    blocks = max(1, -(-names.count() // config.name_block))
-    work, out = SCORERS[scorer], None
-    for block in range(blocks):
-        rows = names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).orderBy("name").collect()
-        shared = spark.sparkContext.broadcast(Names([r.name for r in rows], [r.normal for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value
-            for batch in batches:
-                found: tuple[list, list, list] = ([], [], [])
-                for token, normal in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for i in held.possible(normal, cutoff, scorer).tolist():
-                        s = work(normal, held.normals[i])
-                        if s >= cutoff:
-                            for column, x in zip(found, (token, held.names[i], s), strict=True):
-                                column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], names=["token", "name", "score"])
-
-        part = tokens.mapInArrow(run, "token string, name string, score double")
-        out = part if out is None else out.union(part)
-    return out

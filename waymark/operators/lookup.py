@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LinkConfig
-from ..functions.similarity import similar
+from .similar import similar
 from ..functions.text import is_blank, normal, standard
 
 
@@ -19,7 +19,7 @@ def name_hits(requests: DataFrame, master: DataFrame, known: str = "known_statio
     district, then row. `within` names a column of requests with a district that restricts the keys."""
     typed = _typed(requests, known)
     keys = master.groupBy("district", "station").agg(F.min("row_no").alias("row_no"))
-    found = similar(typed.select(F.col("typed").alias("token"), normal("typed").alias("normal")), keys.select(F.col("station").alias("name"), normal("station").alias("normal")), "lenient", config.name_cutoff, config)
+    found = similar(typed.select(F.col("typed").alias("token"), normal("typed").alias("normal")), keys.select(F.col("station").alias("name"), normal("station").alias("normal")), "lenient", config.name_cutoff)
     hits = typed.join(found, typed.typed == found.token).join(keys, keys.station == F.col("name"))
     if within:
         wanted = requests.select("request_id", normal(within).alias("wanted"))
@@ -50,7 +50,7 @@ def district_hits(requests: DataFrame, master: DataFrame, known: str = "known_di
     districts = master.groupBy("district").agg(F.min("row_no").alias("row_no"))
     exact = typed.join(districts, standard("typed") == F.col("district")).select("request_id", "district", F.lit(100.0).alias("score"), F.lit(1).alias("place"))
     rest = typed.join(exact.select("request_id"), "request_id", "left_anti")
-    found = similar(rest.select(F.col("typed").alias("token"), normal("typed").alias("normal")), districts.select(F.col("district").alias("name"), normal("district").alias("normal")), "lenient", config.name_cutoff, config)
+    found = similar(rest.select(F.col("typed").alias("token"), normal("typed").alias("normal")), districts.select(F.col("district").alias("name"), normal("district").alias("normal")), "lenient", config.name_cutoff)
     hits = rest.join(found, rest.typed == found.token).join(districts, F.col("name") == districts.district).select("request_id", "district", F.bround("score", 1).alias("score"), "row_no")
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "row_no")
     return exact.unionByName(hits.withColumn("place", F.row_number().over(order)).drop("row_no"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LinkConfig
-from ..functions.similarity import similar
+from .similar import similar
 from ..functions.text import localities, normal
 from ..scratch import save
 
@@ -31,12 +31,13 @@ class Evidence:
     districts: DataFrame
 
 
-def evidence(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig()) -> Evidence:
-    """Places of all addresses, and the scores of each distinct one against stations and against districts, saved."""
+def evidence(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig(), stations: bool = True) -> Evidence:
+    """Places of all addresses, and the scores of each distinct one against stations (if asked for) and against districts, saved."""
     found = save(places(requests, config))
     tokens = found.select("token").distinct().select("token", normal("token").alias("normal"))
-    names = master.select(F.explode(F.array(F.struct(F.lit(True).alias("is_station"), F.col("station").alias("name")), F.struct(F.lit(False).alias("is_station"), F.col("district").alias("name")))).alias("x")).select("x.*").distinct()
-    scored = similar(tokens, names.select("name", normal("name").alias("normal")), "strict", config.locality_cutoff, config)
+    kinds = [F.struct(F.lit(False).alias("is_station"), F.col("district").alias("name"))] + ([F.struct(F.lit(True).alias("is_station"), F.col("station").alias("name"))] if stations else [])
+    names = master.select(F.explode(F.array(*kinds)).alias("x")).select("x.*").distinct()
+    scored = similar(tokens, names.select("name", normal("name").alias("normal")), "strict", config.locality_cutoff)
     scored = save(scored.join(names, "name").select("is_station", "token", "name", "score"))
     return Evidence(found, scored.where("is_station").drop("is_station"), scored.where("not is_station").drop("is_station"))
 
@@ -48,10 +49,11 @@ def _ranked(best: DataFrame, keys: list[str], config: LinkConfig) -> DataFrame:
     return best.where(F.col("ties") <= config.max_tie).withColumn("rank", F.row_number().over(order)).select("request_id", "rank", *keys, "score", "locality")
 
 
-def _best(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the best score, with the earliest token that has it."""
-    best = hits.groupBy("request_id", *keys).agg(F.max(F.struct("score", (-F.col("place")).alias("early"), "token")).alias("b"))
-    return best.select("request_id", *keys, F.bround("b.score", 1).alias("score"), F.col("b.token").alias("locality"))
+def _best(found: DataFrame, scored: DataFrame) -> DataFrame:
+    """(request_id, name, score, locality): for each name the best score, with the earliest token that has it, dealt by request."""
+    hits = found.join(scored, "token").repartition("request_id")
+    best = hits.groupBy("request_id", "name").agg(F.max(F.struct("score", (-F.col("place")).alias("early"), "token")).alias("b"))
+    return best.select("request_id", "name", F.bround("b.score", 1).alias("score"), F.col("b.token").alias("locality"))
 
 
 def station_scan(requests: DataFrame, master: DataFrame, within: str | None = None, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
@@ -60,22 +62,24 @@ def station_scan(requests: DataFrame, master: DataFrame, within: str | None = No
     Of keys with one station name in several districts, the one whose district the address names too stays alone.
     `within` names a column of requests with the only district to look at. `known` is evidence of these requests or more.
     """
-    known = known or evidence(requests, master, config)
-    keys = master.select("district", "station").distinct()
-    asked = requests.select("request_id", *([F.col(within).alias("only")] if within else []))
-    found = known.found.join(asked, "request_id")
-    hits = found.join(known.stations, "token").join(keys.withColumnRenamed("station", "name"), "name").withColumnRenamed("name", "station")
-    hits = hits.where("district = only").drop("only") if within else hits
-    named = found.join(known.districts, "token").select("request_id", F.col("name").alias("district"), F.lit(True).alias("named"))
-    best = _best(hits, ["station", "district"]).join(named.distinct(), ["request_id", "district"], "left")
-    by_name = Window.partitionBy("request_id", "station")
-    twice = best.withColumn("n", F.count("*").over(by_name)).withColumn("n_named", F.count("named").over(by_name))
-    kept = twice.where((F.col("n") == 1) | (F.col("n_named") != 1) | F.col("named"))
-    return _ranked(kept.select("request_id", "station", "district", "score", "locality"), ["station", "district"], config)
+    own = known or evidence(requests, master, config)
+    keys = master.select("district", F.col("station").alias("name")).distinct()
+    found = own.found.join(requests.select("request_id"), "request_id", "left_semi") if known else own.found
+    best = _best(found, own.stations)
+    if within:
+        only = requests.select("request_id", F.col(within).alias("district"))
+        kept = best.join(only, "request_id").join(keys, ["name", "district"])
+    else:
+        named = found.join(own.districts, "token").select("request_id", F.col("name").alias("district")).distinct()
+        both = best.join(named, "request_id").join(keys, ["name", "district"])
+        alone = both.withColumn("n", F.count("*").over(Window.partitionBy("request_id", "name"))).where("n = 1").drop("n")
+        rest = best.join(alone.select("request_id", "name"), ["request_id", "name"], "left_anti").join(keys, "name")
+        kept = rest.unionByName(alone)
+    return _ranked(kept.withColumnRenamed("name", "station"), ["station", "district"], config)
 
 
 def district_scan(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
     """(request_id, rank, district, score, locality): districts that an address names. `known` as in station_scan."""
-    known = known or evidence(requests, master, config)
-    hits = known.found.join(requests.select("request_id"), "request_id").join(known.districts, "token").withColumnRenamed("name", "district")
-    return _ranked(_best(hits, ["district"]), ["district"], config)
+    own = known or evidence(requests, master, config, stations=False)
+    found = own.found.join(requests.select("request_id"), "request_id", "left_semi") if known else own.found
+    return _ranked(_best(found, own.districts).withColumnRenamed("name", "district"), ["district"], config)
