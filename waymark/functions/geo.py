@@ -11,61 +11,85 @@ from pyspark.sql import types as T
 # The ellipsoid in km, and units by km.
 AXIS, FLAT = 6378.137, 1 / 298.257223563
 UNITS = {"km": 1.0, "m": 1000.0, "mi": 1 / 1.609344, "nmi": 1 / 1.852}
-ROUNDS = 20
-
-
-def _vincenty(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(km by Vincenty's inverse formula, whether its rounds settled) of points in radians."""
-    axis2 = AXIS * (1 - FLAT)
-    u1, u2, turn = np.arctan((1 - FLAT) * np.tan(lat1)), np.arctan((1 - FLAT) * np.tan(lat2)), np.remainder(lng2 - lng1 + np.pi, 2 * np.pi) - np.pi
-    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    lam = turn.copy()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        for _ in range(ROUNDS):
-            sin = np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
-            cos = s1 * s2 + c1 * c2 * np.cos(lam)
-            sigma = np.arctan2(sin, cos)
-            alpha = np.where(sin == 0, 0, c1 * c2 * np.sin(lam) / sin)
-            square = 1 - alpha**2
-            middle = np.where(square == 0, 0, cos - 2 * s1 * s2 / square)
-            c = FLAT / 16 * square * (4 + FLAT * (4 - 3 * square))
-            before = lam
-            lam = turn + (1 - c) * FLAT * alpha * (sigma + c * sin * (middle + c * cos * (2 * middle**2 - 1)))
-        u = square * (AXIS**2 - axis2**2) / axis2**2
-        a = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
-        b = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
-        less = b * sin * (middle + b / 4 * (cos * (2 * middle**2 - 1) - b / 6 * middle * (4 * sin**2 - 3) * (4 * middle**2 - 3)))
-        out = axis2 * a * (sigma - less)
-    return np.where((lat1 == lat2) & (turn == 0), 0.0, out), (np.abs(lam - before) < 1e-9) & (np.abs(lam) <= np.pi)
-
-
-def _halfway(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
-    """km between nearly antipodal points in radians. Every way crosses the circle at 90 degrees (on the sphere) around the
-    first point, and ways to and from the circle are short enough to settle: the least sum over the circle is the distance."""
-
-    def ways(bearing: np.ndarray) -> np.ndarray:
-        lat = np.arcsin(np.clip(np.cos(lat1) * np.cos(bearing), -1, 1))
-        lng = lng1 + np.arctan2(np.sin(bearing) * np.cos(lat1), -np.sin(lat1) * np.sin(lat))
-        one = np.ones_like(bearing)
-        return _vincenty(lat1 * one, lng1 * one, lat, lng)[0] + _vincenty(lat, lng, lat2 * one, lng2 * one)[0]
-
-    middle, width = 0.0, np.pi
-    for _ in range(14):  # each time a hundred times as fine
-        at = middle + np.linspace(-width, width, 401)
-        best = ways(at)
-        middle, width = float(at[np.nanargmin(best)]), width / 20
-        if width < 1e-12:
-            break
-    return float(np.nanmin(best))
+#: Nodes and weights of the integrals along a geodesic. The ellipsoid is so round that these are exact to the last digits over half a turn.
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(16)
+#: Steps at most. Nearly all pairs need four; those near the antipodes, where a step may leave its bracket and halves it instead, some dozens.
+STEPS = 80
+
+
+class _Lines:
+    """Geodesics from latitude one to latitude two by their first azimuth, on the auxiliary sphere (C. F. F. Karney, Algorithms for geodesics, 2013).
+
+    The first latitude is not north of the equator and not nearer to it than the second.
+    """
+
+    def __init__(self, s1: np.ndarray, c1: np.ndarray, s2: np.ndarray, c2: np.ndarray):
+        self.s1, self.c1, self.s2, self.c2 = s1, c1, s2, c2
+
+    def only(self, some: np.ndarray) -> _Lines:
+        return _Lines(self.s1[some], self.c1[some], self.s2[some], self.c2[some])
+
+    def at(self, azimuth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(difference of longitude, its derivative by the azimuth, length in axes)."""
+        sin, cos = np.sin(azimuth), np.cos(azimuth)
+        top = sin * self.c1  # sine of the azimuth at the equator
+        end = np.sqrt((cos * self.c1) ** 2 + np.maximum((self.s1 - self.s2) * (self.s1 + self.s2), 0.0))  # cosines of the second azimuth and latitude
+        a, b = np.arctan2(self.s1, cos * self.c1), np.arctan2(self.s2, end)
+        turn = np.arctan2(top * self.s2, end) - np.arctan2(top * self.s1, cos * self.c1)
+        bend = FLAT * (2 - FLAT) / (1 - FLAT) ** 2 * (cos**2 + (sin * self.s1) ** 2)
+        half = (b - a) / 2
+        root = np.sqrt(1 + bend[:, None] * np.sin(half[:, None] * _NODES + ((a + b) / 2)[:, None]) ** 2)
+        length, slant, rest = (half * (f @ _WEIGHTS) for f in (root, (2 - FLAT) / (1 + (1 - FLAT) * root), root - 1 / root))
+        width = np.sqrt(1 + bend * np.sin(b) ** 2) * np.cos(a) * np.sin(b) - np.sqrt(1 + bend * np.sin(a) ** 2) * np.sin(a) * np.cos(b) - np.cos(a) * np.cos(b) * rest
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = (1 - FLAT) * width / end
+        return turn - FLAT * top * slant, slope, (1 - FLAT) * length
 
 
 def ellipsoid_km(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
-    """Vincenty's inverse formula, and for nearly antipodal points, where that does not settle, the least way over a circle
-    between them; 0 for equal points, NaN where a coordinate is."""
-    lat1, lng1, lat2, lng2 = (np.radians(np.asarray(x, float)) for x in (lat1, lng1, lat2, lng2))
-    out, settled = _vincenty(lat1, lng1, lat2, lng2)
-    for i in np.flatnonzero(~settled & np.isfinite(lat1 + lng1 + lat2 + lng2)):
-        out[i] = _halfway(lat1[i], lng1[i], lat2[i], lng2[i])
+    """Lengths of the shortest lines on the ellipsoid, by Newton steps on the first azimuth within a bracket, also between antipodes.
+
+    0 for equal points; NaN where a coordinate is no finite number. Longitudes may have any number of turns; latitudes beyond a pole count as the pole.
+    """
+    lat1, lng1, lat2, lng2 = (np.asarray(x, float) for x in (lat1, lng1, lat2, lng2))
+    out = np.full(lat1.shape, np.nan)
+    fine = np.flatnonzero(np.isfinite(lat1) & np.isfinite(lng1) & np.isfinite(lat2) & np.isfinite(lng2))
+    lat1, lat2 = np.clip(lat1[fine], -90, 90), np.clip(lat2[fine], -90, 90)
+    turn = np.radians(np.abs(np.remainder(lng2[fine] - lng1[fine] + 180.0, 360.0) - 180.0))
+    swap = np.abs(lat1) < np.abs(lat2)
+    lat1, lat2 = np.where(swap, lat2, lat1), np.where(swap, lat1, lat2)
+    flip = np.where(lat1 > 0, -1.0, 1.0)
+
+    def reduced(lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, c = (1 - FLAT) * np.sin(np.radians(lat)), np.maximum(np.cos(np.radians(lat)), 1e-15)
+        return s / np.hypot(s, c), c / np.hypot(s, c)
+
+    (s1, c1), (s2, c2) = reduced(lat1 * flip), reduced(lat2 * flip)
+    s1 = np.where(s1 == 0, -1e-200, s1)
+    lines = _Lines(s1, c1, s2, c2)
+    azimuth = np.arctan2(c2 * np.sin(turn), c1 * s2 - s1 * c2 * np.cos(turn))  # as on a sphere
+    low, high = np.zeros_like(turn), np.full_like(turn, np.pi)
+    equator = (np.abs(lat1) == 0) & (np.abs(lat2) == 0)
+    low[equator] = np.pi / 2
+    azimuth = np.where(turn == 0, np.arctan2(0.0, c1 * s2 - s1 * c2), np.clip(azimuth, low, high))
+    live = np.flatnonzero((turn > 0) & ~(equator & (turn <= np.pi * (1 - FLAT))))
+    for _ in range(STEPS):
+        if not len(live):
+            break
+        found, slope, _ = lines.only(live).at(azimuth[live])
+        over = found - turn[live]
+        high[live] = np.where(over > 0, azimuth[live], high[live])
+        low[live] = np.where(over > 0, low[live], azimuth[live])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = azimuth[live] - over / slope
+        fits = np.isfinite(step) & (step > low[live]) & (step < high[live])
+        step = np.where(fits, step, (low[live] + high[live]) / 2)
+        step = np.where(np.abs(over) > 1e-15, step, azimuth[live])
+        azimuth[live], before = step, azimuth[live]
+        live = live[np.abs(step - before) > 1e-15]
+    length = lines.at(azimuth)[2]
+    length = np.where(equator & (turn <= np.pi * (1 - FLAT)), turn, length)
+    out[fine] = AXIS * np.where((lat1 == lat2) & (turn == 0), 0.0, length)
     return out
 
 

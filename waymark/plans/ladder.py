@@ -169,7 +169,7 @@ def resolve(
 
     def rank_in(asked: DataFrame, n: int) -> DataFrame:
         if measured:
-            return distance_ranked(asked, master, coordinates, geocodes).where(F.col("rank") <= n)
+            return distance_ranked(asked, master, coordinates, geocodes, most=n)
         return estimate_ranked(asked, master, estimates, config.top_n).where(F.col("rank") <= n)
 
     def stated(left: DataFrame) -> DataFrame:

@@ -143,14 +143,14 @@ def nearest_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest of each request; a limit that the ranking itself has."""
     master, coordinates = _suppliers(spark, sf_dir)
     requests, geocodes = _asked(spark, sf_dir)
-    ranked = distance_ranked(requests, master, coordinates, geocodes).where(F.col("rank") <= 3)
+    ranked = distance_ranked(requests, master, coordinates, geocodes, most=3)
     return ranked.select("request_id", "district", "rank", "station", "distance", F.bround("distance_km", 3).alias("distance_km"))
 
 
 def far_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     master, coordinates = _suppliers(spark, sf_dir)
     requests, geocodes = _asked(spark, sf_dir)
-    return far_warning(distance_ranked(requests, master, coordinates, geocodes), 30.0)
+    return far_warning(distance_ranked(requests, master, coordinates, geocodes, most=1), 30.0)
 
 
 def coordinates_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
