@@ -17,6 +17,7 @@ from waymark.operators.similar import similar
 from waymark.plans.ladder import resolve
 from waymark.report import accuracy, shown
 from waymark.sources import tables
+from waymark.sources.answers import AskConfig, answered
 
 MASTER = [
     ("GACHIBOWLI", "CYBERABAD-RANGAREDDY"), ("NAWABPET", "MAHABUBNAGAR"), ("NAWABPET", "VIKARABAD"),
@@ -226,7 +227,7 @@ def test_tables(spark, tmp_path):
     assert sorted(map(tuple, coordinates.collect()), key=str) == [("A", "X", 3.0, 4.0), ("B", "Y", None, None)]
     missing = tables.missing_coordinates(master, coordinates).collect()
     assert [(r.district, r.query) for r in missing] == [("B", "Y Police Station, B, Telangana, India")]
-    found = tables.geocoded(spark.createDataFrame([(missing[0].query,), ("fails",)], "query string"), lambda q: (5.0, 6.0, q.title()) if q != "fails" else 1 / 0)
+    found = spark.createDataFrame([(missing[0].query, 5.0, 6.0)], "query string, lat double, lng double")
     assert sorted(map(tuple, tables.filled(master, coordinates, found).collect())) == [("A", "X", 3.0, 4.0), ("B", "Y", 5.0, 6.0)]
 
 
@@ -242,16 +243,87 @@ def test_versions_of_coordinates(spark, master, tmp_path):
     path = str(tmp_path / "coordinates")
     assert tables.read_coordinates(spark, path).count() == 0
     fails = lambda q: None if q.startswith("GUNDALA") else (1.0, 2.0, q)
-    failed = tables.warmed(master, tables.read_coordinates(spark, path), fails, path)
-    assert sorted((r.district, r.station) for r in failed.collect()) == [(d, "GUNDALA") for d in ("DIST_A", "DIST_B", "DIST_C")]
+    failed = tables.warmed(master, tables.read_coordinates(spark, path), fails, path).collect()
+    assert sorted((r.district, r.station, r.reason) for r in failed) == [(d, "GUNDALA", "no answer") for d in ("DIST_A", "DIST_B", "DIST_C")]
     assert tables.read_coordinates(spark, path).count() == master.count() - 3
     assert tables.warmed(master, tables.read_coordinates(spark, path), lambda q: (3.0, 4.0, q), path).count() == 0
     now = {r.station: r.lat for r in tables.read_coordinates(spark, path).collect()}
     assert now["GUNDALA"] == 3.0 and now["ALWAL"] == 1.0
-    (tmp_path / "coordinates/version=000000003").mkdir()  # a writer that did not end
+    (tmp_path / "coordinates/data/left").mkdir()  # a writer that did not end
     assert tables.read_coordinates(spark, path).count() == master.count()
 
 
+def moved(spark, *rows):
+    return spark.createDataFrame(list(rows), "district string, station string, lat double, lng double")
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """The second commits while the first has written but not committed: both rows of one bucket stay, and the loser merges again."""
+    path, real, calls = str(tmp_path / "two"), tables.commits.create, []
+    tables.write_coordinates(moved(spark, ("D", "OLD", 1.0, 1.0), ("D", "KEPT", 1.0, 1.0)), path)
+    monkeypatch.setattr(tables, "_bucket", lambda: F.lit(7).alias("bucket"))
+
+    def create(session, at, content):
+        calls.append(at)
+        if len(calls) == 1:
+            tables.upsert_coordinates(moved(spark, ("D", "OTHER", 2.0, 2.0), ("D", "OLD", 5.0, 5.0)), path)
+        return real(session, at, content)
+
+    tables.write_coordinates(moved(spark, ("D", "OLD", 1.0, 1.0), ("D", "KEPT", 1.0, 1.0)), path)
+    monkeypatch.setattr(tables.commits, "create", create)
+    tables.upsert_coordinates(moved(spark, ("D", "MINE", 3.0, 3.0), ("D", "NONE", None, 3.0)), path)
+    assert {r.station: r.lat for r in tables.read_coordinates(spark, path).collect()} == {"OLD": 5.0, "KEPT": 1.0, "OTHER": 2.0, "MINE": 3.0}
+    assert len(calls) == 3 and tables.read_version(spark, path)["version"] == 4
+    calls.clear()
+    with pytest.raises(RuntimeError):
+        tables.write_coordinates(moved(spark, ("D", "ALL", 1.0, 1.0)), path)
+
+
+def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
+    path = str(tmp_path / "buckets")
+    tables.write_coordinates(moved(spark, *[("D", f"S{i}", 1.0, 1.0) for i in range(300)]), path)
+    before = tables.read_version(spark, path)["folders"]
+    tables.upsert_coordinates(moved(spark, ("D", "S7", 2.0, 2.0)), path)
+    after = tables.read_version(spark, path)
+    assert sum(before[k] != after["folders"][k] for k in before) == 1 == len(after["changed"]) and len(before) > 40
+    assert {r.lat for r in tables.read_coordinates(spark, path).where("station = 'S7'").collect()} == {2.0} and tables.read_coordinates(spark, path).count() == 300
+
+
+def test_answers_are_asked_for_once(spark, tmp_path):
+    path, asked_for = str(tmp_path / "answers"), tmp_path / "asked"
+    asked_for.mkdir()
+
+    async def ask(query):
+        (asked_for / f"{query}-{len(list(asked_for.glob(query + '-*')))}").touch()
+        if query == "down" or query == "shaky" and len(list(asked_for.glob("shaky-*"))) < 2:
+            raise TimeoutError("too slow")
+        return None if query == "nowhere" else (1.0, 2.0, query.title())
+
+    queries = spark.createDataFrame([(q,) for q in ("here", "here", "nowhere", "down", "shaky", None)], "query string")
+    config = AskConfig(repeats=2, pause_s=0.01)
+    for turn in (1, 2):
+        got = {r.query: (r.lat, r.formatted, r.reason) for r in answered(queries, ask, path, config).collect()}
+        assert got == {"here": (1.0, "Here", None), "shaky": (1.0, "Shaky", None), "nowhere": (None, None, "no answer"), "down": (None, None, "TimeoutError: too slow")}
+        assert {q: len(list(asked_for.glob(f"{q}-*"))) for q in got} == {"here": 1, "shaky": 2, "nowhere": turn, "down": 3 * turn}
+    answered(queries, ask, path, AskConfig(repeats=0, keep_days=0.0)).count()  # what is too old is asked again
+    assert len(list(asked_for.glob("here-*"))) == 2
+    with pytest.raises(Exception, match="division"):
+        answered(queries, lambda q: 1 / 0, str(tmp_path / "wrong")).collect()
+
+
+def test_scan_of_a_master(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text(" district ,Police Station,ROW NO\na,x,1\nA ,X,2\n,y,3\nb,,4\nb,z,five\nb,z,6,more\nb\nB,w,8\n")
+    good, bad = tables.scan_master(spark, [str(tmp_path / "absent.csv"), str(path)], "Row No")
+    assert sorted(map(tuple, good.collect())) == [(1, "A", "X"), (8, "B", "W")]
+    assert sorted((r.reason, r.line) for r in bad.collect()) == [("malformed line", "b"), ("malformed line", "b,z,6,more"), ("no district", None), ("no row number", None), ("no station", None), ("repeats row 1", None)]
+    spark.createDataFrame([("a", "x"), (None, "y")], "DISTRICT string, STATION string").write.parquet(str(tmp_path / "m.parquet"))
+    good, bad = tables.scan_master(spark, [str(tmp_path / "m.parquet")])
+    assert [r.station for r in good.collect()] == ["X"] and [r.reason for r in bad.collect()] == ["no district"]
+    with pytest.raises(KeyError):
+        tables.scan_master(spark, [str(path)], "nothing")
+
+
 def test_order_of_a_master_without_row_numbers(spark):
     rows = spark.createDataFrame([(f"D{i % 7}", f"S{i * 37 % 101}") for i in range(300)], "district string, station string").repartition(5)
     got = sorted((r.row_no, r.district, r.station) for r in tables.standard_master(rows).collect())
@@ -272,7 +344,7 @@ def test_read_and_command_line(spark, master, tmp_path, monkeypatch):
     asked(spark, (1, ADDRESSES[1][0], None, None), (2, None, "gachibowli", None)).write.parquet(path("r.parquet"))
     cli.main(["--master", path("none.csv"), "--master", path("m.csv"), "--row-no", "n", "--requests", path("r.parquet"), "--out", path("out"), "--log", path("log")])
     assert {r.request_id: r.results[0].station for r in spark.read.parquet(path("out")).collect()} == {1: "BORABANDA", 2: "GACHIBOWLI"}
-    assert spark.read.parquet(path("log")).count() == 2
+    assert tables.read_log(spark, path("log")).count() == 2
     with pytest.raises(FileNotFoundError):
         tables.first_there(spark, [path("none")])
 
@@ -285,9 +357,12 @@ def test_log(spark, master, tmp_path):
     assert set(rows) == {1, 2, 4} and rows[1]["RESULT MATCH"] == "Guaranteed" and rows[1]["RESULT LOOKUP"] == "DISTRICT"
     assert rows[2]["PREDICTED DISTRICT"] == "VIKARABAD" and rows[4]["PREDICTED PS"] == "" and rows[4]["RESULT MATCH"] == ""
     path = str(tmp_path / "log")
-    for _ in range(2):
-        tables.append_log(tables.log_rows(requests, answers), path)
-    assert spark.read.parquet(path).count() == 6
+    assert tables.read_log(spark, path) is None
+    added = [tables.append_log(tables.log_rows(requests, answers), path, batch) for batch in ("one", "one", "two", None, None)]
+    assert added == [True, False, True, True, True] and tables.read_log(spark, path).count() == 12
+    older = str(tmp_path / "older")  # a table of its own columns
+    spark.createDataFrame([tuple("abcdef")], ", ".join(f"`{c}` string" for c in [*tables.LOG_WRITTEN, "OWN"])).write.parquet(older)
+    assert tables.append_log(tables.log_rows(requests, answers), older, "one") and tables.read_log(spark, older).columns[-1] == "OWN" and tables.read_log(spark, older).count() == 4
     bad = str(tmp_path / "bad")
     spark.createDataFrame([("x",)], "ADDRESS string").write.parquet(bad)
     with pytest.raises(KeyError):

@@ -1,4 +1,4 @@
-"""python -m waymark.cli --master M [--master M2 ...] --requests R --out O [--coordinates C] [--geocodes G] [--inferences I] [--estimates E] [--log L] [--mode measured|estimated]
+"""python -m waymark.cli --master M [--master M2 ...] --requests R --out O [--coordinates C] [--geocodes G] [--inferences I] [--estimates E] [--log L [--batch B]] [--mode measured|estimated]
 
 Of several masters the first that exists is read.
 """
@@ -19,7 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--master", required=True, action="append")
     for name in ("requests", "out"):
         parser.add_argument(f"--{name}", required=True)
-    for name in ("coordinates", "geocodes", "inferences", "estimates", "log", "row-no"):
+    for name in ("coordinates", "geocodes", "inferences", "estimates", "log", "batch", "row-no"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--mode", choices=["measured", "estimated"], default="measured")
     args = parser.parse_args(argv)
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> None:
     answers = resolve(requests, standard_master(read(spark, first_there(spark, args.master)), args.row_no), mode=args.mode, **tables)
     answers.write.parquet(args.out)
     if args.log:
-        append_log(log_rows(requests, spark.read.parquet(args.out)), args.log)
+        append_log(log_rows(requests, spark.read.parquet(args.out)), args.log, args.batch)
 
 
 if __name__ == "__main__":

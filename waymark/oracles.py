@@ -155,6 +155,11 @@ def _label(x: str, otherwise: str) -> str:
 _LOOKUP = "CASE o_orderkey % 4 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LOOKUPS.items()) + " END"
 _RANK = "CASE WHEN o_orderkey % 4 = 1 THEN 1 WHEN o_orderkey % 3 = 0 THEN 2 END"
 
+_FILE = """raw AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN 'n/a' ELSE p_partkey::VARCHAR END AS a, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_type END AS b,
+        CASE WHEN p_partkey % 11 = 0 THEN '  ' WHEN p_partkey % 17 = 0 THEN p_name || ',x' ELSE lower(p_name) END AS c FROM part),
+    file AS (SELECT CASE WHEN k % 13 > 0 THEN k END AS n, upper(trim(b)) AS district, upper(trim(split_part(c, ',', 1))) AS station, CASE WHEN c LIKE '%,x' THEN a || ',' || b || ',' || c END AS line,
+        CASE WHEN c LIKE '%,x' THEN 'malformed line' WHEN k % 13 = 0 THEN 'no row number' WHEN trim(b) = '' THEN 'no district' WHEN trim(c) = '' THEN 'no station' END AS reason FROM raw)"""
+
 ORACLE_SQL = {
     "standardize_master": "SELECT p_partkey AS row_no, upper(trim(p_type)) AS district, upper(trim(p_name)) AS station FROM part",
     "normal_names": f"SELECT p_partkey, {_norm('t')} AS name FROM (SELECT p_partkey, '  ' || ['PS ', 'p.s. ', 'Thana' || chr(9), 'Police  Station '][p_partkey % 4 + 1] || replace(p_name, ' ', ' - ') || ' chowki ' AS t FROM part)",
@@ -298,7 +303,7 @@ ORACLE_SQL |= {
     "coordinates_standard": """SELECT district, station, x.lat AS lat, x.lng AS lng FROM (SELECT upper(p_type) AS district, upper(p_name) AS station, arg_max(CASE WHEN l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 THEN {'lat': NULL::DOUBLE, 'lng': NULL::DOUBLE}
         ELSE {'lat': (l_orderkey % 90)::DOUBLE, 'lng': (l_linenumber + 77)::DOUBLE} END, l_orderkey * 100000000 + l_linenumber * 10000000 + p_partkey) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""",
     "coordinates_filled": f"WITH {_RESIDENTS} SELECT district, station, lat, lng FROM coords",
-    "coordinates_failed": f"WITH {_MASTER}, missing AS ({_MISSING}) SELECT * FROM missing WHERE length(query) % 2 = 0",
+    "coordinates_failed": f"WITH {_MASTER}, missing AS ({_MISSING}) SELECT *, CASE WHEN length(query) % 3 = 0 THEN 'OSError: out of reach' ELSE 'no answer' END AS reason FROM missing WHERE length(query) % 2 = 0 OR length(query) % 3 = 0",
     "coordinates_updated": f"""WITH {_RESIDENTS}, known AS (SELECT district, station, lat, lng FROM coords JOIN master USING (district, station) WHERE row_no % 5 <> 0),
         news AS (SELECT upper(p_type) AS district, upper(p_name) AS station, max(p_partkey)::DOUBLE AS lat, 1.0::DOUBLE AS lng FROM part WHERE p_partkey % 6 = 0 GROUP BY 1, 2)
         SELECT * FROM news UNION ALL SELECT k.* FROM known k ANTI JOIN news USING (district, station)""",
@@ -306,4 +311,8 @@ ORACLE_SQL |= {
     "name_lookup_within": f"""WITH {_NAME_HITS} SELECT request_id, station, district, score, row_number() OVER (PARTITION BY request_id ORDER BY place)::INT AS place FROM hits WHERE kind = '' OR {_norm('kind')} = {_norm('district')}""",
     "log_appended": f"""SELECT NULL::VARCHAR AS file_no, trim(o_orderstatus) AS address, 'A' || o_orderkey AS predicted_ps, o_orderpriority AS predicted_district, NULL::VARCHAR AS actual_ps_known, NULL::VARCHAR AS status,
         {_LOOKUP} AS result_lookup, {_label(_SURETY, "'Unknown'")} AS result_match, NULL::VARCHAR AS "match" FROM orders WHERE o_orderkey % 4 > 0""",
+    "master_scanned": f"WITH {_FILE} SELECT min(n) AS row_no, district, station FROM file WHERE reason IS NULL GROUP BY 2, 3",
+    "master_rejected": f"""WITH {_FILE}, first AS (SELECT district, station, min(n) AS n FROM file WHERE reason IS NULL GROUP BY 1, 2)
+        SELECT n AS row_no, district, station, reason, line FROM file WHERE reason IS NOT NULL UNION ALL
+        SELECT file.n, district, station, 'repeats row ' || first.n, NULL FROM file JOIN first USING (district, station) WHERE reason IS NULL AND file.n > first.n""",
 }

@@ -6,6 +6,9 @@ least key the row number. Every line item asks for its part by an address.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ from .operators.scan import district_scan, station_scan
 from .plans.ladder import ITEM, inferred_districts, resolve
 from .report import accuracy, shown
 from .scratch import folder
-from .sources.tables import append_log, filled, log_rows, missing_coordinates, read_coordinates, standard_coordinates, standard_master, upserted, warmed, write_coordinates
+from .sources.answers import AskConfig
+from .sources.tables import append_log, filled, log_rows, missing_coordinates, read_coordinates, read_log, scan_master, standard_coordinates, standard_master, upsert_coordinates, upserted, warmed, write_coordinates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -302,18 +306,27 @@ def coordinates_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coordinates_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The warm-up job over the whole master: what its geocoder could not place."""
+    """The warm-up job over the whole master, run twice: what its geocoder could not place, and why. Only failures are asked again."""
     master, known, _ = _placed(spark, sf_dir)
-    return warmed(master, known, lambda query: (1.0, 2.0, query) if len(query) % 2 else None, folder(spark))
+
+    def down(query: str) -> tuple[float, float, str] | None:
+        if len(query) % 3 == 0:
+            raise OSError("out of reach")
+        return (1.0, 2.0, query) if len(query) % 2 else None
+
+    path, config = folder(spark), AskConfig(repeats=1, pause_s=0.0)
+    warmed(master, known, down, path, ask=config)
+    return warmed(master, read_coordinates(spark, path), down, path, ask=config)
 
 
 def coordinates_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several updates for a key, the last row of which counts, and read back from the table they were written to."""
+    """Several updates for a key, the last row of which counts, in two commits, and read back from the table they were put into."""
     master, known, _ = _placed(spark, sf_dir)
     updates = _parts(spark, sf_dir).where("row_no % 3 = 0").withColumn("lat", F.when(F.col("row_no") % 2 == 0, F.col("row_no").cast("double"))).withColumn("lng", F.lit(1.0))
     path = folder(spark)
     write_coordinates(known, path)
-    write_coordinates(upserted(read_coordinates(spark, path), updates), path)
+    upsert_coordinates(updates, path)
+    upsert_coordinates(updates.where("lat is null"), path)
     return read_coordinates(spark, path)
 
 
@@ -328,21 +341,44 @@ def name_lookup_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log after two appends, columns by name."""
+    """The log after two batches, of which each was appended twice, columns by name."""
     requests, answers = _made_answers(spark, sf_dir)
     path = folder(spark)
-    for part in (0, 1):
-        append_log(log_rows(requests, answers.where(F.col("request_id") % 2 == part)), path)
-    log = spark.read.parquet(path)
+    for part in (0, 1, 0, 1):
+        append_log(log_rows(requests, answers.where(F.col("request_id") % 2 == part)), path, f"part {part}")
+    log = read_log(spark, path)
     return log.select(*[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in log.columns])
 
 
+def _master_file(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Paths of a master as text, the first of which is not there: headers in odd case, blank names, numbers that are none, lines with a field too many."""
+    key = F.col("p_partkey")
+    name = F.when(key % 11 == 0, F.lit("  ")).when(key % 17 == 0, F.concat("p_name", F.lit(",x"))).otherwise(F.lower("p_name"))
+    fields = F.when(key % 13 == 0, F.lit("n/a")).otherwise(key.cast("string")), F.when(key % 7 == 0, F.lit(" ")).otherwise(F.col("p_type")), name
+    path = f"{folder(spark)}.csv"
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(["Row No, district ,Police Station"])], names=["value"])
+        yield from (pa.RecordBatch.from_arrays([b.column(0)], names=["value"]) for b in batches)
+
+    _table(spark, sf_dir, "part").select(F.concat_ws(",", *fields).alias("value")).mapInArrow(headed, "value string").write.text(path)
+    return [f"{path}.absent.csv", path]
+
+
+def master_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_master(spark, _master_file(spark, sf_dir), "row no")[0]
+
+
+def master_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_master(spark, _master_file(spark, sf_dir), "row no")[1]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_stations, scan_districts, standardize_master, normal_names, address_localities, strict_scores, lenient_scores, name_lookup, name_resolution,
         district_lookup, geodesic_pairs, nearest_stations, far_districts, coordinates_missing, coordinates_upserted, inference_replies,
         log_entries, shown_answers, accuracy_counts, ladder, ladder_measured, ladder_estimated, inferred_names, estimate_replies, estimated_stations,
-        coordinates_standard, coordinates_filled, coordinates_failed, coordinates_updated, stations_excluded, name_lookup_within, log_appended,
+        coordinates_standard, coordinates_filled, coordinates_failed, coordinates_updated, stations_excluded, name_lookup_within, log_appended, master_scanned, master_rejected,
     )
 }
