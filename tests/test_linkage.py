@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests import plain_similarity as one_by_one
+from waymark.config import STOPWORDS
 from waymark.functions import similarity as sim
 from waymark.functions.geo import ellipsoid_km, geodesic, shown_km
 from waymark.functions.replies import districts, estimates
@@ -381,3 +383,40 @@ def test_stream_equals_batch(spark, master, tmp_path):
     want = resolve(requests, master)
     key = lambda df: sorted((r.request_id, r.rung, str(r.results)) for r in df.collect())
     assert key(got) == key(want)
+
+
+def test_stream_keeps_answers(spark, master, tmp_path):
+    from waymark.streaming import requests as stream
+
+    out, refer = str(tmp_path / "out"), lambda: {"master": master}
+    stream.answer_batch(asked(spark, (1, "", "GACHIBOWLI", ""), (2, "", " GACHIBOWLI ", None), (3, "", "ALWAL", "")), 0, out, refer)
+    none = lambda: {"master": master.where("false")}
+    for number, keep, n in ((1, "36500 days", 0), (1, "36500 days", 0), (2, "0 seconds", 1)):  # the second one again, as after a failure
+        stream.answer_batch(asked(spark, (7, "", "GACHIBOWLI", "")), number, out, none if n == 0 else refer, keep)
+        assert spark.read.parquet(f"{out}/_answers/batch={number}").count() == n
+    got = sorted((r.request_id, r.batch, r.results[0].station) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 0, "GACHIBOWLI"), (2, 0, "GACHIBOWLI"), (3, 0, "ALWAL"), (7, 1, "GACHIBOWLI"), (7, 2, "GACHIBOWLI")]
+
+
+def test_documents_scan(spark, tmp_path):
+    """Long texts in several languages, word by word against every name."""
+    dice, parts = random.Random(8), ["gachibowli", "größenordnung", "GACHIBOWLY", "the", "élève", "malkajgri", "balanagar x", "secunderabad", "main road", "gachi", "bowli,", "\n", ";"]
+    texts = [" ".join(dice.choice(parts) for _ in range(n)) for n in (0, 1, 5, 20, 3000)] + [None, "x" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "Gachibowli malkajgiri, secunderabad größenordnungen balanagar-"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["GACHIBOWLI", "MALKAJGIRI", "SECUNDERABAD", "SSENORDNUNGEN", "BALANAGAR"]
+    want = set()
+    for doc, text in enumerate(texts):
+        places = []
+        for segment in re.split(r"[,\n;|/]+", (text or "").upper()):
+            words = [w for w in re.split("[^A-Z]+", segment) if w and w not in STOPWORDS]
+            places += [" ".join(words), *words]
+        places = [p for p in dict.fromkeys(places) if len(p.replace(" ", "")) >= 4]
+        for name in names:
+            score, _, place = max(((one_by_one.strict(p, name), -i, p) for i, p in enumerate(places)), default=(0, 0, ""))
+            if score >= 86:
+                want.add((doc, name, round(score, 1), place))
+    from waymark.queries import documents_scan
+
+    got = {(r.request_id, r.station, r.score, r.locality) for r in documents_scan(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 5

@@ -85,11 +85,11 @@ def _common_grams(form: Form, m: int, n: int) -> dict[int, int] | None:
 
 
 @lru_cache(maxsize=None)
-def _probes(scorer: str, cutoff: float, at: int, m: int) -> tuple[tuple[int, int, int], ...]:
-    """(class, q, least): for tokens of m characters in a form, the grams they need in common with names of a class of lengths."""
+def _probes(scorer: str, cutoff: float, at: int, m: int, longest: int) -> tuple[tuple[int, int, int], ...]:
+    """(class, q, least): for tokens of m characters in a form, the grams they need in common with names of a class of lengths, up to the class `longest`."""
     form, out = forms(scorer, cutoff)[at], []
     reach = int(min(form.most, 8) * m) + 1  # of still longer names only windows count, which no longer depend on the length
-    for c in range(CLASSES):
+    for c in range(longest + 1):
         low, high = (next(n for n in range(max(1, int(STEP**k) - 1), int(STEP**k) + 3) if length_class(n) >= min(k, CLASSES - 1)) for k in (c, c + 1))
         high = 10 * reach if c == CLASSES - 1 else high
         lengths = [n for n in range(low, min(high, reach + 1))] or ([low] if low < high and form.most > 8 else [])
@@ -106,9 +106,7 @@ def token_keys(text: str, scorer: str, cutoff: float, rank: dict[str, int], long
     for at, form in enumerate(forms(scorer, cutoff)):
         x = form.of(text)
         rarest: dict[int, list[str]] = {}
-        for c, q, least in _probes(scorer, cutoff, at, len(x)) if x else ():
-            if c > longest:
-                break
+        for c, q, least in _probes(scorer, cutoff, at, len(x), longest) if x else ():
             if q not in rarest:
                 rarest[q] = sorted((x[i : i + q] for i in range(len(x) - q + 1)), key=lambda g: (rank.get(g, 0), g))
             out.update(f"{at}.{c}.{g}" for g in rarest[q][: len(rarest[q]) - least + 1])

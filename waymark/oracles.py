@@ -316,3 +316,5 @@ ORACLE_SQL |= {
         SELECT n AS row_no, district, station, reason, line FROM file WHERE reason IS NOT NULL UNION ALL
         SELECT file.n, district, station, 'repeats row ' || first.n, NULL FROM file JOIN first USING (district, station) WHERE reason IS NULL AND file.n > first.n""",
 }
+ORACLE_SQL["ladder_streamed"] = f"""WITH once AS ({ORACLE_SQL['ladder_measured']})
+    SELECT * FROM once UNION ALL SELECT * REPLACE (request_id + 1000000000 AS request_id) FROM once"""

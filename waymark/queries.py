@@ -21,9 +21,12 @@ from .operators.ranking import distance_ranked, estimate_ranked, excluded, far_w
 from .operators.scan import district_scan, station_scan
 from .plans.ladder import ITEM, inferred_districts, resolve
 from .report import accuracy, shown
-from .scratch import folder
+from .scratch import folder, save
+from .config import LinkConfig
+from .sources import commits
 from .sources.answers import AskConfig
 from .sources.tables import append_log, filled, log_rows, missing_coordinates, read_coordinates, read_log, scan_master, standard_coordinates, standard_master, upsert_coordinates, upserted, warmed, write_coordinates
+from .streaming.requests import answer_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +134,14 @@ def scan_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return district_scan(_requests(spark, sf_dir), _master(spark, sf_dir))
 
 
+def documents_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, in all languages, as addresses; long words of the benchmark are the stations, by their first letters. All ties are kept."""
+    word = F.explode(F.split(F.upper("text"), "[^A-Z]+"))
+    words = _table(spark, sf_dir, "benchmark").select(word.alias("station")).where(F.length("station") >= 8).distinct()
+    documents = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("address"))
+    return station_scan(documents, words.select(F.substring("station", 1, 1).alias("district"), "station"), config=LinkConfig(max_tie=1 << 40))
+
+
 def geodesic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select("c_custkey", _point("c_custkey", 15.0, 53).alias("lat"), _point("c_custkey", 77.0, 71).alias("lng"), _point("c_nationkey", 16.0, 17).alias("lat2"), _point("c_nationkey", 78.0, 29).alias("lng2"))
     return rows.select("c_custkey", F.bround(geodesic("lat", "lng", "lat2", "lng2"), 3).alias("km"))
@@ -266,6 +277,20 @@ def ladder_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows_of(resolve(residents, master, known, _geocodes(residents, found), _inferences(residents)))
 
 
+def ladder_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as a stream of two batches, the second of which asks for all of it again under other numbers."""
+    (master, known, found), residents = _placed(spark, sf_dir), _residents(spark, sf_dir)
+    path = folder(spark)
+    asked, files = residents.select("request_id", "address", "known_station", "known_district"), 0
+    for turn in (0, 1):
+        asked.withColumn("request_id", F.col("request_id") + turn * 1_000_000_000).write.mode("append").parquet(f"{path}/in")
+        files = files or len([n for n in commits.names(spark, f"{path}/in") if n.startswith("part-")])
+    refer = {"master": save(master), "coordinates": save(known), "geocodes": save(_geocodes(residents, found)), "inferences": save(_inferences(residents))}
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+    answer_stream(stream, f"{path}/out", f"{path}/checkpoint", lambda: refer).awaitTermination()
+    return _rows_of(spark.read.parquet(f"{path}/out").drop("batch"))
+
+
 def ladder_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests, ranked by an estimator's replies."""
     master, residents = _placed(spark, sf_dir)[0], _residents(spark, sf_dir)
@@ -379,6 +404,6 @@ QUERIES = {
         scan_stations, scan_districts, standardize_master, normal_names, address_localities, strict_scores, lenient_scores, name_lookup, name_resolution,
         district_lookup, geodesic_pairs, nearest_stations, far_districts, coordinates_missing, coordinates_upserted, inference_replies,
         log_entries, shown_answers, accuracy_counts, ladder, ladder_measured, ladder_estimated, inferred_names, estimate_replies, estimated_stations,
-        coordinates_standard, coordinates_filled, coordinates_failed, coordinates_updated, stations_excluded, name_lookup_within, log_appended, master_scanned, master_rejected,
+        coordinates_standard, coordinates_filled, coordinates_failed, coordinates_updated, stations_excluded, name_lookup_within, log_appended, master_scanned, master_rejected, ladder_streamed, documents_scan,
     )
 }
