@@ -176,6 +176,8 @@ def test_personal_data(spark):
         assert [(x.k, x.s) for x in got.get(d, [])] == sorted((x.k, x.s) for x in got.get(d, []))
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert clean[0] == "mail [EMAIL] now" and clean[9] is None and clean[8] == "" and clean[7].startswith("é😀 [EMAIL]  [PHONE]")
+    joined = "joe@x.com4111 1111 1111 1111 end"  # spans that overlap go together
+    assert pii.redact(table(spark, [(1, joined)])).first().text == "[EMAIL] end"
     assert pii.spans_by_document(docs.where("doc_id < 0")).count() == 0
     assert pii.redact(docs.where("doc_id in (8, 9)")).count() == 2
 
@@ -196,8 +198,20 @@ def test_learned_spans_of_each_kind(spark):
         rows.append((i, f"{fill} mail u{i}@host.org or card 4111 1111 1111 1111 or call +1 (988) 555-{n} at host 10.0.{i % 250}.7 {fill} on 20{10 + i % 9}-0{1 + i % 9}-1{i % 9} order 77-{n}-{10 + i % 80} we met at noon"))
     planted = ["please mail bob (at) host (dot) org today", "card 4111.1111.1111.1111 thanks", "call (988) 555-2485 now", "at host 10 . 0 . 3 . 7 there"]
     rows += [(1000 + i, x) for i, x in enumerate(planted)] + [(2000, "we met at noon on 2011-04-12 about order 77-1234-55")]
+    rows += [(2001, "please mail ann [AT] host [DOT] org today"), (2002, "the 9777946427004852 at re, at 10.30"), (2003, "")]
+    spans = pii.candidates(table(spark, rows))
+    fitted = pii.fit(spans, pii._wide_only(spans))
+    assert set(fitted) == set(pii.KINDS) and all(len(models) == 2 and 0.5 <= threshold for models, threshold in fitted.values())
     got = {r.doc_id: [x.kind for x in r.spans if not x.base] for r in pii.spans_by_document(table(spark, rows)).collect()}
     assert [got.get(1000 + i) for i in range(4)] == [["email"], ["card"], ["phone"], ["ip"]] and not got.get(2000)
+    assert got.get(2001) == ["email"] and not got.get(2002)
+
+
+def test_kinds_without_examples_add_nothing(spark):
+    rows = [(i, f"mail u{i}@host.org we met at noon") for i in range(60)] + [(100, "bob (at) host (dot) org or card 4111.1111.1111.1111")]
+    spans = pii.candidates(table(spark, rows))
+    assert "card" not in pii.fit(spans, pii._wide_only(spans)) and pii.fit(spans.where("doc is null"), spans.where("doc is null")) == {}
+    assert all(x.kind != "card" for r in pii.spans_by_document(table(spark, rows)).collect() for x in r.spans)
 
 
 def test_long_list_of_numbers(spark):
