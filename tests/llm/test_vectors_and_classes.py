@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from waymark.llm import pq, quality, queries, toxicity
+from waymark.llm import labelled, pq, quality, queries, toxicity
 from waymark.llm.scratch import save
 
 
@@ -43,9 +43,28 @@ def test_pairs_at_the_threshold_and_vectors_of_several_lengths(spark):
         c = 0.98001 + 0.004 * i / 600
         rows += [(2 * i, x.tolist()), (2 * i + 1, (c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist())]
     rows += [(5000, [1.0, 2.0]), (5001, [2.0, 4.0]), (5002, [1.0, -2.0]), (5003, [1.0, 2.0, 0.0]), (5004, [7.0])]
+    rows += [(6000, [1e200, 2e200, 0.0]), (6001, [1e-200, 2e-200, 0.0]), (6002, [1e-310, 2e-310, 0.0])]  # their squares overflow or vanish
     got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
     assert all(got[i] == (1, i - i % 2) for i in range(1200))
-    assert [got[5000 + i] for i in range(5)] == [(1, 5000), (1, 5000), (0, 5002), (0, 5003), (0, 5004)]
+    assert [got[5000 + i] for i in range(5)] == [(1, 5000), (1, 5000), (0, 5002), (3, 5003), (0, 5004)]
+    assert [got[6000 + i] for i in range(3)] == [(3, 5003)] * 3
+
+
+def test_lengths_that_few_vectors_have(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=(8, 9, 16)[i % 3]) + 2 * (i % 7)).tolist(), i % 2) for i in range(700)]
+    rows += [(700 + i, rows[i][1], rows[i][2]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    alike = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(table).collect()}
+    monkeypatch.setattr(pq, "RARE", 0)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(table).collect()} == alike
+    assert sum(n for n, _ in alike.values()) > 120
+
+
+def test_a_repeated_id_gives_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (3, 1)], "doc_id long, toxic int")
+    assert [tuple(r) for r in labelled.sample(docs, labels, "toxic", F.lit(True)).collect()] == [(1, 1, "")]
 
 
 def test_coding_error_bounds_the_distance():

@@ -12,14 +12,15 @@ SAMPLE = 20_000
 def sample(docs: DataFrame, labels: DataFrame, value: str, usable: Column, doc: str = "doc_id", text: str = "text", most: int = SAMPLE) -> DataFrame:
     """(doc, label, text) of at most `most` labelled documents for which `usable` holds.
 
-    Null labels and null ids are left out; of several labels of one id the largest counts. A document whose id occurs
-    several times gives several rows.
+    Null labels and null ids are left out; of several labels of one id the largest counts, and of several texts of one
+    id the least, so that an id that is repeated without end gives one row.
     """
     rows = labels.select(F.col(doc).alias("doc"), F.col(value).cast("int").alias("label")).where("doc is not null and label is not null")
     rows = rows.groupBy("doc").agg(F.max("label").alias("label")).where(usable)
     n = max(1, rows.count())
     drawn = rows.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * 0.95 * most / n) if n > most else 1_000_000)).limit(most)
-    return docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc").select("doc", "label", "text")
+    texts = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc")
+    return texts.groupBy("doc", "label").agg(F.min("text").alias("text"))
 
 
 def trainable(doc: str = "doc") -> Column:

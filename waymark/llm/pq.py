@@ -11,7 +11,8 @@ Equal vectors of one label are one class with a weight. Long lists are cut into
 separate groups, which return link counts and a spanning forest, never all pairs. A pair
 that meets in several cells counts in the first of them alone.
 
-Vectors of different lengths never link; those of each length have a model of their own. Labels that are null, and vectors
+Vectors of different lengths never link; those of each length have a model of their own, but lengths that few vectors have
+are compared in whole, all such lengths in one job. Labels that are null, and vectors
 that are null, zero, or hold null or non-finite components link with nothing. Repeated vectors are linked like others. The model is fitted on a bounded sample; all vectors are listed.
 """
 
@@ -32,6 +33,8 @@ from .scratch import save
 #: Vectors that the model is fitted on, at most; cells a vector is listed in; rows of a chunk.
 SAMPLE, PROBES, CHUNK = 20_000, 6, 1024
 SUBSPACES, CENTROIDS, MOST_CELLS = 8, 64, 4096
+#: A length is rare if another has more vectors and it has at most so many, with so many components in all.
+RARE, RARE_NUMBERS = 4096, 1 << 22
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -85,29 +88,30 @@ class Model:
         return [((residual[:, None, p] - book) ** 2).sum(2) for p, book in zip(self.parts, self.books, strict=True)]
 
 
-def _unit(rows: list, length: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, unit vectors) of the rows that can link."""
+def _unit(rows: list) -> tuple[list[int], list[bytes]]:
+    """(places, unit vectors as packed doubles) of the rows that can link; their squares neither overflow nor vanish."""
     keep, out = [], []
     for i, v in enumerate(rows):
-        if v is None or not len(v) or (length is not None and len(v) != length):
+        if not v:
             continue
         x = np.array(v, np.float64)  # null becomes NaN
-        size = np.sqrt((x * x).sum())
-        if np.isfinite(size) and size > 0:
+        most = np.abs(x).max()
+        if np.isfinite(most) and most > 0:
+            x /= most
             keep.append(i)
-            out.append(x / size)
-    return np.array(keep, np.int64), np.array(out).reshape(len(out), -1 if out else 0)
+            out.append((x / np.sqrt((x * x).sum())).tobytes())
+    return keep, out
 
 
-def _unit_column(df: DataFrame, length: int) -> DataFrame:
+def _unit_column(df: DataFrame) -> DataFrame:
     """(id, label, v): the vectors that can link, scaled to length one, as packed doubles."""
     kind = df.schema["id"].dataType.simpleString(), df.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, x = _unit(batch.column(2).to_pylist(), length)
-            at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "v"])
+            keep, v = _unit(batch.column(2).to_pylist())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(v, pa.binary())], names=["id", "label", "v"])
 
     return df.select("id", "label", "v").mapInArrow(run, f"id {kind[0]}, label {kind[1]}, v binary")
 
@@ -194,23 +198,60 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     usable = rows.where("label is not null and v is not null and id is not null")
     lengths = sorted((r.length, r.n) for r in usable.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).where("length > 0 and n > 1").collect())  # a row for each length
     out = rows.select("id").withColumn("n_links", F.lit(0).cast("bigint")).withColumn("component_id", F.col("id"))
-    found = [x for length, n in lengths if (x := _members(usable, length, n, cosine)) is not None]
+    most = max((n for _, n in lengths), default=0)
+    common = [(length, n) for length, n in lengths if n == most or n > RARE or n * length > RARE_NUMBERS]
+    found = [x for length, n in common if (x := _members(usable, length, n, cosine)) is not None]
+    if len(common) < len(lengths):
+        found.append(_rare_members(usable.where("size(v) > 0").where(~F.size("v").isin([length for length, _ in common])), cosine))
     if found:
         members = reduce(DataFrame.union, found)
         out = rows.select("id").join(members, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(vec), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _rare_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """(id, found, root) as in `links`, of classes whose lengths few vectors have: each with all others of its label and length."""
+    kind = classes.schema["id"].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(group["v"].to_pylist()), np.float64).reshape(group.num_rows, -1)
+        weight, ends, step = group["weight"].to_numpy(), [], max(1, (1 << 20) // x.shape[1])
+        for at in range(0, len(x), 256):
+            a, b = np.nonzero(x[at : at + 256] @ x.T >= cosine - 1e-9)
+            a, b = (a + at)[a + at < b], b[a + at < b]
+            for i in range(0, len(a), step):  # the deciding sums, as where lists of cells are compared
+                p, q = a[i : i + step], b[i : i + step]
+                ok = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                ends.append((p[ok], q[ok]))
+        a, b = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, np.int64) for k in (0, 1))
+        found = np.bincount(a, weights=weight[b], minlength=len(x)) + np.bincount(b, weights=weight[a], minlength=len(x))
+        some, ids = np.flatnonzero(found > 0), group["id"].to_numpy()
+        return pa.table({"id": ids[some], "found": found[some].astype(np.int64), "root": ids[_forest(a, b, len(x))[some]]})
+
+    return classes.groupBy("label", F.octet_length("v").alias("bytes")).applyInArrow(compare, f"id {kind}, found bigint, root {kind}")
+
+
+def _rare_members(usable: DataFrame, cosine: float) -> DataFrame:
+    """(id, n_links, component_id) of the vectors whose lengths are rare."""
+    unit = save(_unit_column(usable))
+    classes = save(unit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    return _linked(unit, classes, save(_rare_links(classes, cosine)))
+
+
 def _members(usable: DataFrame, length: int, n: int, cosine: float) -> DataFrame | None:
     """(id, n_links, component_id) of the vectors of one length that can link, of about n."""
-    unit = save(_unit_column(usable.where(F.size("v") == length), length))
+    unit = save(_unit_column(usable.where(F.size("v") == length)))
     share = min(1.0, SAMPLE / n)
     drawn = unit.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(2 * SAMPLE).select("v").toArrow().column(0)
     sample = np.frombuffer(b"".join(drawn.to_pylist()), np.float64).reshape(-1, length)
     if not len(sample):
         return None
     classes = save(unit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
-    found = save(links(classes, Model(sample, n), cosine))
+    return _linked(unit, classes, save(links(classes, Model(sample, n), cosine)))
+
+
+def _linked(unit: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, n_links, component_id) of the vectors `unit`, from the links of their classes."""
     counts = found.groupBy("id").agg(F.sum("found").alias("found"))
     nodes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     known = classes.join(counts, "id", "left").join(nodes, "id", "left")
