@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .scratch import save
 
 WINDOW = 13
 K = 6
@@ -164,10 +165,14 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     least `percent` per cent of its words are hit.
     """
     spark = df.sparkSession
-    known = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
+    known = save(benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).distinct())
     blocks = max(1, -(-int(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     out = df
     for i in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()
-        out = _pass(out, text, spark.sparkContext.broadcast(Index([(r.item, r.text) for r in rows])), i == 0)
+        shared = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in rows]))
+        out = _pass(out, text, shared, i == 0)
+        if i + 1 < blocks:  # one block is in memory at a time
+            out = save(out)
+            shared.unpersist()
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
