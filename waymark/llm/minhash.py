@@ -191,8 +191,10 @@ def verified(pairs: DataFrame, texts: DataFrame, doc: str, text: str, percent: i
     each = texts.select(F.col(doc).alias("b"), F.col(text).alias("t"))
     few = pairs.count() <= BROADCAST_NAMES
     members = each.join(F.broadcast(pairs) if few else pairs, "b").select("a", "b", "t")
-    parts = texts.select(F.col(doc).alias("b"), F.octet_length(text).alias("n")).join(F.broadcast(pairs) if few else pairs, "b").groupBy("a").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts"))
-    parts = save(parts.withColumn("parts", F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1))))
+    sizes = texts.select(F.col(doc).alias("b"), F.octet_length(text).alias("n"))
+    parts = sizes.join(F.broadcast(pairs) if few else pairs, "b").groupBy("a").agg(F.sum("n").alias("held")).join(sizes.select(F.col("b").alias("a"), "n"), "a")
+    # a hub is copied once for each 1 MB of its members' texts, or for each length of its own where that is more
+    parts = save(parts.select("a", F.greatest(F.coalesce(F.ceil(F.col("held") / F.greatest("n", F.lit(TOGETHER))), F.lit(1)), F.lit(1)).cast("int").alias("parts")))
     shown = F.broadcast(parts) if few else parts
     members = members.join(shown, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "t")
     hubs = each.withColumnRenamed("b", "a").join(shown, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "t")
