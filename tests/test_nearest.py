@@ -45,3 +45,18 @@ def test_nearest_against_all_distances(spark, k):
             km = ellipsoid_km(np.full(len(own), lat), np.full(len(own), lng), np.array([s[3] for s in own]), np.array([s[4] for s in own]))
             want += [(r, d, i + 1, own[j][1]) for i, j in enumerate(sorted(range(len(own)), key=lambda j: (round(km[j], 9), own[j][2]))[:k])]
     assert sorted((r.request_id, r.district, r.rank, r.station) for r in got.collect()) == sorted(want)
+
+
+def test_almost_equal_distances_are_told_apart_by_series(spark):
+    """At 5.533474210450 km both, to a nanometre: the plain series, as in the SQL, puts the one of the later row first; equal places keep row order."""
+    from waymark.operators.ranking import distance_ranked
+
+    places = [("D", "WEST", 200, 16.5, 78.02), ("D", "EAST", 960, 16.5, 78.096), ("D", "NEAR", 3000, 16.5, 78.053), ("D", "EAST AGAIN", 961, 16.5, 78.096)]
+    stations = spark.createDataFrame(places, "district string, station string, row_no long, lat double, lng double")
+    want = ["NEAR", "EAST", "EAST AGAIN", "WEST"]
+    got = nearest(spark.createDataFrame([(1, "D", 16.466, 78.058)], "request_id long, district string, lat0 double, lng0 double"), stations, 4)
+    assert [r.station for r in got.orderBy("rank").collect()] == want
+    requests = spark.createDataFrame([(1, "A", "D")], "request_id long, address string, district string")
+    geocodes = spark.createDataFrame([("A", 16.466, 78.058)], "query string, lat double, lng double")
+    ranked = distance_ranked(requests, stations.select("district", "station", "row_no"), stations.drop("row_no"), geocodes)
+    assert [r.station for r in ranked.orderBy("rank").collect()] == want

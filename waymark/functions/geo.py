@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -109,6 +111,38 @@ def geodesic(lat1: Column | str, lng1: Column | str, lat2: Column | str, lng2: C
     return F.when(known, made)
 
 
+def series_km(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
+    """The length by T. Vincenty's series, eight rounds in plain doubles of the C library; it settles within a region. It tells apart what `ellipsoid_km` leaves equal."""
+    if lat1 == lat2 and lng1 == lng2:
+        return 0.0
+    u1, u2 = math.atan((1 - FLAT) * math.tan(math.radians(lat1))), math.atan((1 - FLAT) * math.tan(math.radians(lat2)))
+    s1, c1, s2, c2 = math.sin(u1), math.cos(u1), math.sin(u2), math.cos(u2)
+    turn = lam = math.radians(lng2 - lng1)
+    for i in range(8):
+        if i:
+            k = FLAT / 16 * sq * (4 + FLAT * (4 - 3 * sq))
+            lam = turn + (1 - k) * FLAT * alpha * (sigma + k * s * (m + k * c * (2 * m * m - 1)))
+        s = math.sqrt((c2 * math.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * math.cos(lam)) ** 2)
+        c = s1 * s2 + c1 * c2 * math.cos(lam)
+        sigma = math.atan2(s, c)
+        alpha = 0.0 if s == 0 else c1 * c2 * math.sin(lam) / s
+        sq = 1 - alpha * alpha
+        m = 0.0 if sq == 0 else c - 2 * s1 * s2 / sq
+    semi = AXIS * (1 - FLAT)
+    u = sq * (40680631.590769 - semi * semi) / (semi * semi)  # the square of AXIS, as a decimal number
+    big, small = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))), u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    less = small * s * (m + small / 4 * (c * (2 * m * m - 1) - small / 6 * m * (4 * s * s - 3) * (4 * m * m - 3)))
+    return semi * big * (sigma - less)
+
+
+@F.pandas_udf(T.DoubleType())
+def series(lat1: pd.Series, lng1: pd.Series, lat2: pd.Series, lng2: pd.Series) -> pd.Series:
+    """`series_km` of each row, each distinct one once; null if a coordinate is."""
+    rows = list(zip(lat1.tolist(), lng1.tolist(), lat2.tolist(), lng2.tolist(), strict=True))
+    made = {x: series_km(*x) for x in set(rows) if all(map(math.isfinite, x))}
+    return pd.Series([made.get(x) for x in rows], dtype="float64")
+
+
 def shown_km(km: Column | str, places: int = 1) -> Column:
     """'~12.3 km', rounded to even; 'N/A' for null."""
     c = F.col(km) if isinstance(km, str) else km

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.geo import geodesic, shown_km
 from ..functions.text import trimmed
 from ..sources.tables import one_each
-from .nearest import nearest
+from .nearest import nearest, ranked_by_distance
 
 
 def distance_ranked(requests: DataFrame, master: DataFrame, coordinates: DataFrame, geocodes: DataFrame, district: str = "district", most: int | None = None) -> DataFrame:
     """(request_id, district, rank, station, distance, distance_km, resolved_address): nearest first; all of them, or the first `most`, which are found by a grid.
 
     `requests` has request_id, address and the district to rank in; geocodes has query, lat and lng, and an address
-    without one gets no rows. Stations without coordinates are left out; `excluded` names them. Equal distances keep row order, and of repeated geocodes see `one_each`.
+    without one gets no rows. Stations without coordinates are left out; `excluded` names them. Equal distances keep row order, see `ranked_by_distance`, and of repeated geocodes see `one_each`.
     """
     origin = one_each(geocodes.where("lat is not null and lng is not null").withColumn("query", trimmed("query")), ["query"], ["lat", "lng"]).withColumnsRenamed({"lat": "lat0", "lng": "lng0"})
     asked = requests.select("request_id", trimmed("address").alias("query"), F.col(district).alias("district")).join(origin, "query")
@@ -23,8 +23,7 @@ def distance_ranked(requests: DataFrame, master: DataFrame, coordinates: DataFra
     if most is not None:
         ranked = nearest(asked.select("request_id", "district", "lat0", "lng0"), stations, most)
     else:
-        order = Window.partitionBy("request_id", "district").orderBy(F.round("distance_km", 9), "row_no")
-        ranked = asked.join(stations, "district").withColumn("distance_km", geodesic("lat0", "lng0", "lat", "lng")).withColumn("rank", F.row_number().over(order))
+        ranked = ranked_by_distance(asked.join(stations, "district").withColumn("distance_km", geodesic("lat0", "lng0", "lat", "lng")), "request_id", "district")
     return ranked.select("request_id", "district", "rank", "station", shown_km("distance_km").alias("distance"), "distance_km", F.lit("").alias("resolved_address"))
 
 

@@ -75,12 +75,12 @@ def by_district(requests: DataFrame, master: DataFrame, coordinates: DataFrame,
     asked = save(requests.select("request_id", "address", (~is_blank("address")).alias("addressed")).join(hit, "request_id"))
     pins = station_scan(asked.where("addressed"), master, within="district", config=config, known=known).where("rank = 1").select("request_id", F.col("station").alias("pin"), F.col("score").alias("pin_score"))
     ranked = save(distance_ranked(asked.where("addressed"), master, coordinates, geocodes))
-    reach = ranked.select("request_id", "station", "distance", "distance_km")
+    reach = ranked.select("request_id", "station", "distance", "distance_km", F.col("rank").alias("near"))
     rows = asked.join(pins, "request_id", "left").join(master, "district").join(reach, ["request_id", "station"], "left")
     by_request = Window.partitionBy("request_id")
     rows = rows.withColumn("measured", F.count("distance_km").over(by_request) > 0).withColumn("pinned", F.coalesce(F.col("station") == F.col("pin"), F.lit(False)))
     rows = rows.where(~F.col("measured") | F.col("distance_km").isNotNull() | F.col("pinned"))
-    order = by_request.orderBy(F.desc("pinned"), F.when(F.col("measured"), F.coalesce("distance_km", F.lit(float("inf")))).otherwise(0.0), "row_no")
+    order = by_request.orderBy(F.desc("pinned"), F.asc_nulls_last("near"), "row_no")
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.top_n)
     surety = F.when(F.col("pinned"), _high("pin_score", config)).when(F.col("addressed") & ~F.col("measured"), "LOW").when(F.col("rank") == 1, "HIGH").otherwise("MEDIUM")
     items = _packed(rows.select("request_id", "rank", "station", "district", surety.alias("confidence"), F.when(F.col("pinned"), F.col("pin_score")).alias("match_score"), F.coalesce("distance", F.lit("N/A")).alias("distance"), "distance_km"))
