@@ -16,7 +16,7 @@ from ..functions.replies import districts
 from ..functions.text import is_blank, trimmed
 from ..operators.lookup import district_hits, resolved_names
 from ..operators.ranking import distance_ranked, estimate_ranked, excluded, far_warning
-from ..operators.scan import Evidence, district_scan, evidence, station_scan
+from ..operators.scan import Evidence, district_scan, evidence, station_answers, station_scan
 from ..scratch import save
 from ..sources.tables import filled, one_each
 
@@ -96,12 +96,14 @@ def by_district(requests: DataFrame, master: DataFrame, coordinates: DataFrame,
 
 
 def by_named_station(requests: DataFrame, master: DataFrame, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
-    """Rung 3a: keys whose station the address names."""
-    found = save(station_scan(requests, master, config=config, known=known).where(F.col("rank") <= config.top_n))
+    """Rung 3a: keys whose station the address names. Answers are made for what is asked, and joined to the requests once."""
+    own, found, _ = station_answers(requests, master, config=config, known=known)
+    found = found.where(F.col("rank") <= config.top_n).withColumnRenamed("asked", "request_id")
     items = _packed(found.select("request_id", "rank", "station", "district", _high("score", config).alias("confidence"), F.col("score").alias("match_score")))
     rows = found.where("rank = 1").join(items, "request_id")
     method = _text("the address names a station: ", F.col("locality"), ", score ", F.col("score"))
-    return _answers(rows, 3, "3a", _high("score", config), method)
+    made = save(_answers(rows, 3, "3a", _high("score", config), method)).withColumnRenamed("request_id", "asked")
+    return own.join(made, "asked").drop("asked").select(*ANSWER)
 
 
 def by_named_district(requests: DataFrame, master: DataFrame, rank_in, tail: str, bare: DataFrame | None, config: LinkConfig = LinkConfig(), known: Evidence | None = None) -> DataFrame:
@@ -177,8 +179,9 @@ def resolve(
             return by_district(left, master, coordinates, geocodes, config, known)
         hit = district_hits(left, master, config=config).where("place = 1").select("request_id", "district", F.col("score").alias("d_score"))
         asked = save(left.select("request_id", "address", (~is_blank("address")).alias("addressed")).join(hit, "request_id"))
-        by_row = F.row_number().over(Window.partitionBy("request_id").orderBy("row_no"))
-        plain = asked.where("not addressed").join(master, "district").withColumn("rank", by_row).where(F.col("rank") <= config.top_n).select("request_id", "district", "rank", "station", F.lit("N/A").alias("distance"))
+        by_row = F.row_number().over(Window.partitionBy("district").orderBy("row_no"))
+        firsts = master.withColumn("rank", by_row).where(F.col("rank") <= config.top_n)
+        plain = asked.where("not addressed").join(firsts, "district").select("request_id", "district", "rank", "station", F.lit("N/A").alias("distance"))
         ranked = rank_in(asked.where("addressed"), config.top_n).unionByName(plain)
         items = _packed(ranked.withColumn("confidence", F.when(F.col("rank") == 1, "HIGH").otherwise("MEDIUM")))
         method = _text("district ", F.col("district"), ", score ", F.col("d_score"), "; ", F.when(F.col("addressed"), "nearest first, as estimated").otherwise("no address, in order of rows"))
@@ -187,11 +190,14 @@ def resolve(
     bare = excluded(master, coordinates) if measured else None
     tail = "nearest first" if measured else "nearest first, as estimated"
     left = save(requests.select("request_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("address", "known_station", "known_district")]))
-    answered = [save(by_station(left, master, config))]
-    left = save(left.join(answered[0].select("request_id"), "request_id", "left_anti"))
+    typed = ~is_blank("known_station")
+    answered = [save(by_station(left.where(typed), master, config))]
+    left = save(left.where(~typed).unionByName(left.where(typed).join(answered[0].select("request_id"), "request_id", "left_anti")))
     known = evidence(left.where(~is_blank("address")), master, config)
+    typed = ~is_blank("known_district")
+    answered.append(save(stated(left.where(typed))))
+    left = left.where(~typed).unionByName(left.where(typed).join(answered[-1].select("request_id"), "request_id", "left_anti"))
     rungs = [
-        stated,
         lambda left: by_named_station(left, master, config, known),
         lambda left: by_named_district(left, master, rank_in, tail, bare, config, known),
         lambda left: by_inference(left.where(~is_blank("address")), master, inferences, rank_in, tail, bare, config),
