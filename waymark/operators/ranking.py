@@ -53,6 +53,8 @@ def estimate_ranked(requests: DataFrame, master: DataFrame, replies: DataFrame,
     items = said.select("request_id", "district", F.posexplode(estimates("reply")).alias("i", "x")).select("request_id", "district", "i", F.col("x.name").alias("station"), F.col("x.dist_km").alias("km"))
     items = items.join(stations.select("district", "station").distinct(), ["district", "station"], "left_semi")
     shown = items.select("request_id", "district", "station", F.col("i").cast("long").alias("row_no"), shown_km("km", 0).alias("distance"))
-    plain = asked.join(shown.select("request_id", "district").distinct(), ["request_id", "district"], "left_anti").join(stations, "district").select("request_id", "district", "station", "row_no", F.lit("N/A").alias("distance"))
+    by_row = F.row_number().over(Window.partitionBy("district").orderBy("row_no"))
+    firsts = stations.withColumn("place", by_row).where(F.col("place") <= top_n).drop("place")
+    plain = asked.join(shown.select("request_id", "district").distinct(), ["request_id", "district"], "left_anti").join(firsts, "district").select("request_id", "district", "station", "row_no", F.lit("N/A").alias("distance"))
     order = Window.partitionBy("request_id", "district").orderBy("row_no")
     return shown.union(plain).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("request_id", "district", "rank", "station", "distance")
