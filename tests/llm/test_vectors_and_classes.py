@@ -146,6 +146,36 @@ def test_held_out_labels_teach_nothing(spark):
     assert first == {r.doc_id: r.score for r in quality.classify(docs, other).collect()}
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """No bound on rows or pairs: what the fit is given, however much it is, is compared; the threshold is the quantile of all scores."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 40 != 0), "Good words of some length. " * int(rng.integers(2, 9)) if i % 40 else "### " * int(rng.integers(5, 50))) for i in range(labelled.SAMPLE + 2000)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, k, _ in rows], "doc_id long, quality int")
+    every = labelled.every(docs, labels, "quality", F.lit(True))
+    assert every.count() == len(rows)
+    features = quality._features(every)
+    n = {k: sum(x[1] == k for x in rows) for k in (0, 1)}
+    dealt = quality._dealt(features, n).select("part", F.size("bad").alias("bad"), F.size("good").alias("good")).collect()
+    assert sum(r.good for r in dealt) == n[1] and sum(r.bad for r in dealt if r.part == 0) == n[0]
+    assert min(r.bad for r in dealt) > 0 and max(r.good for r in dealt) < 2 * quality.WIDTH
+    model, again = quality.fit(every), quality.fit(every.repartition(7))
+    assert (model.weights == again.weights).all() and model.threshold == again.threshold and model.slope == again.slope
+
+
+@pytest.mark.parametrize("below", [1, 7, 399, 400, 799])
+def test_threshold_is_the_quantile_of_all_scores(spark, below):
+    values = np.concatenate([np.random.default_rng(1).normal(size=600), np.full(150, 0.25), [1e9] * 50])
+    raw = spark.createDataFrame([(float(x),) for x in values], "raw double")
+    assert quality._quantile(raw, below, len(values)) == pytest.approx(np.quantile(values, below / len(values)), abs=1e-5)
+
+
+def test_groups_of_a_rare_label_are_dealt_in_parts(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc"), (F.col("id") != 5).cast("int").alias("label"), F.lit(b"f").alias("f"))
+    parts = quality._dealt(rows, {0: 1, 1: 8999}).select(F.size("bad").alias("bad"), F.size("good").alias("good")).collect()
+    assert len(parts) == 5 and all(r.bad == 1 for r in parts) and sum(r.good for r in parts) == 8999
+
+
 def test_correlated_voters_share_their_weight():
     rng = np.random.default_rng(0)
     toxic = rng.random(2000) < 0.2
