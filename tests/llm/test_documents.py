@@ -207,6 +207,16 @@ def test_learned_spans_of_each_kind(spark):
     assert got.get(2001) == ["email"] and not got.get(2002)
 
 
+def test_trees_learn_from_every_example(spark):
+    """Examples that look alike are one row with their number; none is left out, however many they are."""
+    rows = [(i, " ".join(f"mail u{i}@host{j}.org at noon of 20{10 + j % 9}-0{1 + j % 9}-11;" for j in range(40))) for i in range(200)]
+    spans = pii.candidates(table(spark, rows))
+    made = pii.examples(spans, pii._wide_only(spans))
+    alike, n = pii.counted(made), made.count()
+    assert n > 20_000 and alike.agg(F.sum("n")).first()[0] == n and alike.count() < n / 10
+    assert {(r.kind, r.label): r.n for r in alike.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}["email", 1.0] == 200 * 40
+
+
 def test_kinds_without_examples_add_nothing(spark):
     rows = [(i, f"mail u{i}@host.org we met at noon") for i in range(60)] + [(100, "bob (at) host (dot) org or card 4111.1111.1111.1111")]
     spans = pii.candidates(table(spark, rows))

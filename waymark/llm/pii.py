@@ -56,10 +56,12 @@ WIDE = [
 CUES = {"email": "mail|contact|write|reach", "ip": "ip|host|server|addr|login", "card": "card|visa|pay|credit|account", "phone": "phone|tel|call|mobile|fax|whatsapp"}
 CONTEXT = 24
 FEATURES = ["length", "digits", "letters", "spaces", "dots", "hyphens", "others", "spoken", "groups", "longest", "first", "last", "last_letters", "cue", "before_digit", "after_digit", "before_letter", "after_letter", "context_symbols"]
-#: Most examples of one label of one kind, chosen by hash, and precision asked of what is added.
-FIT_ROWS, PRECISION = 2_500, 0.98
-#: Examples in a leaf at least; a fold of a kind with fewer than twice as many of either label teaches nothing.
+#: Precision asked of what is added.
+PRECISION = 0.98
+#: Examples in a leaf at least, by weight; a fold of a kind with fewer than twice as many of either label teaches nothing.
 LEAF = 10
+#: About how many distinct examples are in one task of a fit.
+TASK_ROWS = 20_000
 #: Most spans that are broadcast to redact by (about 20 MB); more are joined by a shuffle.
 BROADCAST_SPANS = 500_000
 
@@ -134,8 +136,8 @@ def candidates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     return rows.select("doc", "key", F.concat(*lists).alias("found")).where(F.size("found") > 0).select("doc", "key", F.inline("found"))
 
 
-def _featured(spans: DataFrame) -> DataFrame:
-    """Format and context features of (kind, t, before, after)."""
+def _measured(spans: DataFrame) -> DataFrame:
+    """Format and context of (kind, t, before, after), a column for each of FEATURES."""
     count = lambda c, p: F.length(c) - F.length(F.regexp_replace(c, p, ""))
     cue = reduce(lambda a, k: a | ((F.col("kind") == k) & F.lower("before").rlike(CUES[k])), KINDS, F.lit(False))
     made = {"length": F.length("t"), "digits": count(F.col("t"), "[0-9]"), "letters": count(F.col("t"), "[A-Za-z]"), "spaces": count(F.col("t"), r"\x20"), "dots": count(F.col("t"), r"\."), "hyphens": count(F.col("t"), "-"), "others": count(F.col("t"), r"[^A-Za-z0-9\x20.-]")}
@@ -147,7 +149,11 @@ def _featured(spans: DataFrame) -> DataFrame:
     made |= {"context_symbols": count(both, r"[$%#/=:_{}<>|]")}
     for name in FEATURES:
         spans = spans.withColumn(name, F.coalesce(made[name].cast("double"), F.lit(0.0)))
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(spans)
+    return spans
+
+
+def _assembled(measured: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(measured)
 
 
 def _weakened(t: Column, kind: Column) -> Column:
@@ -184,7 +190,7 @@ PROPOSAL = ("t", "before", "after")
 
 
 def examples(spans: DataFrame, wide: DataFrame) -> DataFrame:
-    """(kind, t, before, after, label, fold, draw): what teaches the trees of each kind; `wide` are the matches apart from base spans."""
+    """(kind, t, before, after, label, fold): what teaches the trees of each kind; `wide` are the matches apart from base spans."""
     base = spans.where("base").withColumn("fold", _fold("doc", "key", "s"))
     others = F.filter(F.array(*map(F.lit, KINDS)), lambda k: k != F.col("kind"))
     parts = [
@@ -192,37 +198,38 @@ def examples(spans: DataFrame, wide: DataFrame) -> DataFrame:
         (base.withColumn("kind", F.explode(others)), 0.0),
         (wide.withColumn("fold", _fold(*PROPOSAL)), 0.0),
     ]
-    draw = F.pmod(F.xxhash64("label", "kind", "doc", "key", "s", "e"), F.lit(1_000_000)).alias("draw")
-    return reduce(DataFrame.union, (rows.withColumn("label", F.lit(label)).select("kind", *PROPOSAL, "label", "fold", draw) for rows, label in parts))
+    return reduce(DataFrame.union, (rows.withColumn("label", F.lit(label)).select("kind", *PROPOSAL, "label", "fold") for rows, label in parts))
+
+
+def counted(examples: DataFrame) -> DataFrame:
+    """(kind, label, fold, n, and FEATURES): examples that look alike as one row with their number, which teaches what they teach."""
+    return _measured(examples).groupBy("kind", "label", "fold", *FEATURES).agg(F.count("*").alias("n"))
 
 
 def _trees(own: DataFrame, fold: int, good: int, bad: int) -> tuple[object, list[tuple[int, float, float]]]:
-    """Trees that the other fold taught, with `good` positive examples and `bad` others; how many of this fold's (bin, positive, all) fall
+    """Trees that the other fold taught, with `good` positive examples and `bad` others; `own` has a row for those that look alike; how many of this fold's (bin, positive, all) fall
     into each fiftieth of the probability, at most 51 of them."""
-    weight = F.when(F.col("label") == 1, (good + bad) / (2 * good)).otherwise((good + bad) / (2 * bad))
-    made = GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.3, minInstancesPerNode=LEAF, featureSubsetStrategy="onethird", weightCol="weight", seed=7, maxMemoryInMB=64)
-    model = made.fit(own.where(F.col("fold") != fold).withColumn("weight", weight).coalesce(1))  # few rows, see `fit`
+    weight = F.col("n") * F.when(F.col("label") == 1, (good + bad) / (2 * good)).otherwise((good + bad) / (2 * bad))
+    made = GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.3, minWeightFractionPerNode=LEAF / (good + bad), featureSubsetStrategy="onethird", weightCol="weight", seed=7, maxMemoryInMB=64)
+    model = made.fit(own.where(F.col("fold") != fold).withColumn("weight", weight))
     bins = model.transform(own.where(F.col("fold") == fold)).groupBy(F.floor(vector_to_array("probability")[1] * 50).alias("bin"))
-    return model, [tuple(r) for r in bins.agg(F.sum(F.col("label") / F.col("share")), F.sum(1 / F.col("share"))).collect()]
+    return model, [tuple(r) for r in bins.agg(F.sum(F.col("label") * F.col("n")), F.sum("n")).collect()]
 
 
-def fit(spans: DataFrame, wide: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> dict[str, tuple[list, float]]:
+def fit(spans: DataFrame, wide: DataFrame, precision: float = PRECISION) -> dict[str, tuple[list, float]]:
     """By kind, (trees for fold 0, which fold 1 taught, and for fold 1; threshold). Kinds without enough examples are absent.
 
-    The trees are fitted on about `fit_rows` examples of each label of a kind at most, chosen by hash, and ten times as many in all.
+    The trees are fitted on all examples, those that look alike as one row with their number as its weight, and the thresholds are calibrated on all.
     """
-    drawn = examples(spans, wide)
-    n = {(r.kind, r.label): r.n for r in drawn.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}  # 8 rows at most
-    if not n:
-        return {}
-    share = reduce(lambda made, k: made.when((F.col("kind") == k[0]) & (F.col("label") == k[1]), F.lit(min(1.0, fit_rows / n[k]))), n, F.when(F.lit(False), F.lit(0.0)))
-    rows = drawn.withColumn("share", share).where("draw < 1000000 * share").limit(10 * fit_rows)
-    chosen = save(_featured(rows).select("kind", "label", "fold", "share", "features"))
-    taken = {(r.kind, r.fold, r.label): r.n for r in chosen.groupBy("kind", "fold", "label").agg(F.count("*").alias("n")).collect()}  # 16 rows at most
+    alike = save(counted(examples(spans, wide)))
+    found = alike.groupBy("kind", "fold", "label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()  # 16 rows at most
+    taken = {(r.kind, r.fold, r.label): r.n for r in found}
     kinds = [kind for kind in KINDS if min(taken.get((kind, fold, label), 0) for fold in (0, 1) for label in (0.0, 1.0)) >= 2 * LEAF]
+    chosen = _assembled(alike).select("kind", "label", "fold", "n", "features")
+    tasks = {kind: 1 + sum(r.rows for r in found if r.kind == kind) // TASK_ROWS for kind in kinds}  # as many as the rows of a kind need
 
     # one after another: the driver holds the jobs of one forest at a time
-    made = [_trees(chosen.where(F.col("kind") == kind), fold, taken[kind, 1 - fold, 1.0], taken[kind, 1 - fold, 0.0]) for kind in kinds for fold in (0, 1)]
+    made = [_trees(chosen.where(F.col("kind") == kind).coalesce(tasks[kind]), fold, taken[kind, 1 - fold, 1.0], taken[kind, 1 - fold, 0.0]) for kind in kinds for fold in (0, 1)]
     fitted = {}
     for kind, (first, bins), (second, more) in zip(kinds, made[::2], made[1::2], strict=True):
         least, below, good, total = 1.01, 0.0, 0.0, 0.0
@@ -246,7 +253,7 @@ def detect(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     base = spans.where("base").select(columns)
     if not fitted:
         return base
-    scored = _featured(wide.where("valid").withColumn("fold", _fold(*PROPOSAL))).withColumn("p", F.lit(-1.0))
+    scored = _assembled(_measured(wide.where("valid").withColumn("fold", _fold(*PROPOSAL)))).withColumn("p", F.lit(-1.0))
     for kind, (models, threshold) in fitted.items():
         for fold, model in enumerate(models):
             p = vector_to_array("probability")[1]
