@@ -431,3 +431,35 @@ def test_addresses_with_the_same_letters_are_scanned_once(spark):
     assert keys[1] == keys[2] and len({keys[1], keys[3], keys[4]}) == 3
     master = spark.createDataFrame([(1, "D", "RED ANVIL")], "row_no long, district string, station string")
     assert sorted((r.request_id, r.station, r.score, r.locality) for r in station_scan(requests, master).collect()) == [(1, "RED ANVIL", 100.0, "RED ANVIL"), (2, "RED ANVIL", 100.0, "RED ANVIL")]
+
+
+def test_letters_and_lengths_rule_out_only_what_the_strict_score_does(spark):
+    """Of pairs that share a key few are scored, and none is lost, with noise words, odd white space and other scripts among them."""
+    from waymark.functions.similarity import scores
+    from waymark.operators.similar import allowed, lengths, proposed, similar
+
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choice("ABCDEFGHIKLMNOPRSTU") for _ in range(dice.randint(4, 9)))
+    names = [" ".join(word() for _ in range(dice.randint(1, 2))) for _ in range(300)] + ["\u00c9L\u00c8VE \u0416\u0416", "NB\u00a0SP\u00a0", ""]
+    change = lambda x: "".join(c for c in x if dice.random() > 0.07) if dice.random() < 0.6 else " ".join(reversed(x.split(" ")))
+    tokens = [change(x) for x in names for _ in range(3)] + [word() for _ in range(300)] + ["NB SP", "", "A" * 70]
+    for cutoff in (86.0, 60.0):
+        a, b = (spark.createDataFrame([(x, x) for x in xs], f"{n} string, normal string") for xs, n in ((tokens, "token"), (names, "name")))
+        pairs = [(x, y) for x in dict.fromkeys(tokens) for y in dict.fromkeys(names)]
+        want = {(x, y, z) for (x, y), z in zip(pairs, scores("strict", *map(list, zip(*pairs))).tolist()) if z >= cutoff}
+        assert {tuple(r) for r in similar(a, b, "strict", cutoff).collect()} == want and len(want) > 300
+        least, most = lengths(cutoff, min(len(y) for y in names if y), max(map(len, names)))
+        assert all(least <= len(x) <= most for x, y, _ in want if x and y)
+    assert proposed(a, b, "strict", 86.0).count() < 0.02 * len(pairs)
+
+
+def test_places_too_long_or_short_for_any_name_are_not_scored(spark, monkeypatch):
+    from waymark.operators import scan
+
+    seen, own = [], scan.similar
+    monkeypatch.setattr(scan, "similar", lambda tokens, *more: (seen.extend(r.token for r in tokens.collect()), own(tokens, *more))[1])
+    requests = spark.createDataFrame([(1, "police station red anvil thana, a very long segment that no name is like, tiny, red anvil")], "request_id long, address string")
+    master = spark.createDataFrame([(1, "DISTRICTS", "RED ANVIL")], "row_no long, district string, station string")
+    got = [(r.request_id, r.station, r.score, r.locality) for r in scan.station_scan(requests, master).collect()]
+    assert got == [(1, "RED ANVIL", 100.0, "POLICE STATION RED ANVIL THANA")]
+    assert sorted(seen) == ["POLICE STATION RED ANVIL THANA", "RED ANVIL", "SEGMENT", "STATION"]

@@ -6,6 +6,8 @@ of the first string's grams, one put in breaks q - 1. For each length of a token
 least is used. If `least` of a token's grams are common, the rarest (all - least + 1) of them hold one that is (prefix filter): these
 are the token's keys, all grams of a name are the name's, and both hold the class of the name's length. Rare grams come first, by
 their counts over the names; only the GRAMS most frequent ones are counted, which bounds what the driver sees. That order has no bearing on the result.
+Pairs that share a key are made distinct and scored only if their letters allow the strict cutoff: a letter that one string has and the other
+has not is not in a common subsequence (`allowed`).
 
 Lenient scores also gain from common words, so words are keys as well; how many pairs share a frequent word is how many the lenient score accepts,
 in the main. Neither side is collected or has to fit into a task: Spark chooses broadcast or shuffle by size, and splits keys that are skewed.
@@ -19,7 +21,7 @@ from functools import lru_cache
 from math import ceil, floor, log
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import scores
@@ -131,17 +133,38 @@ def _gram_ranks(names: DataFrame) -> dict[str, int]:
     return {r.g: len(frequent) - i for i, r in enumerate(frequent)}
 
 
+def lengths(cutoff: float, least: int, most: int) -> tuple[int, int]:
+    """The lengths of tokens that may reach the strict cutoff (from 50 on) with names of `least` to `most` characters."""
+    return ceil(least / (200 / cutoff - 1) - 1e-9), floor(most * (200 / cutoff - 1) + 1e-9)
+
+
+def _letters(x: str) -> int | None:
+    """A bit for each of 63 classes of characters; none for strings whose white space is not in normal form."""
+    return sum({1 << ord(c) % 63 for c in x}) if x == " ".join(x.split()) else None
+
+
+def allowed(cutoff: float) -> Column:
+    """Whether the lengths and letters of (normal, letters, name_normal, name_letters) allow the strict cutoff."""
+    a, b = F.length(F.coalesce("normal", F.lit(""))), F.length(F.coalesce("name_normal", F.lit("")))
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    short, long, c = F.least(a, b), F.greatest(a, b), F.lit(cutoff - 1e-6)
+    common = F.least(a - apart("letters", "name_letters"), b - apart("name_letters", "letters"))
+    whole, window = 200 * common >= c * (a + b), 200.0 * common * short >= c * long * (short + common)
+    return F.coalesce(whole | window, F.lit(True))
+
+
 def _keyed(df: DataFrame, keys: Callable[[str], set[str]]) -> DataFrame:
-    """(key, and the two columns of df): a row for each key of the second column."""
+    """(key, the two columns of df, letters): a row for each key of the second column."""
     given, normal = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [list(keys(x or "")) for x in batch.column(1).to_pylist()]
-            where = pa.array([i for i, k in enumerate(made) for _ in k], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x for k in made for x in k], pa.string()), batch.column(0).take(where), batch.column(1).take(where)], names=["key", given, normal])
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            made, held = [list(keys(x)) for x in texts], pa.array([_letters(x) for x in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.string())), batch.column(0), batch.column(1), held], names=["keys", given, normal, "letters"])
 
-    return df.mapInArrow(run, f"key string, {given} string, {normal} string")
+    # strings leave Python once, not with each key
+    return df.mapInArrow(run, f"keys array<string>, {given} string, {normal} string, letters long").select(F.explode("keys").alias("key"), given, normal, "letters")
 
 
 def proposed(tokens: DataFrame, names: DataFrame, scorer: str, cutoff: float) -> DataFrame:
@@ -152,7 +175,9 @@ def proposed(tokens: DataFrame, names: DataFrame, scorer: str, cutoff: float) ->
     rank = _gram_ranks(names.select(F.col("name_normal").alias("normal")))
     longest = length_class(max(1, names.agg(F.max(F.length("name_normal"))).first()[0] or 0))
     left, right = _keyed(tokens, lambda x: token_keys(x, scorer, cutoff, rank, longest)), _keyed(names, lambda x: name_keys(x, scorer, cutoff))
-    return left.join(right, "key").drop("key").distinct()
+    pairs = left.join(right.withColumnRenamed("letters", "name_letters"), "key")
+    pairs = pairs.where(allowed(cutoff)) if scorer == "strict" else pairs
+    return pairs.select("token", "normal", "name", "name_normal").distinct()
 
 
 def similar(tokens: DataFrame, names: DataFrame, scorer: str, cutoff: float) -> DataFrame:
