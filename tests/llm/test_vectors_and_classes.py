@@ -163,6 +163,19 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert (model.weights == again.weights).all() and model.threshold == again.threshold and model.slope == again.slope
 
 
+def test_a_step_of_the_fit_has_no_shuffle(spark):
+    """One row for each task, whatever the number of shuffle partitions."""
+    rows, jobs = spark.range(1000).repartition(7).selectExpr("cast(id as double) raw").localCheckpoint(), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sums", "one step")
+    try:
+        made = quality._sums(rows, 3, lambda raw: quality._whole(np.array([len(raw), raw.to_numpy().sum(), 0.5])))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(made[:2]) == [1000, 499500]
+    stages = [x for j in jobs.getJobIdsForGroup("sums") for x in jobs.getJobInfo(j).stageIds]
+    assert len(stages) == 1 and jobs.getStageInfo(stages[0]).numTasks == 7
+
+
 @pytest.mark.parametrize("below", [1, 7, 399, 400, 799])
 def test_threshold_is_the_quantile_of_all_scores(spark, below):
     values = np.concatenate([np.random.default_rng(1).normal(size=600), np.full(150, 0.25), [1e9] * 50])

@@ -32,6 +32,8 @@ CUT = 0.3
 RIVALS, WIDTH = 20, 2000
 #: Sums are of whole numbers of 1 / UNIT.
 UNIT = float(1 << 24)
+#: Tasks of a step of the fit at most.
+TASKS = 64
 #: Bins of a step towards the threshold, and steps: to 2^-48 of the range of scores.
 BINS, STEPS = 4096, 4
 
@@ -79,18 +81,19 @@ def _dealt(rows: DataFrame, n: dict[int, int]) -> DataFrame:
 
 
 def _sums(rows: DataFrame, size: int, work: Callable[..., np.ndarray]) -> np.ndarray:
-    """The sum of work(*columns of a batch) over all batches: `size` whole numbers of 1 / UNIT, which do not depend on how rows fall into batches."""
+    """The sum of work(*columns of a batch) over all batches: `size` whole numbers of 1 / UNIT, which do not depend on how rows fall into batches.
+
+    Each of TASKS tasks at most has one row for its sum, and the driver adds these: no shuffle, whose tasks and threads the driver would have to keep.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             total += work(*batch.columns)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    made = rows.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size)
-    out[made.column("at").to_numpy()] = made.column("n").to_numpy() / UNIT
-    return out
+    made = rows.coalesce(TASKS).mapInArrow(run, "sums binary").collect()
+    return sum((np.frombuffer(r.sums, np.int64) for r in made), np.zeros(size, np.int64)) / UNIT
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
@@ -137,11 +140,16 @@ def _quantile(raw: DataFrame, below: int, n: int) -> float:
         width = (high - low) / BINS
         if low + width == low:
             break
-        bins = F.least(F.floor((F.col("raw") - low) / width), F.lit(BINS - 1)).alias("bin")
-        counts = {r.bin: r.n for r in raw.where((F.col("raw") >= low) & (F.col("raw") < high)).groupBy(bins).agg(F.count("*").alias("n")).collect()}  # at most BINS rows
-        ends = np.cumsum([counts.get(k, 0) for k in range(BINS)])
+
+        def counted(raw: pa.Array, low: float = low, high: float = high, width: float = width) -> np.ndarray:
+            x = raw.to_numpy()
+            x = x[(x >= low) & (x < high)]
+            return _whole(np.bincount(np.minimum(np.floor((x - low) / width), BINS - 1).astype(np.int64), minlength=BINS))
+
+        counts = _sums(raw.select("raw"), BINS, counted).astype(np.int64)
+        ends = np.cumsum(counts)
         at = int(np.searchsorted(ends, left))  # the bin of the last value below
-        left, inside = left - (int(ends[at - 1]) if at else 0), counts[at]
+        left, inside = left - (int(ends[at - 1]) if at else 0), int(counts[at])
         low, high = low + at * width, high if at == BINS - 1 else low + (at + 1) * width
     last, first = raw.agg(F.max(F.when(F.col("raw") < high, F.col("raw"))), F.min(F.when(F.col("raw") >= high, F.col("raw")))).first()
     return last if left < inside else last + (first - last) * (1 - below / n)  # the next value is one of the same bin, or the first beyond
