@@ -151,6 +151,20 @@ def test_aligned_empty(spark):
         assert [r.n_links for r in out.collect()] == [0] * len(rows)
 
 
+def test_texts_are_tokenized_once(spark):
+    """The second pass takes ids from the scratch table; the texts are read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(list(enumerate(made_texts())), "doc_id long, text string").localCheckpoint()
+    out = align.aligned(docs.mapInArrow(counted, docs.schema), queries.BYTE_TOKENIZER, queries.PIECE_TOKENIZER)
+    assert len(out.collect()) == read.value == docs.count()
+
+
 def test_runs_are_learned_again(monkeypatch):
     aligner, texts = align.Aligner(queries.BYTE_TOKENIZER, queries.PIECE_TOKENIZER), pa.array([f"a{i} b{i} ▁c" for i in range(50)])
     monkeypatch.setattr(align, "KNOWN", 5)

@@ -7,7 +7,8 @@ ranges overlap, and the ranks there name its two tokens.
 
 Before a single space between two other plain characters both tokenizers cut, whatever stands around it: A by its pre-split
 pattern, B since no piece has a space after another character (checked when the model is read). So a text is a row
-of runs, each distinct run is aligned once by a worker, and sums over a text's runs are those of the text.
+of runs, and each distinct run is tokenized and aligned once by a worker. Links are counted by runs; the ids of each text are written
+to a scratch table beside them, so that the second pass aligns whole texts without tokenizing again.
 
 Links of an id pair are counted over the whole corpus, runs by the number of times they occur. The most frequent pairs, HEAD at
 most, are broadcast for the second pass; links of all others are joined. Texts that are null or empty, or that the tokens do not spell
@@ -19,10 +20,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,8 @@ _LEAD2 = np.zeros(256, bool)
 _LEAD2[0xC3:0xE0] = True
 
 SUMS = ("n_a", "n_b", "n_groups", "n_links")
+#: Bytes of ids that are aligned side by side in the second pass.
+SIDE = 1 << 20
 
 
 class Bits:
@@ -98,8 +103,56 @@ class Vocabulary:
         return self.data[words.spread(self.at[ids], self.size[ids])]
 
 
+class Pool:
+    """Rows of items by number, one after the other."""
+
+    def __init__(self):
+        self.items, self.at, self.size = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, items: np.ndarray, size: np.ndarray) -> None:
+        """Further rows, with size[i] items each."""
+        self.at = np.append(self.at, len(self.items) + np.cumsum(size) - size)
+        self.items, self.size = np.append(self.items, items), np.append(self.size, size)
+
+    def of(self, number: np.ndarray) -> np.ndarray:
+        """Items of these rows in turn."""
+        return self.items[words.spread(self.at[number], self.size[number])]
+
+
+class Aligned:
+    """Tokens a and b side by side over the same n bytes."""
+
+    def __init__(self, a_bytes: Vocabulary, b_bytes: Vocabulary, a: np.ndarray, b: np.ndarray, n: int):
+        self.a, self.b = a, b
+        self.marks = [Bits.of_ends(np.cumsum(v.size[ids]), n) for v, ids in ((a_bytes, a), (b_bytes, b))]
+        self.shared, self.either = self.marks[0] & self.marks[1], self.marks[0] | self.marks[1]
+
+    def links(self) -> np.ndarray:
+        """Both ids of each link, in order."""
+        at = self.either.select()
+        return self.a[self.marks[0].rank(at)] << 32 | self.b[self.marks[1].rank(at)]
+
+    def groups(self, digits: Vocabulary, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of `1,2|3;` for each group, where those up to each of `ends`, which are cuts, end)."""
+        a, b, marks, shared = self.a, self.b, self.marks, self.shared
+        cuts = shared.select() + 1
+        to_a, to_b = (m.rank(cuts) for m in marks)
+        ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        for own, side, upto, other, sign in ((a, marks[0], to_a, np.append(0, to_b[:-1]), "|"), (b, marks[1], to_b, to_a, ";")):
+            group = shared.rank(side.select())
+            place = np.arange(len(own)) + other[group]
+            ids[place] = own
+            mark[place[upto - 1]] = ord(sign)
+        size = digits.size[ids] + 1
+        stop = np.cumsum(size)
+        out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
+        out[stop - 1] = mark
+        out[words.spread(stop - size, size - 1)] = digits.spell(ids)
+        return out, np.append(0, stop)[marks[0].rank(ends) + marks[1].rank(ends)]
+
+
 class Aligner:
-    """Runs of one worker and what is known of them: sums by run, links in one pool, groups as text."""
+    """Runs of one worker and what is known of them: ids of A and of B and links, each in one pool."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,20 +171,20 @@ class Aligner:
             raise ValueError("B has pieces with a space after another character; texts cannot be cut at spaces")
         self.b_bytes = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.digits = Vocabulary([str(i).encode() for i in range(max(len(names), len(pieces)))])
+        self.unit = np.uint16 if max(len(names), len(pieces)) <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((len(SUMS), 0), np.int64)
-        self.ok, self.at, self.pool = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = pa.array([], pa.binary())
+        self.ok = np.zeros(0, bool)
+        self.pools = {name: Pool() for name in ("a", "b", "links")}
         self.bytes = 0
 
     def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and of B over texts that each begin with a space, all in one row."""
         a = [e.ids for e in self.a.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         b = self.b.encode([t[1:].decode() for t in texts], num_threads=1)  # B adds the space itself
-        return tuple(np.array([i for x in side for i in x], np.int64) for side in (a, b))
+        return tuple(np.fromiter(chain.from_iterable(side), np.int64) for side in (a, b))
 
     def _spelled(self, runs: list[bytes]) -> list[tuple[list[bytes], np.ndarray, np.ndarray]]:
         """(runs, ids of A, ids of B) whose tokens spell the runs; a run for which they do not is left out."""
@@ -158,60 +211,38 @@ class Aligner:
     def _learn(self, runs: list[bytes]) -> None:
         spelled = self._spelled(runs)
         fine = {r for part, _, _ in spelled for r in part}
-        self._add([r for r in runs if r not in fine], *np.zeros((2, 0), np.int64), False)
-        for part in spelled:
-            self._add(*part, True)
+        bad = [r for r in runs if r not in fine]
+        parts = [(bad, *np.zeros((2, 0), np.int64), False), *((*part, True) for part in spelled)]
+        for part in parts:
+            self._add(*part)
+        self.known = pa.concat_arrays([self.known, *(pa.array(part[0], pa.binary()) for part in parts)])
 
     def _add(self, runs: list[bytes], a: np.ndarray, b: np.ndarray, ok: bool) -> None:
         """Align runs whose tokens in turn are a and b."""
         if not runs:
             return
         ends = np.cumsum([len(r) for r in runs])
-        marks = [Bits.of_ends(np.cumsum(v.size[ids]), int(ends[-1])) for v, ids in ((self.a_bytes, a), (self.b_bytes, b))]
-        shared, either = marks[0] & marks[1], marks[0] | marks[1]
-        counts = [np.diff(m.rank(np.append(0, ends))) for m in (*marks, shared, either)]
-        link_end = either.select()
-        self.at = np.append(self.at, len(self.pool) + np.cumsum(counts[3]) - counts[3])
-        self.pool = np.append(self.pool, a[marks[0].rank(link_end)] << 32 | b[marks[1].rank(link_end)]) if ok else self.pool
-        text, bounds = self._groups(a, b, marks, shared, ends)
-        self.text_at, self.text = np.append(self.text_at, len(self.text) + bounds[:-1]), np.append(self.text, text)
-        self.text_size = np.append(self.text_size, np.diff(bounds))
-        for r in runs:
-            self.known[r] = len(self.known)
+        self.ok = np.append(self.ok, np.full(len(runs), ok))
         self.bytes += int(ends[-1])
-        self.sums, self.ok = np.concatenate([self.sums, np.stack(counts)], axis=1), np.append(self.ok, np.full(len(runs), ok))
-
-    def _groups(self, a: np.ndarray, b: np.ndarray, marks: list[Bits], shared: Bits, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of `1,2|3;` for each group, where those of each run begin and end)."""
-        cuts = shared.select() + 1
-        to_a, to_b = (m.rank(cuts) for m in marks)
-        ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
-        for own, side, upto, other, sign in ((a, marks[0], to_a, np.append(0, to_b[:-1]), "|"), (b, marks[1], to_b, to_a, ";")):
-            group = shared.rank(side.select())
-            place = np.arange(len(own)) + other[group]
-            ids[place] = own
-            mark[place[upto - 1]] = ord(sign)
-        size = self.digits.size[ids] + 1
-        stop = np.cumsum(size)
-        out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
-        out[stop - 1] = mark
-        out[words.spread(stop - size, size - 1)] = self.digits.spell(ids)
-        return out, np.append(0, stop)[np.append(0, marks[0].rank(ends) + marks[1].rank(ends))]
-
-    def groups_of(self, number: np.ndarray, first: np.ndarray, live: np.ndarray) -> pa.StringArray:
-        """Groups of texts, whose runs are number[first[i]:first[i + 1]]; empty where no run is live."""
-        size = np.where(live, self.text_size[number], 0)
-        return words.joined(self.text[words.spread(self.text_at[number], size)], np.append(0, np.cumsum(size))[first])
+        if not ok:
+            for pool in self.pools.values():
+                pool.add(a, np.zeros(len(runs), np.int64))
+            return
+        side = Aligned(self.a_bytes, self.b_bytes, a, b, int(ends[-1]))
+        for pool, items, upto in zip(self.pools.values(), (a, b, side.links()), (*side.marks, side.either), strict=True):
+            pool.add(items, np.diff(upto.rank(np.append(0, ends))))
 
     def numbers(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each run; what is new is learned."""
         bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int32).tobytes())
         coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        new = [r for r in runs if r not in self.known]
-        if new:
-            self._learn(new)
-        return np.array([self.known[r] for r in runs], np.int64)[coded.indices.to_numpy()]
+        runs = coded.dictionary
+        place = pc.index_in(runs, value_set=self.known)
+        if place.null_count:
+            before = len(self.known)
+            self._learn(runs.filter(place.is_null()).to_pylist())
+            place = pc.coalesce(place, pc.add(pc.index_in(runs, value_set=self.known[before:]), pa.scalar(before, pa.int32())))
+        return place.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
 
     def texts(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(from, to, numbers of runs, first run of each text, whether the text is spelled) for parts of the column."""
@@ -248,33 +279,61 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return _aligners[key]
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """(a_id, b_id, links): how many links of all texts hold each pair of ids."""
+def _packed(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """ids[cuts[i]:cuts[i + 1]] as bytes, two for each id where all vocabularies are small enough, and four otherwise."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * ids.itemsize).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+
+
+def tokenized(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
+    """`docs` without `text` and with `_a` and `_b` (packed ids, none where the tokens do not spell the text), and rows with (_a_id, _b_id, _n) instead: how many links
+    of some of the texts hold each pair of ids. In the others `_n` is null."""
+    kept = [c for c in docs.columns if c != text]
+    names = ["_a", "_b", "_a_id", "_b_id", "_n"]
+    kinds = [T.BinaryType(), T.BinaryType(), T.IntegerType(), T.IntegerType(), T.LongType()]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
-        times = np.zeros(0, np.int64)
+        times, own_kinds = np.zeros(0, np.int64), None
 
         def counted() -> pa.RecordBatch:
-            some = np.flatnonzero(times)
-            size = aligner.sums[3][some]
-            keys, where = np.unique(aligner.pool[words.spread(aligner.at[some], size)], return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, where, np.repeat(times[some], size))
-            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a_id", "b_id", "n"])
+            some, pool = np.flatnonzero(times), aligner.pools["links"]
+            keys, n = pool.of(some), np.repeat(times[some], pool.size[some])
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            n, keys = np.add.reduceat(n, first) if len(first) else n, keys[first]
+            made = [pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.binary()), pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(keys), k) for k in own_kinds), *made], names=schema.names)
 
         for batch in batches:
-            for a, b, number, first, spelled in aligner.texts(batch.column(0)):
+            own_kinds = [batch.column(i).type for i in range(len(kept))]
+            for a, b, number, first, spelled in aligner.texts(batch.column(len(kept))):
                 if a == b:
                     yield counted()
                     times = np.zeros(0, np.int64)
                     continue
-                own = np.bincount(number[np.repeat(spelled, np.diff(first))], minlength=len(aligner.known))
+                live = np.repeat(spelled, np.diff(first))
+                own = np.bincount(number[live], minlength=len(aligner.known))
                 own[: len(times)] += times
                 times = own
-        yield counted()
+                packed = []
+                for pool in (aligner.pools["a"], aligner.pools["b"]):
+                    upto = np.append(0, np.cumsum(np.where(live, pool.size[number], 0)))[first]
+                    packed.append(_packed(pool.of(number[live]).astype(aligner.unit), upto))
+                rest = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *packed, *rest], names=schema.names)
+        if own_kinds is not None:
+            yield counted()
+
+    return docs.select(*[docs[c] for c in kept], docs[text]).mapInArrow(run, schema)
+
 
-    return docs.select(text).mapInArrow(run, "a_id int, b_id int, n bigint").groupBy("a_id", "b_id").agg(F.sum("n").alias("links"))
+def _unpacked(col: pa.Array, unit: type) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds of each row's ids)."""
+    data, offsets = words.buffers(col)
+    size = np.dtype(unit).itemsize
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), unit).astype(np.int64), (offsets - offsets[0]) // size
 
 
 @dataclass
@@ -286,8 +345,9 @@ class Head:
     best: np.ndarray
 
 
-def _ranked_pairs(docs: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
-    pairs = save(pair_counts(docs, a_path, b_path, text))
+def _ranked_pairs(ids: DataFrame) -> DataFrame:
+    counts = ids.where("_n is not null").groupBy(F.col("_a_id").alias("a_id"), F.col("_b_id").alias("b_id"))
+    pairs = save(counts.agg(F.sum("_n").alias("links")))
     most = pairs.groupBy("b_id").agg(F.max("links").alias("most"))  # a row for each id of B's vocabulary at most
     key = F.shiftleft(F.col("a_id").cast("long"), 32).bitwiseOR(F.col("b_id").cast("long"))
     return save(pairs.join(F.broadcast(most), "b_id").select(key.alias("key"), "links", (F.col("links") == F.col("most")).alias("best")))
@@ -314,44 +374,38 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, text: str = "text", head:
     (of the counts of all links' pairs) and `groups` (text: ids of A and of B of each group, as in `1,2|3;4|5`). Older columns of these names are replaced."""
     added = [*SUMS, "n_best", "count_sum"]
     kept = [c for c in docs.columns if c not in {text, *added, "groups", "_rest"}]
-    pairs = _ranked_pairs(docs, a_path, b_path, text)
+    ids = save(tokenized(docs.select(*[docs[c] for c in kept], docs[text]), a_path, b_path, text))
+    pairs = _ranked_pairs(ids)
     top, below = _head(pairs, head)
     shared = docs.sparkSession.sparkContext.broadcast(top)
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.LongType()) for n in added] + [T.StructField("groups", T.StringType()), T.StructField("_rest", T.ArrayType(T.LongType()))])
 
-    def by_run(aligner: Aligner, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each number that occurs: links that are best, sum of counts, and where its links outside of the head are, in the last."""
-        top, some = shared.value, np.unique(number)
-        size = aligner.sums[3][some]
-        keys, owner = aligner.pool[words.spread(aligner.at[some], size)], np.repeat(some, size)
-        place = np.minimum(np.searchsorted(top.keys, keys), max(len(top.keys) - 1, 0))
-        hit = top.keys[place] == keys if len(top.keys) else np.zeros(len(keys), bool)
-        n = len(aligner.known)
-        best = np.bincount(owner[hit][top.best[place[hit]]], minlength=n)
-        total = np.zeros(n, np.int64)
-        np.add.at(total, owner[hit], top.links[place[hit]])
-        rest = np.bincount(owner[~hit], minlength=n)
-        return best, total, rest, np.cumsum(rest) - rest, keys[~hit]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(a_path, b_path)
+        aligner, top = _aligner(a_path, b_path), shared.value
         for batch in batches:
-            for a, b, number, first, spelled in aligner.texts(batch.column(len(kept))):
-                if a == b:
-                    continue
-                best, total, rest, at, keys = by_run(aligner, number)
-                live = np.repeat(spelled, np.diff(first))
-                made = []
-                for x in (*(s[number] for s in aligner.sums), best[number], total[number]):
-                    c = np.concatenate([[0], np.cumsum(np.where(live, x, 0))])
-                    made.append(pa.array(c[first[1:]] - c[first[:-1]]))
-                size = np.where(live, rest[number], 0)
-                cuts = np.concatenate([[0], np.cumsum(size)])[first]
-                held = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys[words.spread(at[number], size)]))
-                own = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*own, *made, aligner.groups_of(number, first, live), held], names=schema.names)
-
-    out = docs.select(*[docs[c] for c in kept], docs[text]).mapInArrow(run, schema)
+            sides = [_unpacked(batch.column(len(kept) + i), aligner.unit) for i in (0, 1)]
+            bounds = sides[0][1] + sides[1][1]
+            i = 0
+            while i < batch.num_rows:
+                j = min(max(i + 1, int(np.searchsorted(bounds, bounds[i] + SIDE, "right")) - 1), batch.num_rows)
+                (a, at_a), (b, at_b) = ((own[at[i] : at[j]], at[i : j + 1] - at[i]) for own, at in sides)
+                ends = np.append(0, np.cumsum(aligner.a_bytes.size[a]))[at_a]  # of texts, in bytes, after 0
+                side = Aligned(aligner.a_bytes, aligner.b_bytes, a, b, int(ends[-1]))
+                upto = side.either.rank(ends)
+                keys = side.links()
+                place = np.minimum(np.searchsorted(top.keys, keys), max(len(top.keys) - 1, 0))
+                hit = top.keys[place] == keys if len(top.keys) else np.zeros(len(keys), bool)
+                made = [np.diff(at_a), np.diff(at_b), np.diff(side.shared.rank(ends)), np.diff(upto)]
+                for x in (top.best, top.links):
+                    c = np.append(0, np.cumsum(np.where(hit, x[place], 0) if len(top.keys) else np.zeros(len(keys), np.int64)))
+                    made.append(np.diff(c[upto]))
+                held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(~hit))[upto].astype(np.int32)), pa.array(keys[~hit]))
+                own = [batch.column(k).slice(i, j - i) for k in range(len(kept))]
+                groups = words.joined(*side.groups(aligner.digits, ends))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.astype(np.int64)) for x in made), groups, held], names=schema.names)
+                i = j
+
+    out = ids.where("_n is null").select(*kept, "_a", "_b").mapInArrow(run, schema)
     if not below or not pairs.where(F.col("links") <= below).head(1):
         return out.drop("_rest")
     out = save(out.withColumn("_row", F.monotonically_increasing_id()))
