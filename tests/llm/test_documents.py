@@ -347,3 +347,15 @@ def test_language_model_without_training(spark):
     assert ppm.scores(docs.where("doc_id < 0"), F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_keys_are_found_by_hash_and_tallied_by_a_sort(n):
+    dice = np.random.default_rng(n)
+    keys = np.unique(dice.integers(0, 1 << 59, n))
+    lookup = ppm.Lookup(keys)
+    asked = np.concatenate([keys, keys[:7], dice.integers(0, 1 << 59, 100)])
+    place, met = lookup.find(asked)
+    assert (met == np.isin(asked, keys)).all() and (keys[lookup.order][place[met]] == asked[met]).all()
+    drawn = np.concatenate([keys, keys[::2]])
+    learn = dice.integers(0, 2, len(drawn)).astype(bool)
+    key, times = ppm._tallied(drawn, learn)
+    assert (key == keys).all() and times.tolist() == [int(learn[drawn == k].sum()) for k in keys]

@@ -47,14 +47,34 @@ def _vocabulary(docs: DataFrame, text: str, train: str, seed: int) -> DataFrame:
     bounds of a second hash, which differ if two words have one hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def handed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            h, other, n_train, n = map(np.concatenate, zip(*parts, strict=True))
+            order = np.lexsort((other, h))  # words with one hash stay apart by the other
+            h, other, n_train, n = h[order], other[order], n_train[order], n[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (other[1:] != other[:-1]))) if len(h) else np.zeros(0, np.int64)
+            return h[first], other[first], *(np.add.reduceat(x, first) if len(first) else x for x in (n_train, n))
+
+        def made(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in handed(parts)], names=["hash", "other", "n_train", "n"])
+
         for batch in batches:
             learn = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
             for a, b, w in words.scan(batch.column(0), words.SPACED):
                 first, which = w.distinct()
                 some = w.only(first)
                 n_train = np.bincount(which, weights=learn[a:b][w.text], minlength=len(first)).astype(np.int64)
-                made = [some.hashes(seed).view(np.int64), some.hashes(seed + 1).view(np.int64), n_train, np.bincount(which, minlength=len(first)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["hash", "other", "n_train", "n"])
+                held.append((some.hashes(seed).view(np.int64), some.hashes(seed + 1).view(np.int64), n_train, np.bincount(which, minlength=len(first)).astype(np.int64)))
+                size += len(first)
+                if size >= HELD // 4:
+                    held = [handed(held)]
+                    size = len(held[0][0])
+                    if size >= HELD // 8:
+                        yield made(held)
+                        held, size = [], 0
+        if held:
+            yield made(held)
 
     found = docs.select(text, train).mapInArrow(run, "hash bigint, other bigint, n_train bigint, n bigint")
     return found.groupBy("hash").agg(F.sum("n_train").alias("n_train"), F.sum("n").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
@@ -93,10 +113,20 @@ def _text_keys(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
     return which[real], (np.minimum(within, ORDER).astype(np.uint64)[real] << np.uint64(_BITS) | packed[real]).view(np.int64)
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and the sum of the counts of each."""
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of the counts of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(c[order], first) if len(first) else np.zeros(0, np.int64) for c in counts)
+
+
+def _tallied(key: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each is learned; a sort of the keys with that mark as their last bit, which needs no inverse."""
+    marked = np.sort(key << 1 | learn)
+    key = marked >> 1
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(marked & 1, first) if len(first) else np.zeros(0, np.int64)
 
 
 def _text_grams(docs: DataFrame) -> DataFrame:
@@ -106,19 +136,19 @@ def _text_grams(docs: DataFrame) -> DataFrame:
         keys, counts, held = [], [], 0
 
         def handed() -> Iterator[pa.RecordBatch]:
-            key, n = _summed(keys, counts)
+            key, n = _summed(np.concatenate(keys), np.concatenate(counts))
             yield from (pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["key", "n"]) for i in range(0, len(key), 100_000))
 
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, w in words.scan(batch.column(0), words.SPACED):
                 text, key = _text_keys(w)
-                key, n = _summed([key], [learn[a:b][text]])
+                key, n = _tallied(key, learn[a:b][text])
                 keys.append(key)
                 counts.append(n)
                 held += len(key)
                 if held >= HELD:
-                    key, n = _summed(keys, counts)
+                    key, n = _summed(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [key], [n], len(key)
                     if held >= HELD // 2:
                         yield from handed()
@@ -126,7 +156,8 @@ def _text_grams(docs: DataFrame) -> DataFrame:
         if keys:
             yield from handed()
 
-    return docs.select("text", "train").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    # tasks have added up what they can: rows are dealt as they are, and added once, behind the shuffle
+    return docs.select("text", "train").mapInArrow(run, "key bigint, n bigint").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _lists(owner: np.ndarray, key: np.ndarray, n: int) -> list[pa.ListArray]:
@@ -188,6 +219,34 @@ def _head(df: DataFrame, n: str, most: int, columns: list[str]) -> dict[str, np.
     return {c: table.column(c).to_numpy()[order] for c in columns}
 
 
+class Lookup:
+    """Places of keys in a table, by a hash: the table is in order of the hash of its keys, and `start` has where those with one beginning of the hash begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(1, int(len(keys)).bit_length())
+        self.order = np.argsort(words.mix(keys.view(np.uint64)))
+        self.keys = keys[self.order]
+        self.start = np.append(0, np.cumsum(np.bincount(self._slot(self.keys), minlength=1 << self.bits))).astype(np.int32)
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (words.mix(x.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the order of the hash, whether it is there)."""
+        slot = self._slot(x)
+        at, end = self.start[slot], self.start[slot + 1]
+        place, met = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        left = np.flatnonzero(at < end)
+        at, end, own = at[left], end[left], x[left]
+        while len(left):
+            hit = self.keys[at] == own
+            place[left[hit]], met[left[hit]] = at[hit], True
+            at += 1
+            more = ~hit & (at < end)
+            left, at, end, own = left[more], at[more], end[more], own[more]
+        return place, met
+
+
 def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, whether it is there)."""
     if not len(known):
@@ -219,6 +278,10 @@ def scores(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, grams = shared.value, shared_grams.value
+        if "lookup" not in grams:  # once for each worker; scores in the same order, and the keys are in the look-up
+            grams["lookup"] = Lookup(grams.pop("key"))
+            grams["score"] = grams["score"][grams["lookup"].order]
+            grams["lookup"].order = None
         for batch in batches:
             for a, b, w in words.scan(batch.column(2), words.SPACED):
                 first, which = w.distinct()
@@ -228,16 +291,14 @@ def scores(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "
                 count = head["n_train"][place[there]] if there.any() else np.zeros(0, np.int64)
                 lists = _lists(w.text[~there].astype(np.int64), h[~there], b - a)
                 text, key = _text_keys(w)
-                some, which = np.unique(key, return_inverse=True)  # looked up in order, and once
-                place, met = _find(grams["key"], some)
-                score = np.zeros(len(some))
-                score[met] = grams["score"][place[met]] if met.any() else 0
+                place, met = grams["lookup"].find(key)
+                score = np.where(met, grams["score"][place], 0.0) if len(grams["score"]) else np.zeros(len(key))
                 if not met.all():
-                    rest = ~met[which]
+                    rest = ~met
                     lists += _lists(text[rest], key[rest], b - a)
                 else:
                     lists += _lists(text[:0], key[:0], b - a)
-                sums = [(count > 0, owner), (np.log10(count + 0.5), owner), (score[which], text)]
+                sums = [(count > 0, owner), (np.log10(count + 0.5), owner), (score, text)]
                 sums = [np.bincount(o, weights=x, minlength=b - a).astype(float) for x, o in sums]
                 made = [pa.array(w.per_text, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *made, *lists], names=["doc", "held_out", "n_words", "known", "base", "score", "rest", "times", "grams", "gram_times"])
