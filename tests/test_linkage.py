@@ -463,3 +463,26 @@ def test_places_too_long_or_short_for_any_name_are_not_scored(spark, monkeypatch
     got = [(r.request_id, r.station, r.score, r.locality) for r in scan.station_scan(requests, master).collect()]
     assert got == [(1, "RED ANVIL", 100.0, "POLICE STATION RED ANVIL THANA")]
     assert sorted(seen) == ["POLICE STATION RED ANVIL THANA", "RED ANVIL", "SEGMENT", "STATION"]
+
+
+def test_the_ladder_broadcasts_nothing_that_grows_with_the_requests(spark, master, coordinates, monkeypatch):
+    """By the compressed size of a scratch table Spark would send the keys of all requests through the driver."""
+    from waymark.operators import ranking, scan
+    from waymark.plans import ladder
+    from waymark.scratch import save
+
+    plans, plan_of = [], lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    for module in (ladder, scan):
+        monkeypatch.setattr(module, "save", lambda df: (plans.append(plan_of(df)), save(df))[1])
+    requests = asked(spark, (1, "9, BORABANDA", None, None), (2, "9, QQQQQ", None, "DIST_F"), (3, "9", "GUNDALA", "dist_b"), (4, "9, vikarabad", None, None), (5, "5, nowhere", None, "WARANGA"), (6, "6", "nothing like it", None), (7, None, None, "DIST_B"))
+    geocodes = spark.createDataFrame([("9, QQQQQ", 17.2, 78.2), ("9, vikarabad", 17.2, 78.2), ("5, nowhere", 17.2, 78.2), ("6", 17.2, 78.2)], "query string, lat double, lng double")
+    inferences = spark.createDataFrame([("6", '{"districts": ["DIST_F", "DIST_A"]}')], "address string, reply string")
+    answers = resolve(requests, master, coordinates, geocodes, inferences)
+    assert {r.request_id: r.rung for r in answers.collect()} == {1: "3a", 2: "2", 3: "1", 4: "3b", 5: "2", 6: "3c", 7: "2"}
+    residents, replies = save(requests.withColumn("district", F.lit("DIST_F"))), save(inferences.withColumn("district", F.lit("DIST_F")))
+    plans += [plan_of(answers), plan_of(ranking.estimate_ranked(residents, save(master), replies, 3))]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [" in line]
+    broadcast = [line for line in joins if "BroadcastHashJoin" in line]
+    assert any("SortMergeJoin [request_id" in line for line in joins)
+    assert not [line for line in broadcast if re.search(r"Join \[[^\]]*\b(request_id|query)#", line)]
+    assert not [line for line in broadcast if "Join [typed#" in line and "BuildLeft" in line]

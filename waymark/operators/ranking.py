@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic, shown_km
 from ..functions.text import trimmed
+from ..scratch import shuffled
 from ..sources.tables import one_each
 from .nearest import nearest, ranked_by_distance
 
@@ -18,7 +19,7 @@ def distance_ranked(requests: DataFrame, master: DataFrame, coordinates: DataFra
     without one gets no rows. Stations without coordinates are left out; `excluded` names them. Equal distances keep row order, see `ranked_by_distance`, and of repeated geocodes see `one_each`.
     """
     origin = one_each(geocodes.where("lat is not null and lng is not null").withColumn("query", trimmed("query")), ["query"], ["lat", "lng"]).withColumnsRenamed({"lat": "lat0", "lng": "lng0"})
-    asked = requests.select("request_id", trimmed("address").alias("query"), F.col(district).alias("district")).join(origin, "query")
+    asked = requests.select("request_id", trimmed("address").alias("query"), F.col(district).alias("district")).join(shuffled(origin), "query")
     stations = master.join(coordinates.where("lat is not null"), ["district", "station"])
     if most is not None:
         ranked = nearest(asked.select("request_id", "district", "lat0", "lng0"), stations, most)
@@ -49,12 +50,13 @@ def estimate_ranked(requests: DataFrame, master: DataFrame, replies: DataFrame,
     asked = requests.select("request_id", trimmed("address").alias("address"), F.col(district).alias("district"))
     stations = master.select("district", "station", "row_no")
     sizes = stations.groupBy("district").agg(F.count("*").alias("n"))
-    said = asked.join(one_each(replies.withColumn("address", trimmed("address")), ["address", "district"], ["reply"]), ["address", "district"]).join(sizes.where(F.col("n") > top_n), "district")
+    said = asked.join(shuffled(one_each(replies.withColumn("address", trimmed("address")), ["address", "district"], ["reply"])), ["address", "district"]).join(sizes.where(F.col("n") > top_n), "district")
     items = said.select("request_id", "district", F.posexplode(estimates("reply")).alias("i", "x")).select("request_id", "district", "i", F.col("x.name").alias("station"), F.col("x.dist_km").alias("km"))
     items = items.join(stations.select("district", "station").distinct(), ["district", "station"], "left_semi")
     shown = items.select("request_id", "district", "station", F.col("i").cast("long").alias("row_no"), shown_km("km", 0).alias("distance"))
     by_row = F.row_number().over(Window.partitionBy("district").orderBy("row_no"))
     firsts = stations.withColumn("place", by_row).where(F.col("place") <= top_n).drop("place")
-    plain = asked.join(shown.select("request_id", "district").distinct(), ["request_id", "district"], "left_anti").join(firsts, "district").select("request_id", "district", "station", "row_no", F.lit("N/A").alias("distance"))
+    # a left join, of which Spark can only broadcast the stations; requests in districts that are not there are left out at the end
+    plain = asked.join(shuffled(shown.select("request_id", "district").distinct()), ["request_id", "district"], "left_anti").join(firsts, "district", "left").select("request_id", "district", "station", "row_no", F.lit("N/A").alias("distance"))
     order = Window.partitionBy("request_id", "district").orderBy("row_no")
-    return shown.union(plain).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("request_id", "district", "rank", "station", "distance")
+    return shown.union(plain).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top_n) & F.col("station").isNotNull()).select("request_id", "district", "rank", "station", "distance")

@@ -30,3 +30,12 @@ def save(df: DataFrame) -> DataFrame:
     path = folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for a join of two tables that both grow with the requests, and of which neither may be broadcast.
+
+    Spark takes the size of a scratch table from its compressed files, by the share of the columns that are read. Few columns of many
+    rows pass for little then, and the driver would hold all of these rows.
+    """
+    return df.hint("merge")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import LOOKUPS, SURETY, LinkConfig
 from ..functions.text import standard, trimmed
-from ..scratch import save
+from ..scratch import save, shuffled
 from . import commits
 from .answers import AskConfig, answered
 
@@ -125,7 +125,7 @@ def upserted(coordinates: DataFrame, updates: DataFrame) -> DataFrame:
 def filled(master: DataFrame, coordinates: DataFrame, geocodes: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Coordinates after the missing ones have been looked up in geocodes (query, lat, lng); filled ones are never replaced."""
     known = one_each(geocodes.where("lat is not null and lng is not null"), ["query"], ["lat", "lng"])
-    return upserted(coordinates, missing_coordinates(master, coordinates, config).join(known, "query"))
+    return upserted(coordinates, missing_coordinates(master, coordinates, config).join(shuffled(known), "query"))
 
 
 def warmed(master: DataFrame, coordinates: DataFrame, geocoder: Callable[[str], tuple[float, float, str] | None], path: str, config: LinkConfig = LinkConfig(), ask: AskConfig = AskConfig()) -> DataFrame:
